@@ -118,55 +118,32 @@ def merge_by_tree(ids: list[int], ranks: dict[int, int], made: list[int]) -> lis
     return [x for x in ids if x >= 0]
 
 
-class ByteBPE:
-    """A byte-level BPE model read from a ``tokenizers`` JSON file."""
+class SpaceCutEncoder:
+    """Encodes whole texts, cut at added tokens and at lone spaces, and remembers the words between lone spaces.
 
-    def __init__(self, path: str):
-        import regex
+    In this family of pre-tokenizers a lone space between two characters that are not white space always starts a new
+    piece, so each word after such a space has the same ids wherever it stands.
+    """
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
-        self.ranks = {vocab[a] * BASE + vocab[b]: r for r, (a, b) in enumerate(pairs)}
-        self.made = [vocab[a + b] for a, b in pairs]
-        alphabet = byte_alphabet()
-        self.byte_ids = [vocab[c] for c in alphabet]
-        back = {c: b for b, c in enumerate(alphabet)}
-        self.bytes_of = {i: bytes(back[c] for c in t) for t, i in vocab.items() if all(c in back for c in t)}
-        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
-        self.added_split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.pretoken = regex.compile(PRETOKEN)
-        self.decimal = {i: str(i) for i in self.bytes_of}
+    def __init__(self, added: dict[str, int]):
+        self.added = added
+        self.added_split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, piece: str) -> tuple[int, ...]:
-        ids = list(map(self.byte_ids.__getitem__, piece.encode("utf-8")))
-        ids = tuple(merge_by_tree(ids, self.ranks, self.made) if len(ids) > 1 else ids)
-        if len(piece) <= CACHE_CHARS:
-            if len(self.pieces) >= CACHE_ENTRIES:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
 
     def stretch(self, text: str) -> tuple[int, ...]:
-        pieces, get, piece = self.pretoken.findall(text), self.pieces.get, self.piece
-        return tuple(chain.from_iterable([get(p) or piece(p) for p in pieces]))
+        """Ids of a text without added tokens."""
+        raise NotImplementedError
+
+    def word(self, word: str) -> tuple[int, ...]:
+        """Ids of a space and a word."""
+        return self.stretch(" " + word)
 
     def after_space(self, word: str) -> tuple[int, ...]:
         """Ids of a space and ``word``, which neither starts nor ends with white space; remembered if short."""
         ids = self.old.get(word)
         if ids is None:
-            # \p{L} is what isalpha() holds for, so the two commonest shapes need no pattern
-            if word.isalpha():
-                ids = self.pieces.get(" " + word) or self.piece(" " + word)
-            elif word[-1] in ".,;:!?" and word[:-1].isalpha():
-                ids = (self.pieces.get(" " + word[:-1]) or self.piece(" " + word[:-1])) + (self.pieces.get(word[-1]) or self.piece(word[-1]))
-            else:
-                ids = self.stretch(" " + word)
+            ids = self.word(word)
         if len(word) <= CACHE_CHARS:
             if len(self.young) >= CACHE_ENTRIES:
                 self.old, self.young = self.young, {}
@@ -174,8 +151,6 @@ class ByteBPE:
         return ids
 
     def run(self, text: str) -> list[tuple[int, ...]]:
-        """A stretch without added tokens.  A lone space between two characters that are not white space always starts
-        a new piece, so the text is cut there and each word is looked up or merged once."""
         words = text.split(" ")
         last = len(words) - 1
         found = list(map(self.young.get, words))
@@ -190,15 +165,15 @@ class ByteBPE:
             else:
                 return found
         out = []
-        start, held = 0, words[0]  # some words meet other white space: gather what may belong together
+        start, held = 0, words[:1]  # some words meet other white space: gather what may belong together
         for i in range(1, last + 1):
             w = words[i]
-            if w and not w[0].isspace() and held and not held[-1].isspace():
-                out.append((start, held))
-                start, held = i, w
+            if w and not w[0].isspace() and held[-1] and not held[-1][-1].isspace():
+                out.append((start, " ".join(held)))
+                start, held = i, [w]
             else:
-                held += " " + w
-        out.append((start, held))
+                held.append(w)
+        out.append((start, " ".join(held)))
         return [self.young.get(h) or self.after_space(h) if s and not h[-1].isspace() else self.stretch(" " * (s > 0) + h) for s, h in out]
 
     def parts(self, text: str) -> list[tuple[int, ...]]:
@@ -217,10 +192,76 @@ class ByteBPE:
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(self.parts(text or "")))
 
+    def count(self, text: str | None) -> int:
+        return sum(map(len, self.parts(text or "")))
+
+
+class ByteBPE(SpaceCutEncoder):
+    """A byte-level BPE model read from a ``tokenizers`` JSON file."""
+
+    def __init__(self, path: str):
+        import regex
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        super().__init__({t["content"]: t["id"] for t in spec.get("added_tokens", [])})
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        self.ranks = {vocab[a] * BASE + vocab[b]: r for r, (a, b) in enumerate(pairs)}
+        self.made = [vocab[a + b] for a, b in pairs]
+        alphabet = byte_alphabet()
+        self.byte_ids = [vocab[c] for c in alphabet]
+        back = {c: b for b, c in enumerate(alphabet)}
+        self.bytes_of = {i: bytes(back[c] for c in t) for t, i in vocab.items() if all(c in back for c in t)}
+        self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
+        self.decimal = {i: str(i) for i in self.bytes_of}
+        self.pretoken = regex.compile(PRETOKEN)
+        self.pieces: dict[str, tuple[int, ...]] = {}
+
+    def piece(self, piece: str) -> tuple[int, ...]:
+        ids = list(map(self.byte_ids.__getitem__, piece.encode("utf-8")))
+        ids = tuple(merge_by_tree(ids, self.ranks, self.made) if len(ids) > 1 else ids)
+        if len(piece) <= CACHE_CHARS:
+            if len(self.pieces) >= CACHE_ENTRIES:
+                self.pieces.clear()
+            self.pieces[piece] = ids
+        return ids
+
+    def stretch(self, text: str) -> tuple[int, ...]:
+        pieces, get, piece = self.pretoken.findall(text), self.pieces.get, self.piece
+        return tuple(chain.from_iterable([get(p) or piece(p) for p in pieces]))
+
+    def word(self, word: str) -> tuple[int, ...]:
+        # \p{L} is what isalpha() holds for, so the two commonest shapes need no pattern
+        if word.isalpha():
+            return self.pieces.get(" " + word) or self.piece(" " + word)
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return (self.pieces.get(" " + word[:-1]) or self.piece(" " + word[:-1])) + (self.pieces.get(word[-1]) or self.piece(word[-1]))
+        return self.stretch(" " + word)
+
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class LibraryEncoder(SpaceCutEncoder):
+    """The ``tokenizers`` library, asked once for each word that it has not yet seen."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        super().__init__({t.content: i for i, t in self.library.get_added_tokens_decoder().items()})
+
+    def stretch(self, text: str) -> tuple[int, ...]:
+        return tuple(self.library.encode(text, add_special_tokens=False).ids)
+
+
+def library_encoder(path: str) -> LibraryEncoder:
+    return process_cache(f"library:{path}", lambda: LibraryEncoder(path))
+
+
 def model(path: str) -> ByteBPE:
     return process_cache(f"bpe:{path}", lambda: ByteBPE(path))
 

@@ -7,7 +7,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,15 +83,10 @@ def process_cache(name: str, make: Callable[[], object]) -> object:
     return getattr(holder, name)
 
 
-def batches_of(rows: Iterator, size: int) -> Iterator[list]:
-    held: list = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield held
-            held = []
-    if held:
-        yield held
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row: a generator keeps it from being copied into later lambdas, where
+    it would be computed again for each element."""
+    return df.select("*", F.explode(F.array(F.struct(value.alias("v")))).alias("__once")).select("*", F.col("__once.v").alias(name)).drop("__once")
 
 
 def small_enough(df: DataFrame, column: str, limit_bytes: int) -> bool:

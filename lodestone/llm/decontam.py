@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_lower, doc_key, materialize, read_table, small_enough
+from lodestone.llm.common import ascii_lower, computed_once, doc_key, materialize, read_table, small_enough
 
 #: What stands between words, after lower-casing A-Z: ASCII other than digits and letters.
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
@@ -34,11 +34,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 1)
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """``df`` with a column that is computed once a row: a generator keeps it from being copied into later lambdas."""
-    return df.select("*", F.explode(F.array(F.struct(value.alias("v")))).alias("__once")).select("*", F.col("__once.v").alias(name)).drop("__once")
-
-
 class Benchmark:
     """Items of a benchmark and how they may be joined."""
 
@@ -101,7 +96,7 @@ def phrase_hits(docs: DataFrame, bench: Benchmark, found: DataFrame) -> DataFram
     k = doc_key(docs)
     keyed = docs.drop("n_words", "hit_words", "hit_items").select(k[0].alias("d1"), k[1].alias("d2"), "*")
     joined = keyed.join(listed, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")), "left").drop("k1", "k2", "d1", "d2")
-    joined = _once(joined, "__w", words(F.col("text")))
+    joined = computed_once(joined, "__w", words(F.col("text")))
 
     def starts(c: Column) -> Column:
         size = F.least(F.lit(w), F.size(c["iw"]))
@@ -112,7 +107,7 @@ def phrase_hits(docs: DataFrame, bench: Benchmark, found: DataFrame) -> DataFram
 
     checked = F.transform(F.coalesce("cand", F.array().cast(listed.schema["cand"].dataType)), lambda c: F.struct(c["item_id"].alias("item_id"), c["diag"].alias("diag"), F.least(F.lit(w), F.size(c["iw"])).alias("size"), starts(c).alias("starts")))
     checked = F.filter(checked, lambda c: F.size(c["starts"]) > 0)
-    joined = _once(joined, "__c", checked)
+    joined = computed_once(joined, "__c", checked)
     places = F.flatten(F.transform("__c", lambda c: F.flatten(F.transform(c["starts"], lambda s: F.sequence(c["diag"] + s, c["diag"] + s + c["size"] - 1)))))
     return joined.select(
         *(F.col(f"`{c}`") for c in joined.columns if c not in ("__w", "__c", "cand")),

@@ -3,7 +3,8 @@
 Lines of at least ``min_chars`` code points take part.  Each is split into ``edits + 1`` segments of even length and
 indexed under (segment number, line length, segment).  A line probes, for its own length and each shorter one within
 ``edits``, the substrings that a segment may have moved to; two lines within ``edits`` edits share at least one key,
-for ``edits`` edits cannot touch every segment.  Pairs that share a key are verified by a banded bit-parallel
+for ``edits`` edits cannot touch every segment.  Pairs that share a key, and whose counts of some letters differ by no
+more than so many edits can make them, are verified by a banded bit-parallel
 automaton: for each number of edits a mask of the ``2 * edits + 1`` diagonals that are reachable, moved on by one
 character with shifts and ands.
 
@@ -24,9 +25,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import NULL_ID, doc_key, materialize, read_table
+from lodestone.llm.common import NULL_ID, computed_once, doc_key, materialize, read_table
 
 EDITS, MIN_CHARS = 2, 24
+#: Characters after which hopeless pairs are given up.
+HEAD = 24
+#: Characters whose counts tell lines apart before their texts are fetched (16, two bits each).
+COUNTED = "aeiounrsthldcg05"
 #: Line ids up to this many are broadcast as a filter when texts are fetched; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -78,52 +83,86 @@ def probe_keys(edits: int) -> Column:
     return F.array_compact(F.array(*keys))
 
 
-def within_edits(a: Column, b: Column, edits: int) -> Column:
-    """Whether the edit distance of two texts is at most ``edits``, by a banded bit-parallel automaton.
+def _common(a: Column, b: Column, most: Column, part) -> Column:
+    """The largest length up to ``most`` at which ``part(text, length)`` of both agree, by bisection (up to 2 ** 21)."""
+    longer = lambda n, step: F.when((n + step <= most) & (part(a, n + step) == part(b, n + step)), n + step).otherwise(n)
+    return F.aggregate(F.array(*(F.lit(1 << i) for i in range(20, -1, -1))), F.lit(0), longer)
 
-    Bit ``j`` of mask ``e`` says that the read part of ``a`` and the part of ``b`` up to diagonal ``j - edits`` are
-    within ``e`` edits.
+
+def within_edits(pairs: DataFrame, edits: int, a: str = "line_a", b: str = "line_b") -> DataFrame:
+    """The rows of ``pairs`` whose texts are at most ``edits`` edits apart, by a banded bit-parallel automaton.
+
+    What both texts begin and end with is cut off first.  Bit ``j`` of mask ``e`` says that the read part of the first
+    text and the part of the second up to diagonal ``j - edits`` are within ``e`` edits.  After ``HEAD`` characters
+    texts without a set bit are given up.
     """
     k, band = edits, 2 * edits + 1
-    full = (1 << band) - 1
-    x, y = F.split(a, ""), F.split(b, "")  # of the empty text: one empty string, which equals no character
-    n, m = F.char_length(a), F.char_length(b)
+    full, columns = (1 << band) - 1, pairs.columns
     masks = [f"r{e}" for e in range(k + 1)]
+    least = F.least(F.char_length(a), F.char_length(b))
+    df = pairs.where(F.abs(F.char_length(a) - F.char_length(b)) <= k)
+    df = computed_once(df, "__p", _common(F.col(a), F.col(b), least, lambda t, n: F.left(t, n)))
+    df = computed_once(df, "__s", _common(F.col(a), F.col(b), least - F.col("__p"), lambda t, n: F.right(t, n)))
+    core = lambda t: F.col(t).substr(F.col("__p") + 1, F.char_length(t) - F.col("__p") - F.col("__s"))
+    df = df.withColumns({"__n": F.char_length(a) - F.col("__p") - F.col("__s"), "__m": F.char_length(b) - F.col("__p") - F.col("__s")})
+    df = computed_once(computed_once(df, "__x", F.split(core(a), "")), "__y", F.split(core(b), ""))
+    n, m = F.col("__n"), F.col("__m")
 
     def widened(rows: list[Column]) -> list[Column]:
-        """Characters of ``b`` that are skipped cost one edit each and move up a diagonal."""
+        """Characters of the second text that are skipped cost one edit each and move up a diagonal."""
         out = [rows[0]]
         for e in range(1, k + 1):
             out.append(rows[e].bitwiseOR(F.shiftleft(out[e - 1], 1).bitwiseAND(F.lit(full))))
         return out
 
-    begin = F.struct(*(r.alias(c) for r, c in zip(widened([F.lit(1 << k)] * (k + 1)), masks, strict=True)))
+    def state(rows: list[Column]) -> Column:
+        return F.struct(*(r.alias(c) for r, c in zip(rows, masks, strict=True)))
 
     def step(s: Column, i: Column) -> Column:
-        c = F.get(x, i)
-        match = reduce(lambda p, q: p + q, [F.when(F.coalesce(F.get(y, i + (j - k)) == c, F.lit(False)), F.lit(1 << j)).otherwise(F.lit(0)) for j in range(band)])
+        equal = [F.when((i + (j - k) < m) & F.coalesce(F.get("__y", i + (j - k)) == F.get("__x", i), F.lit(False)), F.lit(1 << j)).otherwise(F.lit(0)) for j in range(band)]
 
-        def moved(m: Column) -> Column:
-            rows = [s["r0"].bitwiseAND(m)]
+        def moved(match: Column) -> Column:
+            rows = [s["r0"].bitwiseAND(match)]
             for e in range(1, k + 1):
                 below = s[f"r{e - 1}"]
-                rows.append(s[f"r{e}"].bitwiseAND(m).bitwiseOR(below).bitwiseOR(F.shiftright(below, 1)))
-            return F.struct(*(r.alias(c2) for r, c2 in zip(widened(rows), masks, strict=True)))
+                rows.append(s[f"r{e}"].bitwiseAND(match).bitwiseOR(below).bitwiseOR(F.shiftright(below, 1)))
+            return state(widened(rows))
+
+        return F.get(F.transform(F.array(reduce(lambda p, q: p + q, equal)), moved), F.lit(0))  # the comparisons are made once
+
+    def steps(low: Column, high: Column) -> Column:
+        return F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<int>"))
 
-        return F.get(F.transform(F.array(match), moved), F.lit(0))  # so the comparisons are made once
+    # before the first character: the diagonals of the characters of the second text that are skipped
+    begin = state(widened([F.lit(1 << k)] * (k + 1)))
+    head = F.least(n, F.lit(HEAD))
+    df = computed_once(df, "__h", F.aggregate(steps(F.lit(0), head), begin, step)).where(F.col(f"__h.r{k}") != 0)
+    end = F.aggregate(steps(head, n), F.col("__h"), step, lambda s: s[f"r{k}"])
+    return df.where(F.call_function("shiftright", end, m - n + F.lit(k)).bitwiseAND(F.lit(1)) == 1).select(*columns)
 
-    steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    end = F.aggregate(steps, begin, step, lambda s: s[f"r{k}"])
-    diagonal = m - n + F.lit(k)
-    return (F.abs(n - m) <= k) & (F.call_function("shiftright", end, diagonal).bitwiseAND(F.lit(1)) == 1)
+
+def letter_counts() -> Column:
+    """Counts of ``COUNTED`` characters modulo four, in Gray code, as one int: an edit changes at most two counts by one
+    and so at most two bits."""
+    total = F.lit(0)
+    for i, c in enumerate(COUNTED):
+        n = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(c), F.lit("")))
+        gray = n.bitwiseXOR(F.shiftright(n, 1)).bitwiseAND(F.lit(3))
+        total = total.bitwiseOR(F.shiftleft(gray, 2 * i))
+    return total
 
 
 def candidate_pairs(lines: DataFrame, edits: int) -> DataFrame:
-    """``a, b`` ids of different lines that share a key."""
-    ids = lines.select("line", "len", line_id().alias("lid"))
-    index = ids.select("lid", F.explode(index_keys(edits)).alias("key")).distinct()
-    probe = ids.select(F.col("lid").alias("other"), F.explode(probe_keys(edits)).alias("key2")).distinct()
-    met = index.join(probe, (F.col("key") == F.col("key2")) & (F.col("lid") != F.col("other")))
+    """``a, b`` ids of different lines that share a key and whose letter counts do not rule them out.
+
+    The counts are part of the join's condition, so lines that share a segment without being near, such as those of
+    copies that differ in a few words, give no rows.
+    """
+    ids = lines.select("line", "len", line_id().alias("lid"), letter_counts().alias("counts"))
+    index = ids.select("lid", "counts", F.explode(index_keys(edits)).alias("key")).distinct()
+    probe = ids.select(F.col("lid").alias("other"), F.col("counts").alias("counts2"), F.explode(probe_keys(edits)).alias("key2")).distinct()
+    near = F.bit_count(F.col("counts").bitwiseXOR(F.col("counts2"))) <= 2 * edits
+    met = index.join(probe, (F.col("key") == F.col("key2")) & (F.col("lid") != F.col("other")) & near)
     return met.select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct()
 
 
@@ -136,7 +175,7 @@ def linked_lines(lines: DataFrame, edits: int) -> DataFrame:
     texts = lines.select("line", line_id().alias("lid")).join(wanted, F.col("lid") == F.col("id"), "left_semi").groupBy("lid", "line").agg(F.lit(1).alias("one")).drop("one")
     texts = materialize(texts, "line-texts")
     side = lambda c: texts.select(F.col("lid").alias(c), F.col("line").alias(f"line_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(within_edits(F.col("line_a"), F.col("line_b"), edits))
+    both = within_edits(pairs.join(side("a"), "a").join(side("b"), "b"), edits)
     return materialize(both.select("a", "b").distinct(), "line-links")
 
 

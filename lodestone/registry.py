@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestone.plans import permits  # noqa: F401  registers its queries
+from lodestone.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "reconcile_office_month"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}

@@ -74,7 +74,7 @@ def links(spark, sf_dir):
     return markup.links(pages(spark, sf_dir))
 
 
-@register("f20_titles", r"SELECT page_id, substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&#39;', chr(39)), '&nbsp;', ' '), '\s+', ' ', 'g')), 1, 160) AS title FROM pages".replace("'\"\"'", "'\"'"))
+@register("f20_titles", r"SELECT page_id, substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' '), '\s+', ' ', 'g')), 1, 160) AS title FROM pages")
 def titles(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", markup.title(F.col("html")).alias("title"))
 

@@ -31,7 +31,7 @@ EDITS, MIN_CHARS = 2, 24
 #: Characters after which hopeless pairs are given up.
 HEAD = 24
 #: Characters whose counts tell lines apart before their texts are fetched (16, two bits each).
-COUNTED = "aeiounrsthldcg05"
+COUNTED = "aeiounrsthldcgbw"
 #: Line ids up to this many are broadcast as a filter when texts are fetched; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -152,6 +152,13 @@ def letter_counts() -> Column:
     return total
 
 
+def first_of_each(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``lines`` without later copies of an equal line, so that a line is joined once however often it stands."""
+    repeated = firsts.where("n > 1").select("lid", "first")
+    side = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated
+    return lines.join(side, line_id() == F.col("lid"), "left").where(F.col("first").isNull() | (F.col("first") == place())).drop("lid", "first")
+
+
 def candidate_pairs(lines: DataFrame, edits: int) -> DataFrame:
     """``a, b`` ids of different lines that share a key and whose letter counts do not rule them out.
 
@@ -159,8 +166,8 @@ def candidate_pairs(lines: DataFrame, edits: int) -> DataFrame:
     copies that differ in a few words, give no rows.
     """
     ids = lines.select("line", "len", line_id().alias("lid"), letter_counts().alias("counts"))
-    index = ids.select("lid", "counts", F.explode(index_keys(edits)).alias("key")).distinct()
-    probe = ids.select(F.col("lid").alias("other"), F.col("counts").alias("counts2"), F.explode(probe_keys(edits)).alias("key2")).distinct()
+    index = ids.select("lid", "counts", F.explode(index_keys(edits)).alias("key"))
+    probe = ids.select(F.col("lid").alias("other"), F.col("counts").alias("counts2"), F.explode(probe_keys(edits)).alias("key2"))
     near = F.bit_count(F.col("counts").bitwiseXOR(F.col("counts2"))) <= 2 * edits
     met = index.join(probe, (F.col("key") == F.col("key2")) & (F.col("lid") != F.col("other")) & near)
     return met.select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct()
@@ -184,7 +191,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     lines = lines_of(docs, min_chars)
     firsts = lines.select(line_id().alias("lid"), place().alias("place")).groupBy("lid").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     firsts = materialize(firsts, "line-firsts")
-    links = linked_lines(lines, edits)
+    links = linked_lines(first_of_each(lines, firsts), edits)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(firsts.select(F.col("lid").alias("b"), F.col("first").alias("f")), "b").groupBy("a").agg(F.min("f").alias("first_linked"), F.count("*").alias("n_links"))
     out = firsts.join(near, F.col("lid") == F.col("a"), "left").drop("a")

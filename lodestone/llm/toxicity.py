@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are the distinct lower-cased words of a whole text and their first four characters, hashed to ``2 ** BITS``
-buckets.  The score is a logistic function of a bias, a weight for each bucket and, for each pair of buckets, the
+Terms are the distinct lower-cased words of a whole text and their beginnings of four to seven characters, hashed to
+``2 ** BITS`` buckets.  The score is a logistic function of a bias, a weight for each bucket and, for each pair of buckets, the
 product of their factor vectors: so a pair such as an insult and a mention of a group can count for more, or less,
 than the sum of both.
 
@@ -25,17 +25,17 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import process_cache, read_table
 
-BITS, FACTORS, PREFIX = 20, 4, 4
+BITS, FACTORS, PREFIXES = 20, 4, (4, 5, 6, 7)
 #: Bounds of the labelled sample, documented above.
 MAX_POSITIVE, MAX_NEGATIVE = 3000, 6000
 #: A bucket needs so many sampled documents, and its shares to lie so many standard errors apart.
-LEAST_DOCS, LEAST_Z = 6, 4.0
+LEAST_DOCS, LEAST_Z = 6, 3.5
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_/\\…«»“”„‘’¡¿"
 CACHE_WORDS = 400_000
 
 
 def buckets(word: str) -> tuple[int, ...]:
-    """Hash buckets of a lower-cased word: the word and, if it is longer, its beginning."""
+    """Hash buckets of a lower-cased word: the word and its beginnings."""
     import zlib
 
     word = word.strip(EDGES)
@@ -43,8 +43,7 @@ def buckets(word: str) -> tuple[int, ...]:
         return ()
     mask = (1 << BITS) - 1
     out = [zlib.crc32(word.encode("utf-8")) & mask]
-    if len(word) > PREFIX:
-        out.append(zlib.crc32(b"^" + word[:PREFIX].encode("utf-8")) & mask)
+    out += [zlib.crc32(b"^" + word[:n].encode("utf-8")) & mask for n in PREFIXES if len(word) > n]
     return tuple(out)
 
 
@@ -78,7 +77,7 @@ class Machine:
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, total))))
 
 
-def fit(rows: list, labels, prior: float, rounds: int = 120, rate: float = 0.05, l2: float = 2e-4, seed: int = 7) -> Machine:
+def fit(rows: list, labels, prior: float, rounds: int = 400, rate: float = 0.1, l2: float = 1e-5, seed: int = 7) -> Machine:
     """Fit to arrays of distinct buckets and labels 0 or 1 by Adam on the whole sample."""
     import zlib
 

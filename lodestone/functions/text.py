@@ -32,13 +32,17 @@ def norm_int(x: Column) -> Column:
 def norm_date(x: Column) -> Column:
     """ISO date of a text in one of the formats, or of epoch milliseconds; a leading ISO date is kept unchecked."""
     t = F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
-    heads = [F.regexp_extract(t, r"(?U)^\S+", 0), F.substr(t, F.lit(1), F.lit(19))]
-    tries = []
-    for h in heads:
-        for width, fmt in DATE_FORMATS:
-            tries.append(F.try_to_timestamp(F.substr(h, F.lit(1), F.lit(width)), F.lit(fmt)).cast("date"))
-        tries.append(F.try_to_timestamp(h, F.lit("M/d/yyyy")).cast("date"))
-    iso = F.date_format(F.coalesce(*tries), "yyyy-MM-dd")
+    heads = F.struct(F.regexp_extract(t, r"(?U)^\S+", 0).alias("a"), F.substr(t, F.lit(1), F.lit(19)).alias("b"))
+
+    def first_that_parses(h: Column) -> Column:
+        tries = []
+        for head in (h["a"], h["b"]):
+            tries += [F.try_to_timestamp(F.substr(head, F.lit(1), F.lit(width)), F.lit(fmt)).cast("date") for width, fmt in DATE_FORMATS]
+            tries.append(F.try_to_timestamp(head, F.lit("M/d/yyyy")).cast("date"))
+        return F.coalesce(*tries)
+
+    # inside a lambda the heads are cut once, and the many formats do not swell the generated code
+    iso = F.date_format(F.get(F.transform(F.array(heads), first_that_parses), F.lit(0)), "yyyy-MM-dd")
     lead = F.nullif(F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
     epoch = F.date_format(F.timestamp_millis(x.try_cast("bigint")), "yyyy-MM-dd")
     return F.when(x.rlike(r"^\d{12,}$"), epoch).when(x != "", F.coalesce(iso, lead))

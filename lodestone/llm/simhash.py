@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, read_table, shared_dir
+from lodestone.llm.common import materialize, read_table
 from lodestone.llm.graph import connected_components
 
 SEGMENTS, SEGMENT_BITS, MAX_BITS = 2, 32, 3
@@ -153,8 +153,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first_of_each(docs: DataFrame, width: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each component: the one of smallest id (of equal ids, of the smallest text hash)."""
-    shared_dir(docs.sparkSession)
+    """``docs`` with one document of each component: the one of smallest id.
+
+    Rows that repeat the id that stays, stay with it; rows without an id belong to no document and stay.
+    """
     found = near_duplicates(docs, width, max_bits)
     losers = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(losers, "doc_id", "left_anti")

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from itertools import accumulate, chain
@@ -31,6 +32,8 @@ from lodestone.llm.common import process_cache, read_table
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Above all ids.
 BASE = 1 << 20
+#: Marks that are a piece of their own after letters.
+MARKS = ".,;:!?"
 #: Bounds of the per-process memory of stretches between spaces; two generations of so many are kept.
 CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
 
@@ -150,19 +153,27 @@ class SpaceCutEncoder:
             self.young[word] = ids
         return ids
 
+    def learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of a space and each of these words; the last of a text may end with white space."""
+        return {w: self.stretch(" " + w) if w[-1].isspace() else self.after_space(w) for w in words}
+
     def run(self, text: str) -> list[tuple[int, ...]]:
         words = text.split(" ")
         last = len(words) - 1
         found = list(map(self.young.get, words))
         if last and words[0] and not words[0][-1].isspace():
             found[0] = self.stretch(words[0])
+            new: dict[str, list[int]] = {}
             for i, ids in enumerate(found):
                 if ids is None:
                     w = words[i]
                     if not w or w[0].isspace() or (w[-1].isspace() and i < last):
                         break
-                    found[i] = self.after_space(w) if not w[-1].isspace() else self.stretch(" " + w)
+                    new.setdefault(w, []).append(i)
             else:
+                for w, ids in self.learn(list(new)).items():
+                    for i in new[w]:
+                        found[i] = ids
                 return found
         out = []
         start, held = 0, words[:1]  # some words meet other white space: gather what may belong together
@@ -235,7 +246,7 @@ class ByteBPE(SpaceCutEncoder):
         # \p{L} is what isalpha() holds for, so the two commonest shapes need no pattern
         if word.isalpha():
             return self.pieces.get(" " + word) or self.piece(" " + word)
-        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+        if word[-1] in MARKS and word[:-1].isalpha():
             return (self.pieces.get(" " + word[:-1]) or self.piece(" " + word[:-1])) + (self.pieces.get(word[-1]) or self.piece(word[-1]))
         return self.stretch(" " + word)
 
@@ -247,16 +258,41 @@ class LibraryEncoder(SpaceCutEncoder):
     """The ``tokenizers`` library, asked once for each word that it has not yet seen."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.marks: dict[str, tuple[int, ...]] = {}
         super().__init__({t.content: i for i, t in self.library.get_added_tokens_decoder().items()})
 
     def stretch(self, text: str) -> tuple[int, ...]:
         return tuple(self.library.encode(text, add_special_tokens=False).ids)
 
+    def learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        """One call for all unknown words; a mark after letters is a piece of its own, so both are looked up apart."""
+        out: dict[str, tuple[int, ...]] = {}
+        ask, known = {}, lambda w: self.young.get(w) or self.old.get(w)
+        cut = {w: w[:-1] for w in words if w[-1] in MARKS and w[:-1].isalpha()}
+        for w in words:
+            if (ids := known(cut.get(w, w))) is not None:
+                out[cut.get(w, w)] = ids
+            else:
+                ask[" " + cut.get(w, w)] = None
+        for w in {w[-1] for w in cut} - self.marks.keys():
+            self.marks[w] = self.stretch(w)
+        for text, coded in zip(ask, self.library.encode_batch_fast(list(ask), add_special_tokens=False), strict=True):
+            out[text[1:]] = tuple(coded.ids)
+        for w, head in cut.items():
+            out[w] = out[head] + self.marks[w[-1]]
+        for w, ids in out.items():
+            if len(w) <= CACHE_CHARS and not w[-1].isspace():
+                if len(self.young) >= CACHE_ENTRIES:
+                    self.old, self.young = self.young, {}
+                self.young[w] = ids
+        return {w: out[w] for w in words}
+
 
 def library_encoder(path: str) -> LibraryEncoder:
     return process_cache(f"library:{path}", lambda: LibraryEncoder(path))

@@ -30,8 +30,8 @@ from lodestone.llm.common import NULL_ID, computed_once, doc_key, materialize, r
 EDITS, MIN_CHARS = 2, 24
 #: Characters after which hopeless pairs are given up.
 HEAD = 24
-#: Characters whose counts tell lines apart before their texts are fetched (16, two bits each).
-COUNTED = "aeiounrsthldcgbw"
+#: Characters whose counts tell lines apart before their texts are fetched (22, two bits each).
+COUNTED = "aeiounrsthldcgbwmpvqzé"
 #: Line ids up to this many are broadcast as a filter when texts are fetched; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -142,21 +142,24 @@ def within_edits(pairs: DataFrame, edits: int, a: str = "line_a", b: str = "line
 
 
 def letter_counts() -> Column:
-    """Counts of ``COUNTED`` characters modulo four, in Gray code, as one int: an edit changes at most two counts by one
+    """Counts of ``COUNTED`` characters modulo four, in Gray code, as one long: an edit changes at most two counts by one
     and so at most two bits."""
-    total = F.lit(0)
+    total = F.lit(0).cast("bigint")
     for i, c in enumerate(COUNTED):
-        n = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(c), F.lit("")))
-        gray = n.bitwiseXOR(F.shiftright(n, 1)).bitwiseAND(F.lit(3))
+        n = (F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(c), F.lit("")))).cast("bigint")
+        n = n if c.isascii() else F.shiftright(n, 1)  # two bytes each
+        gray = n.bitwiseXOR(F.shiftright(n, 1)).bitwiseAND(F.lit(3).cast("bigint"))
         total = total.bitwiseOR(F.shiftleft(gray, 2 * i))
     return total
 
 
 def first_of_each(lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """``lines`` without later copies of an equal line, so that a line is joined once however often it stands."""
+    """``lid, line, len, counts`` of every line, stored, without later copies of an equal line: so a line is joined
+    once however often it stands, and its text is cut and counted once."""
     repeated = firsts.where("n > 1").select("lid", "first")
     side = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated
-    return lines.join(side, line_id() == F.col("lid"), "left").where(F.col("first").isNull() | (F.col("first") == place())).drop("lid", "first")
+    kept = lines.join(side, line_id() == F.col("lid"), "left").where(F.col("first").isNull() | (F.col("first") == place()))
+    return materialize(kept.select(line_id().alias("lid"), "line", "len", letter_counts().alias("counts")), "lines")
 
 
 def candidate_pairs(lines: DataFrame, edits: int) -> DataFrame:
@@ -165,9 +168,8 @@ def candidate_pairs(lines: DataFrame, edits: int) -> DataFrame:
     The counts are part of the join's condition, so lines that share a segment without being near, such as those of
     copies that differ in a few words, give no rows.
     """
-    ids = lines.select("line", "len", line_id().alias("lid"), letter_counts().alias("counts"))
-    index = ids.select("lid", "counts", F.explode(index_keys(edits)).alias("key"))
-    probe = ids.select(F.col("lid").alias("other"), F.col("counts").alias("counts2"), F.explode(probe_keys(edits)).alias("key2"))
+    index = lines.select("lid", "counts", F.explode(index_keys(edits)).alias("key"))
+    probe = lines.select(F.col("lid").alias("other"), F.col("counts").alias("counts2"), F.explode(probe_keys(edits)).alias("key2"))
     near = F.bit_count(F.col("counts").bitwiseXOR(F.col("counts2"))) <= 2 * edits
     met = index.join(probe, (F.col("key") == F.col("key2")) & (F.col("lid") != F.col("other")) & near)
     return met.select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct()
@@ -179,7 +181,7 @@ def linked_lines(lines: DataFrame, edits: int) -> DataFrame:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     few = ids.count() <= BROADCAST_IDS
     wanted = F.broadcast(ids) if few else ids
-    texts = lines.select("line", line_id().alias("lid")).join(wanted, F.col("lid") == F.col("id"), "left_semi").groupBy("lid", "line").agg(F.lit(1).alias("one")).drop("one")
+    texts = lines.select("line", "lid").join(wanted, F.col("lid") == F.col("id"), "left_semi").groupBy("lid", "line").agg(F.lit(1).alias("one")).drop("one")
     texts = materialize(texts, "line-texts")
     side = lambda c: texts.select(F.col("lid").alias(c), F.col("line").alias(f"line_{c}"))
     both = within_edits(pairs.join(side("a"), "a").join(side("b"), "b"), edits)

@@ -271,7 +271,10 @@ class LibraryEncoder(SpaceCutEncoder):
         return tuple(self.library.encode(text, add_special_tokens=False).ids)
 
     def learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """One call for all unknown words; a mark after letters is a piece of its own, so both are looked up apart."""
+        """One call for all unknown words; a mark after letters is a piece of its own, so both are looked up apart.
+
+        Words of letters are one piece each, so they are coded as one text and told apart by the library's piece numbers.
+        """
         out: dict[str, tuple[int, ...]] = {}
         ask, known = {}, lambda w: self.young.get(w) or self.old.get(w)
         cut = {w: w[:-1] for w in words if w[-1] in MARKS and w[:-1].isalpha()}
@@ -282,6 +285,15 @@ class LibraryEncoder(SpaceCutEncoder):
                 ask[" " + cut.get(w, w)] = None
         for w in {w[-1] for w in cut} - self.marks.keys():
             self.marks[w] = self.stretch(w)
+        plain = [t for t in ask if t[1:].isalpha()]
+        if plain:
+            coded = self.library.encode("".join(plain), add_special_tokens=False)
+            numbers, ids = coded.word_ids, coded.ids
+            starts = [i for i in range(len(ids)) if not i or numbers[i] != numbers[i - 1]]
+            if len(starts) == len(plain):
+                for text, i, j in zip(plain, starts, [*starts[1:], len(ids)], strict=True):
+                    out[text[1:]] = tuple(ids[i:j])
+                    del ask[text]
         for text, coded in zip(ask, self.library.encode_batch_fast(list(ask), add_special_tokens=False), strict=True):
             out[text[1:]] = tuple(coded.ids)
         for w, head in cut.items():

@@ -6,7 +6,8 @@ next stage's ``docs``.  All but the last return the columns of ``documents``.
 1. quality: documents that the quality rules reject go.
 2. lines: lines that repeat an earlier line, or differ from one by at most two edits, go; a document of which no word
    is left goes with them.
-3. near_duplicates: one document of each group of near copies stays, by five-word shingles.
+3. near_duplicates: one document of each group of near copies stays: those that an exact Jaccard similarity of 0.8 or
+   more of their five-word shingles connects.
 4. decontamination: documents with a word inside a benchmark window go.
 5. encoding: ids, and a check that they decode to the text.
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, linededup, quality, simhash
+from lodestone.llm import bpe, decontam, linededup, quality, shingles
 from lodestone.llm.common import read_table, scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -38,7 +39,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first_of_each(docs.select(*COLUMNS))
+    return shingles.keep_first_similar(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ STAGES = [
     ("decontamination", decontamination),
     ("encoding", encoding),
 ]
-#: Quality by a trained chain, near copies by XXH64 fingerprints and BPE are beyond SQL; tested against brute force.
+#: Quality by a trained chain, near copies by hashed shingles and BPE are beyond SQL; tested against brute force.
 ORACLE_SQL = None
 
 

@@ -235,6 +235,40 @@ def test_simhash(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_first_of_each(d, 3).collect()) == sorted(set(label))
 
 
+def test_similar_documents_brute_force(spark, odd, empty):
+    import corpus_pipeline
+    from lodestone.llm import shingles
+
+    rng = random.Random(12)
+    base = [f"w{rng.randint(0, 900)}" for _ in range(150)]
+    texts = []
+    for _ in range(70):
+        w = list(base) if rng.random() < 0.8 else [f"u{rng.randint(0, 900)}" for _ in range(150)]
+        at = rng.randint(0, 140)
+        w[at : at + rng.randint(0, 12)] = [f"v{rng.randint(0, 99)}" for _ in range(rng.randint(0, 12))]
+        texts.append(" ".join(w))
+    texts += ["one two", "One\ttwo", "", " \n", texts[3].upper()]
+    ids = [*range(len(texts) - 2), 5, None]  # a repeated id with another text, and none
+    rows = [(i, t, "en", "s", 0) for i, t in zip(ids, texts, strict=True)]
+
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [grams(t) for t in texts]
+    label = list(range(len(sets)))
+    similar = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 5 * len(a & b) >= 4 * len(a | b)]
+    for _ in sets:
+        for i, j in similar:
+            label[i] = label[j] = min(label[i], label[j])
+    order = sorted(range(len(rows)), key=lambda r: (ids[r] is None, ids[r] or 0))
+    want = {label[r]: r for r in reversed(order)}.values()
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, empty.schema), "").collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in got) == sorted((ids[r] is None, ids[r] or 0, texts[r]) for r in want)
+    assert len(similar) > len(rows) and shingles.keep_first_similar(empty).count() == 0
+    assert {r["doc_id"] for r in shingles.keep_first_similar(odd).collect()} & {0, 1, 2, 3, 4} == {0}
+
+
 def test_line_dedup(spark):
     rng = random.Random(4)
     lines = ["".join(rng.choice("abcde ") for _ in range(rng.randint(20, 60))) for _ in range(25)]

@@ -7,8 +7,8 @@ the result.  Documents that share an indexed shingle, at positions and sizes tha
 the sizes of intersection and union decide, in whole numbers.
 
 Equal sets collapse before the index.  Of each shingle's documents, the first is compared with all others; pairs that
-this has not connected are then compared one by one.  So a large group of copies gives no pairs of its members, and no
-true connection is lost.
+this has not connected are then compared one by one, where a shingle has many documents by blocks of them, which give the
+links of a spanning forest.  So a large group gives no pairs of its members, and no true connection is lost.
 
 Defined results: a text without words, null or empty, has one empty shingle; a text of fewer words than a shingle is one
 shingle; white space and letter case (A-Z) do not count; an empty table gives none.
@@ -28,8 +28,8 @@ from lodestone.llm.graph import connected_components
 WIDTH, NUM, DEN = 5, 4, 5
 #: Documents in the sample that orders shingles, and how many of them hold a frequent one.
 SAMPLE, FREQUENT = 4000, 4
-#: A shingle's documents are compared in blocks of so many.
-BLOCK = 2048
+#: Shingles of up to so many documents give pairs; the documents of others meet with their sets, in blocks of so many.
+FEW, BLOCK = 16, 256
 
 
 def shingle_set(text: str | None, width: int):
@@ -90,10 +90,8 @@ def with_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return keyed.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, sid long, n int, head array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` of sets whose similarity is at least ``num / den``; only their texts are read."""
-    pairs = materialize(pairs.distinct(), "shingle-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+def _full_sets(ids: DataFrame, docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """``sid, s`` of the distinct ``sid`` of ``ids``, stored; only their texts are read."""
     one = sets.join(ids, "sid").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("k"))
     keyed = docs.select(*doc_key(docs), "text").dropDuplicates(["k1", "k2"])
     texts = one.select("sid", "k.k1", "k.k2").join(keyed, ["k1", "k2"]).select("sid", "text")
@@ -107,24 +105,84 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, nu
             values = pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["sid", "s"])
 
-    full = materialize(texts.mapInArrow(run, "sid long, s array<long>"), "shingle-sets")
+    return materialize(texts.mapInArrow(run, "sid long, s array<long>"), "shingle-sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` of sets whose similarity is at least ``num / den``."""
+    pairs = materialize(pairs.distinct(), "shingle-pairs")
+    full = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), docs, sets, width)
     side = lambda c: full.select(F.col("sid").alias(c), F.col("s").alias(f"s{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     # i / (na + nb - i) >= num / den
     return materialize(both.where(F.col("i") * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("a", "b"), "shingle-links")
 
 
+def _shared(x: list, y: list):
+    """Sizes of the intersections of the sets ``x`` with the sets ``y``."""
+    import numpy as np
+
+    every = np.concatenate([*x, *y])
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    _, token, n = np.unique(every, return_inverse=True, return_counts=True)
+    often = n > 1
+    place, keep = np.cumsum(often) - 1, often[token]
+    row, token = row[keep], place[token[keep]]
+    out = np.zeros((len(x), len(y)), np.int64)
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    for low in range(0, int(often.sum()), 4096):
+        at = slice(*np.searchsorted(token, (low, low + 4096)))
+        dense = np.zeros((len(x) + len(y), 4096), np.float32)
+        dense[row[at], token[at] - low] = 1
+        out += (dense[: len(x)] @ dense[len(x) :].T).astype(np.int64)
+    return out
+
+
+def _block_links(buckets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links ``a, b`` between sets ``m``, given in full, of a bucket whose components differ: of what is similar in two
+    blocks, a spanning forest."""
+    n = F.ceil(F.size("m") / F.lit(BLOCK)).cast("int")
+    block = lambda i: F.slice("m", i * BLOCK + 1, F.lit(BLOCK))
+    work = (
+        buckets.withColumn("i", F.explode(F.sequence(F.lit(0), n - 1)))
+        .withColumn("j", F.explode(F.sequence(F.col("i"), n - 1)))
+        .select(block(F.col("i")).alias("x"), block(F.col("j")).alias("y"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            found = set()
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                (a, ca, sa), (b, cb, sb) = ([m.field("sid").to_numpy(), m.field("component").to_numpy(), [s.values.to_numpy() for s in m.field("s")]] for m in (x.values, y.values))
+                sizes = np.array([len(s) for s in sa])[:, None] + np.array([len(s) for s in sb])[None, :]
+                parent: dict[int, int] = {}
+
+                def find(c: int, parent=parent) -> int:
+                    while parent.setdefault(c, c) != c:
+                        parent[c] = parent[parent[c]]
+                        c = parent[c]
+                    return c
+
+                near = (_shared(sa, sb) * (num + den) >= sizes * num) & (ca[:, None] != cb[None, :])
+                for i, j in np.argwhere(near).tolist():
+                    p, q = find(int(ca[i])), find(int(cb[j]))
+                    if p != q:
+                        parent[q] = p
+                        found.add((min(int(a[i]), int(b[j])), max(int(a[i]), int(b[j]))))
+            edges = np.array(sorted(found), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+
+    return work.mapInArrow(run, "a long, b long")
+
+
 def _candidates(buckets: DataFrame, num: int, den: int, rest: bool) -> DataFrame:
     """Pairs ``a, b`` of the sets ``m`` of a bucket: the first with all others, or, if ``rest``, all pairs without it whose
     components differ; both if sizes and positions allow the similarity."""
     if rest:
-        n = F.ceil(F.size("m") / F.lit(BLOCK)).cast("int")
-        block = lambda i: F.slice("m", i * BLOCK + 1, F.lit(BLOCK))
-        work = (
-            buckets.withColumn("i", F.explode(F.sequence(F.lit(0), n - 1)))
-            .withColumn("j", F.explode(F.sequence(F.col("i"), n - 1)))
-            .select(block(F.col("i")).alias("x"), block(F.col("j")).alias("y"), (F.col("i") == F.col("j")).alias("same"))
-        )
+        work = buckets.select(F.col("m").alias("x"), F.col("m").alias("y"), F.lit(True).alias("same"))
     else:
         work = buckets.select(F.slice("m", 1, 1).alias("x"), F.expr("slice(m, 2, size(m) - 1)").alias("y"), F.lit(False).alias("same"))
 
@@ -166,8 +224,12 @@ def similar_sets(docs: DataFrame, sets: DataFrame, width: int, num: int, den: in
     named = open_.join(comps.select(F.col("node").alias("sid"), "component"), "sid", "left")
     struct = F.struct("sid", "n", "at", F.coalesce("component", "sid").alias("component"))
     again = named.groupBy("s").agg(F.collect_list(struct).alias("m")).where(F.size(F.array_distinct(F.col("m.component"))) > 1)
-    more = _verified(_candidates(again, num, den, True), docs, sets, width, num, den)
-    return connected_components(links.unionByName(more))
+    again = materialize(again, "shingle-rest")
+    more = _verified(_candidates(again.where(F.size("m") <= FEW), num, den, True), docs, sets, width, num, den)
+    large = again.where(F.size("m") > FEW).select("s", F.explode("m").alias("e")).select(F.col("s").alias("bucket"), "e.sid", "e.component")
+    full = _full_sets(large.select("sid").distinct(), docs, sets, width)
+    met = large.join(full, "sid").groupBy("bucket").agg(F.collect_list(F.struct("sid", "component", "s")).alias("m"))
+    return connected_components(links.unionByName(more).unionByName(_block_links(met, num, den)))
 
 
 def keep_first_similar(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:

@@ -242,7 +242,7 @@ def test_similar_documents_brute_force(spark, odd, empty):
     rng = random.Random(12)
     base = [f"w{rng.randint(0, 900)}" for _ in range(150)]
     texts = []
-    for _ in range(70):
+    for _ in range(110):
         w = list(base) if rng.random() < 0.8 else [f"u{rng.randint(0, 900)}" for _ in range(150)]
         at = rng.randint(0, 140)
         w[at : at + rng.randint(0, 12)] = [f"v{rng.randint(0, 99)}" for _ in range(rng.randint(0, 12))]

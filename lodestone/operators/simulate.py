@@ -11,11 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIMULATIONS, RESAMPLES = 4000, 2000
+SIMULATIONS, RESAMPLES = 20000, 2000
+#: Counts drawn at once.
+CHUNK = 2_000_000
 
 
 def _counted(draws: DataFrame, *keys: str) -> DataFrame:
-    return draws.groupBy(*keys, "perfect", F.round("usd", 2).alias("usd")).agg(F.count("*").alias("n"))
+    return draws.groupBy(*keys, "perfect", "usd").agg(F.count("*").alias("n"))
 
 
 def best_of_k(draws: DataFrame, k: int) -> DataFrame:
@@ -32,19 +34,25 @@ def best_of_k(draws: DataFrame, k: int) -> DataFrame:
     return _counted(draws, "cell").groupBy("cell").applyInPandas(run, "cell string, n long, point double, lo double, hi double")
 
 
-def _simulated(rows: pd.DataFrame, prior: float):
+def _key(rows: pd.DataFrame, keys: tuple[str, ...]) -> list:
+    return [rows[k].iloc[0] for k in keys]
+
+
+def _simulated(rows: pd.DataFrame, keys: tuple[str, ...], prior: float):
     """Cost of a draw by bootstrap over the chance of success by its Beta posterior."""
     import numpy as np
 
     n, won = int(rows.n.sum()), int(rows.n[rows.perfect == 1].sum())
-    rng = np.random.default_rng(zlib.crc32(f"{rows.model.iloc[0]}:{prior}".encode()))
+    rng = np.random.default_rng(zlib.crc32(f"{'|'.join(map(str, _key(rows, keys)))}:{prior}".encode()))
     chance = rng.beta(won + prior, n - won + prior, SIMULATIONS)
-    weights = rng.multinomial(n, rows.n / n, SIMULATIONS)
-    return weights @ rows.usd.to_numpy() / n / chance, n, won
+    usd, share, step = rows.usd.to_numpy(), (rows.n / n).to_numpy(), max(1, CHUNK // len(rows))
+    means = [rng.multinomial(n, share, min(step, SIMULATIONS - at)) @ usd / n for at in range(0, SIMULATIONS, step)]
+    return np.concatenate(means) / chance, n, won
 
 
-def cost_per_success(draws: DataFrame) -> DataFrame:
-    """Median and interval by model under two priors; null without a success or with an unpriced draw."""
+def cost_per_success(draws: DataFrame, keys: tuple[str, ...] = ("model",)) -> DataFrame:
+    """Median and interval by cell, which ``keys`` name, under two priors; null without a success or with an unpriced
+    draw."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -53,29 +61,37 @@ def cost_per_success(draws: DataFrame) -> DataFrame:
         for prior in (0.5, 1.0):
             won = rows.n[rows.perfect == 1].sum()
             if not won or rows.usd.isna().any():
-                out.append((rows.model.iloc[0], prior, None, None, None))
+                out.append((*_key(rows, keys), prior, None, None, None))
                 continue
-            cost, _, _ = _simulated(rows, prior)
-            out.append((rows.model.iloc[0], prior, *np.quantile(cost, (0.5, 0.025, 0.975))))
-        return pd.DataFrame(out, columns=["model", "prior", "median", "lo", "hi"])
+            cost, _, _ = _simulated(rows, keys, prior)
+            out.append((*_key(rows, keys), prior, *np.quantile(cost, (0.5, 0.025, 0.975))))
+        return pd.DataFrame(out, columns=[*keys, "prior", "median", "lo", "hi"])
 
-    return _counted(draws, "model").groupBy("model").applyInPandas(run, "model string, prior double, median double, lo double, hi double")
+    schema = ", ".join(f"{k} string" for k in keys)
+    return _counted(draws, *keys).groupBy(*keys).applyInPandas(run, f"{schema}, prior double, median double, lo double, hi double")
 
 
-def settled_pairs(draws: DataFrame) -> DataFrame:
-    """Pairs of models, the cheaper first, and the chance that it is cheaper for each success; settled if that is at
-    least 0.975 under both priors."""
+def settled_pairs(draws: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of models that share ``within``, the cheaper first, and the chance that it is cheaper for each success;
+    settled if that is at least 0.975 under both priors.  A cell with an unpriced draw is void: a part of its bill
+    understates it."""
+    keys = (*within, "model")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         n, won = int(rows.n.sum()), int(rows.n[rows.perfect == 1].sum())
-        if n < 3 or not won:
-            return pd.DataFrame({"model": [], "point": [], "half": [], "one": []})
-        cost = [_simulated(rows, p)[0].tolist() for p in (0.5, 1.0)]
-        return pd.DataFrame({"model": [rows.model.iloc[0]], "point": [float((rows.usd * rows.n).sum() / won)], "half": [cost[0]], "one": [cost[1]]})
-
-    s = _counted(draws, "model").groupBy("model").applyInPandas(run, "model string, point double, half array<double>, one array<double>")
+        if n < 3 or not won or rows.usd.isna().any():
+            return pd.DataFrame(columns=[*keys, "point", "half", "one"], dtype=object)
+        cost = [_simulated(rows, keys, p)[0].tolist() for p in (0.5, 1.0)]
+        named = {k: [v] for k, v in zip(keys, _key(rows, keys), strict=True)}
+        return pd.DataFrame({**named, "point": [float((rows.usd * rows.n).sum() / won)], "half": [cost[0]], "one": [cost[1]]})
+
+    schema = ", ".join(f"{k} string" for k in keys)
+    s = _counted(draws, *keys).groupBy(*keys).applyInPandas(run, f"{schema}, point double, half array<double>, one array<double>")
     a, b = s.alias("a"), s.alias("b")
-    j = a.join(b, (F.col("a.point") < F.col("b.point")) | ((F.col("a.point") == F.col("b.point")) & (F.col("a.model") < F.col("b.model"))))
+    on = (F.col("a.point") < F.col("b.point")) | ((F.col("a.point") == F.col("b.point")) & (F.col("a.model") < F.col("b.model")))
+    for k in within:
+        on = (F.col(f"a.{k}") == F.col(f"b.{k}")) & on
+    j = a.join(b, on)
     less = lambda c: F.aggregate(F.zip_with(F.col(f"a.{c}"), F.col(f"b.{c}"), lambda x, y: (x < y).cast("int")), F.lit(0), lambda t, x: t + x) / SIMULATIONS
-    d = j.select(F.col("a.model").alias("cheaper"), F.col("b.model").alias("dearer"), less("half").alias("p_half"), less("one").alias("p_one"))
+    d = j.select(*(F.col(f"a.{k}").alias(k) for k in within), F.col("a.model").alias("cheaper"), F.col("b.model").alias("dearer"), less("half").alias("p_half"), less("one").alias("p_one"))
     return d.withColumn("settled", F.least("p_half", "p_one") >= 0.975)

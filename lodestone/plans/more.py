@@ -190,12 +190,13 @@ def best_of_k(spark, sf_dir):
 
 @register("k09_cost_simulation")
 def cost_simulation(spark, sf_dir):
-    return simulate.cost_per_success(draws(spark, sf_dir).where("outcome <> 'infra_error'"))
+    """By target, condition (``cell`` stands for arm and protocol) and model."""
+    return simulate.cost_per_success(draws(spark, sf_dir).where("outcome <> 'infra_error'"), ("target", "cell", "model"))
 
 
 @register("k10_settled_pairs")
 def settled_pairs(spark, sf_dir):
-    return simulate.settled_pairs(draws(spark, sf_dir).where("outcome <> 'infra_error' and usd is not null"))
+    return simulate.settled_pairs(draws(spark, sf_dir).where("outcome <> 'infra_error'"), ("target", "cell"))
 
 
 # ---- L, N

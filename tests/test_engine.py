@@ -53,6 +53,23 @@ def test_simulations_do_not_move_one_another(spark):
     assert cost["a", 0.5]["lo"] < 0.025 / (8 / 12) < cost["a", 0.5]["hi"]
 
 
+def test_simulations_by_cell(spark):
+    """Cells stay apart, an unpriced draw voids its cell, and prices under half a cent count."""
+    from lodestone.operators import simulate
+
+    def cell(target, model, usd, unpriced=False):
+        return [(target, model, int(i % 3 > 0), None if unpriced and i == 0 else usd) for i in range(12)]
+
+    rows = cell("t1", "a", 0.001) + cell("t1", "b", 0.004) + cell("t1", "c", 0.5, True) + cell("t2", "a", 0.002) + cell("t2", "b", 9.0, True)
+    d = spark.createDataFrame(rows, "target string, model string, perfect int, usd double")
+    cost = {(r["target"], r["model"]): r for r in simulate.cost_per_success(d, ("target", "model")).where("prior = 0.5").collect()}
+    assert 0 < cost["t1", "a"]["lo"] < 0.001 / (8 / 12) < cost["t1", "a"]["hi"] and cost["t2", "a"]["median"] > cost["t1", "a"]["median"]
+    assert cost["t1", "c"]["median"] is None and cost["t2", "b"]["median"] is None
+    pairs = simulate.settled_pairs(d, ("target",)).collect()
+    assert [(r["target"], r["cheaper"], r["dearer"], r["settled"]) for r in pairs] == [("t1", "a", "b", True)]
+    assert simulate.SIMULATIONS == 20000
+
+
 def test_sources(spark, tmp_path):
     from pyspark.sql import functions as F
 

@@ -4,8 +4,8 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is wri
 next stage's ``docs``.  All but the last return the columns of ``documents``.
 
 1. quality: documents that the quality rules reject go.
-2. lines: lines that repeat an earlier line, or differ from one by at most two edits, go; a document of which no word
-   is left goes with them.
+2. lines: lines that repeat an earlier line, whatever their length unless blank, or from 24 characters on differ from
+   one by at most two edits, go; a document of which no word is left goes with them.
 3. near_duplicates: one document of each group of near copies stays: those that an exact Jaccard similarity of 0.8 or
    more of their five-word shingles connects.
 4. decontamination: documents with a word inside a benchmark window go.
@@ -35,7 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _table(linededup.dedup_lines(docs.select(*COLUMNS)).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    return _table(linededup.dedup_lines(docs.select(*COLUMNS), min_equal=1).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

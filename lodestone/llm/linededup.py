@@ -36,10 +36,16 @@ COUNTED = "aeiounrsthldcgbwmpvqzé"
 BROADCAST_IDS = 2_000_000
 
 
-def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
+def takes_part(line: Column, min_chars: int, min_equal: int | None) -> Column:
+    """Lines of ``min_chars``, and if ``min_equal`` is given those from there on that are not blank."""
+    long_enough = F.char_length(line) >= min_chars
+    return long_enough if min_equal is None else long_enough | ((F.char_length(line) >= min_equal) & line.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def lines_of(docs: DataFrame, min_chars: int, min_equal: int | None = None) -> DataFrame:
     """``k1, k2, doc, no, line, len`` of every line that takes part."""
     found = docs.select(*doc_key(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return found.withColumn("len", F.char_length("line")).where(F.col("len") >= min_chars)
+    return found.withColumn("len", F.char_length("line")).where(takes_part(F.col("line"), min_chars, min_equal))
 
 
 def line_id() -> Column:
@@ -188,23 +194,24 @@ def linked_lines(lines: DataFrame, edits: int) -> DataFrame:
     return materialize(both.select("a", "b").distinct(), "line-links")
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, min_equal: int | None = None) -> DataFrame:
     """``lid, n, first, first_linked, n_links`` of each line that is repeated or linked; the others are left out."""
-    lines = lines_of(docs, min_chars)
+    lines = lines_of(docs, min_chars, min_equal)
     firsts = lines.select(line_id().alias("lid"), place().alias("place")).groupBy("lid").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     firsts = materialize(firsts, "line-firsts")
-    links = linked_lines(first_of_each(lines, firsts), edits)
+    links = linked_lines(first_of_each(lines.where(F.col("len") >= min_chars), firsts), edits)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(firsts.select(F.col("lid").alias("b"), F.col("first").alias("f")), "b").groupBy("a").agg(F.min("f").alias("first_linked"), F.count("*").alias("n_links"))
     out = firsts.join(near, F.col("lid") == F.col("a"), "left").drop("a")
     return materialize(out.where("n > 1 or n_links is not null"), "line-classes")
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, text_col: str = "text", min_equal: int | None = None) -> DataFrame:
     """``docs`` with ``text`` rid of duplicate lines, and ``n_lines``, ``n_exact``, ``n_near``: the lines that take
-    part, those removed for an equal earlier line, and those removed for a near one only."""
-    classes = line_classes(docs, edits, min_chars)
-    at = lines_of(docs, min_chars).select("k1", "k2", "no", line_id().alias("l"), place().alias("place"))
+    part, those removed for an equal earlier line, and those removed for a near one only.  With ``min_equal``, shorter
+    lines of so many characters that are not blank take part too, and go for an equal line."""
+    classes = line_classes(docs, edits, min_chars, min_equal)
+    at = lines_of(docs, min_chars, min_equal).select("k1", "k2", "no", line_id().alias("l"), place().alias("place"))
     gone = at.join(classes, F.col("l") == F.col("lid")).select("k1", "k2", "no", (F.col("first") < F.col("place")).alias("exact"), F.coalesce(F.col("first_linked") < F.col("place"), F.lit(False)).alias("near"))
     gone = gone.where("exact or near").groupBy("k1", "k2").agg(
         F.collect_set("no").alias("__gone"),
@@ -217,7 +224,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     split = F.split(F.col(text_col), "\n")
     kept = F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains(F.col("__gone"), i), x)), lambda x: x.isNotNull())
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.coalesce(F.size(F.filter(split, lambda x: F.char_length(x) >= min_chars)), F.lit(0))
+    n_lines = F.coalesce(F.size(F.filter(split, lambda x: takes_part(x, min_chars, min_equal))), F.lit(0))
     others = [F.col(f"`{c}`") if c != text_col else text.alias(text_col) for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
     return joined.select(
         *others,

@@ -311,6 +311,14 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(d.limit(0)).count() == 0
 
 
+def test_short_equal_lines(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, "All rights reserved.\n\nfirst", "en", "s", 0), (2, "second\n\n \nAll rights reserved.\nAll rights reserved!", "en", "s", 0), (3, "first\n \nthird", "en", "s", 0)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, empty.schema), str(tmp_path)).collect()}
+    assert got == {1: rows[0][1], 2: "second\n\n \nAll rights reserved!", 3: " \nthird"}
+
+
 def test_quality(spark, odd, empty):
     good = "\n".join("The quick brown fox jumps over the lazy dog and runs far away from here." for _ in range(2))
     rng = random.Random(0)

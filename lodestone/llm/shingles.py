@@ -30,6 +30,8 @@ WIDTH, NUM, DEN = 5, 4, 5
 SAMPLE, FREQUENT = 4000, 4
 #: Shingles of up to so many documents give pairs; the documents of others meet with their sets, in blocks of so many.
 FEW, BLOCK = 16, 256
+#: Sides of up to so many rows of ids are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def shingle_set(text: str | None, width: int):
@@ -90,11 +92,16 @@ def with_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return keyed.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, sid long, n int, head array<long>")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` stored, and broadcast if it is measured to be small."""
+    df = materialize(df, "shingle-ids")
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def _full_sets(ids: DataFrame, docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
     """``sid, s`` of the distinct ``sid`` of ``ids``, stored; only their texts are read."""
-    one = sets.join(ids, "sid").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("k"))
-    keyed = docs.select(*doc_key(docs), "text").dropDuplicates(["k1", "k2"])
-    texts = one.select("sid", "k.k1", "k.k2").join(keyed, ["k1", "k2"]).select("sid", "text")
+    one = _small(sets.select("sid", "k1", "k2").join(_small(ids), "sid").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("k")).select("sid", "k.k1", "k.k2"))
+    texts = docs.select(*doc_key(docs), "text").join(one, ["k1", "k2"]).select("sid", "text").dropDuplicates(["sid"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -213,11 +220,13 @@ def _candidates(buckets: DataFrame, num: int, den: int, rest: bool) -> DataFrame
 
 def similar_sets(docs: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """``node, component`` of the sets that links of similarity ``num / den`` or more connect with another."""
-    each = sets.groupBy("sid").agg(F.min("n").alias("n"), F.min("head").alias("head"))
+    key = F.struct("k1", "k2")
+    repeated = _small(sets.groupBy("sid").agg(F.min(key).alias("k"), F.count("*").alias("c")).where("c > 1").select("sid", "k"))
+    each = sets.join(repeated, "sid", "left").where(F.col("k").isNull() | (F.col("k") == key))
     posted = each.select("sid", "n", F.posexplode("head").alias("at", "s"))
-    label = F.col("sid").alias("component")
-    buckets = posted.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("sid", "n", "at", label))).alias("m")).where(F.size("m") > 1)
-    buckets = materialize(buckets, "shingle-buckets")
+    buckets = posted.groupBy("s").agg(F.array_sort(F.collect_set(F.struct("sid", "n", "at"))).alias("m")).where(F.size("m") > 1)
+    with_label = F.transform("m", lambda e: F.struct(e["sid"].alias("sid"), e["n"].alias("n"), e["at"].alias("at"), e["sid"].alias("component")))
+    buckets = materialize(buckets.select("s", with_label.alias("m")), "shingle-buckets")
     links = _verified(_candidates(buckets, num, den, False), docs, sets, width, num, den)
     comps = connected_components(links)
     open_ = buckets.where(F.size("m") > 2).select("s", F.explode(F.expr("slice(m, 2, size(m) - 1)")).alias("e")).select("s", "e.sid", "e.n", "e.at")

@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, read_table
+from lodestone.llm.common import doc_key, materialize, read_table
 from lodestone.llm.graph import connected_components
+from lodestone.llm.shingles import docs_without_losers
 
 SEGMENTS, SEGMENT_BITS, MAX_BITS = 2, 32, 3
 #: A bucket's fingerprints are compared in blocks of so many.
@@ -132,13 +133,13 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = MAX_BITS, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, ``fp`` and ``component_id``, the smallest ``doc_id`` that links reach from the row."""
+    """``keep`` columns, ``fp``, ``component`` and ``component_id``, the smallest ``doc_id`` that links reach from the row."""
     printed = materialize(with_fingerprint(docs, width, keep=tuple({*keep, "doc_id"})), "fingerprints")
     firsts = printed.groupBy("fp").agg(F.min("doc_id").alias("first"))
     comps = connected_components(links(firsts.select("fp"), max_bits))
     named = firsts.join(comps.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    label = named.join(smallest, "component").select(F.col("fp").alias("__fp"), "component_id")
+    label = named.join(smallest, "component").select(F.col("fp").alias("__fp"), "component", "component_id")
     return printed.join(label, F.col("fp") == F.col("__fp")).drop("__fp")
 
 
@@ -153,13 +154,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first_of_each(docs: DataFrame, width: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each component: the one of smallest id.
-
-    Rows that repeat the id that stays, stay with it; rows without an id belong to no document and stay.
+    """``docs`` with one document of each component: the one of smallest id, rows without an id last, and of rows that
+    repeat an id with another text one.  Wholly repeated rows stay together.
     """
-    found = near_duplicates(docs, width, max_bits)
-    losers = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti")
+    k = doc_key(docs)
+    found = near_duplicates(docs.select("*", *k), width, max_bits, keep=("doc_id", "k1", "k2"))
+    return docs_without_losers(docs, found.select("doc_id", "k1", "k2", F.col("component").alias("group")))
 
 
 QUERIES = {"op7_simhash": op7_simhash}

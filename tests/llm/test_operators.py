@@ -235,6 +235,12 @@ def test_simhash(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_first_of_each(d, 3).collect()) == sorted(set(label))
 
 
+def test_simhash_rows_that_repeat_an_id(spark):
+    rows = [(0, "a b c d e f g h"), (1, "A b c d e f g h"), (1, "quite other words stand here alone today"), (None, "a B c d e f g h"), (None, "nobody else says this one thing ever")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in simhash.keep_first_of_each(d).collect()} == {rows[0], rows[2], rows[4]}
+
+
 def test_similar_documents_brute_force(spark, odd, empty):
     import corpus_pipeline
     from lodestone.llm import shingles

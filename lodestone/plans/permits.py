@@ -103,6 +103,12 @@ def fragment_text(spark, sf_dir):
     return pages.select("page_id", text.fragment_text(F.col("h")).alias("v"))
 
 
+@register("b07_fragment_text_whole")
+def fragment_text_whole(spark, sf_dir):
+    """Over whole pages; tested against brute force."""
+    return frame(spark, sf_dir, "SELECT page_id, html FROM pages").select("page_id", text.fragment_text(F.col("html")).alias("v"))
+
+
 @register("b10_name_key", rf"WITH {P} SELECT DISTINCT source_id, lower({SQUASH.format('source_id')}) AS name_key, CASE WHEN length(CAST(CAST(state_fips AS INT) AS VARCHAR)) < 2 THEN lpad(CAST(CAST(state_fips AS INT) AS VARCHAR), 2, '0') ELSE CAST(CAST(state_fips AS INT) AS VARCHAR) END AS fips FROM p")
 def name_key(spark, sf_dir):
     return permits(spark, sf_dir).select("source_id", text.norm_name(F.col("source_id")).alias("name_key"), text.zfill2(F.col("state_fips").cast("int").cast("string")).alias("fips")).distinct()

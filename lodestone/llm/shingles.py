@@ -255,7 +255,7 @@ def docs_without_losers(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``docs`` without the documents ``doc_id, k1, k2`` that are not the first of their ``group``."""
     place = F.struct(F.col("doc_id").isNull().alias("last"), "k1", "k2")
     firsts = rows.groupBy("group").agg(F.min(place).alias("first"))
-    losers = rows.join(firsts, "group").where(place != F.col("first")).select("k1", "k2").distinct()
+    losers = _small(rows.join(firsts, "group").where(place != F.col("first")).select("k1", "k2").distinct())
     k = doc_key(docs)
     keyed = docs.select("*", k[0].alias("__k1"), k[1].alias("__k2"))
     return keyed.join(losers, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_anti").drop("__k1", "__k2")

@@ -1,20 +1,27 @@
 """Near-duplicate lines by a segment-partition edit join.  DataFrame functions only.
 
-Lines of at least ``min_chars`` code points take part.  Each is split into ``edits + 1`` segments of even length and
-indexed under (segment number, line length, segment).  A line probes, for its own length and each shorter one within
-``edits``, the substrings that a segment may have moved to; two lines within ``edits`` edits share at least one key,
-for ``edits`` edits cannot touch every segment.  Pairs that share a key, and whose counts of some letters differ by no
-more than so many edits can make them, are verified by a banded bit-parallel
-automaton: for each number of edits a mask of the ``2 * edits + 1`` diagonals that are reachable, moved on by one
-character with shifts and ands.
+Lines of at least ``min_chars`` code points take part.  Lengths are put into classes; a class has ``edits + 1`` disjoint
+segments of one width, the first half of them placed from the line's beginning and the rest from its end.  Of two lines
+within ``edits`` edits the shorter has a segment that stands in the other, moved by no more places than there are
+segments between it and its end of the line (the multi-match-aware bound).  Each line is indexed and probed under
+(segment number, class, substring) for its own class and those that a line shorter by up to ``edits`` may be in.  Pairs
+are verified by a banded bit-parallel automaton: for each number of edits a mask of the ``2 * edits + 1`` diagonals that
+are reachable, moved on by one character with shifts and ands.
+
+Only whether an earlier line is near is asked, so all pairs are never made.  Each line of a bucket is compared with the
+bucket's earliest line; what that settles asks no more.  The unsettled lines of a bucket of up to ``FEW`` rows are
+compared with the earlier ones in it.  Larger buckets are split again: without the segment they share, their lines are
+still within ``edits`` edits, so the same keys of the remainder hold every pair that is left.  After ``DEPTH`` splits
+lines that share four fifths of their text are compared with the earlier ones of their bucket.
 
 A line is a duplicate if an equal line, or one within ``edits`` edits, stands earlier; the order is (doc_id, line
-number).  Equal lines are one key wherever they stand, so a line that a third of all documents hold is joined once.
-Keys, not texts, are shuffled: only lines of candidate pairs are fetched.
+number).  Lines are equal if two independent 64-bit hashes agree (128 bits); equal lines are one row wherever they stand,
+so a line that a third of all documents hold is joined once.  Keys, not texts, are shuffled: only lines of pairs to
+verify are fetched.
 
 Defined results: a null text has no lines and stays null; an empty text has one short line; shorter lines are never
-duplicates; a null doc_id stands before all others; rows that repeat a doc_id share positions, so their equal lines
-at one position do not remove each other; an empty table gives none; other columns are kept and those that clash with
+duplicates; a null doc_id stands before all others; rows that repeat a doc_id share positions, so lines at one position
+do not remove each other; an empty table gives none; other columns are kept and those that clash with
 an output column are replaced.
 """
 
@@ -25,15 +32,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import NULL_ID, computed_once, doc_key, materialize, read_table
+from lodestone.llm.common import computed_once, doc_key, materialize, read_table
 
 EDITS, MIN_CHARS = 2, 24
 #: Characters after which hopeless pairs are given up.
 HEAD = 24
-#: Characters whose counts tell lines apart before their texts are fetched (22, two bits each).
-COUNTED = "aeiounrsthldcgbwmpvqzé"
-#: Line ids up to this many are broadcast as a filter when texts are fetched; beyond it they are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Buckets of up to so many rows are compared whole; larger ones are split again, so many times.
+FEW, DEPTH = 32, 4
+#: Tables of ids are broadcast up to this size, which is measured; beyond it they are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def takes_part(line: Column, min_chars: int, min_equal: int | None) -> Column:
@@ -42,51 +49,68 @@ def takes_part(line: Column, min_chars: int, min_equal: int | None) -> Column:
     return long_enough if min_equal is None else long_enough | ((F.char_length(line) >= min_equal) & line.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def lines_of(docs: DataFrame, min_chars: int, min_equal: int | None = None) -> DataFrame:
-    """``k1, k2, doc, no, line, len`` of every line that takes part."""
-    found = docs.select(*doc_key(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return found.withColumn("len", F.char_length("line")).where(takes_part(F.col("line"), min_chars, min_equal))
+class Places:
+    """Positions of lines as one ordered number: a long where ids and lengths of texts allow it, else a decimal."""
 
+    def __init__(self, docs: DataFrame, text_col: str = "text"):
+        row = docs.agg(F.min(F.col("doc_id").cast("long")).alias("lo"), F.max(F.col("doc_id").cast("long")).alias("hi"), F.max(F.octet_length(text_col)).alias("n")).first()
+        self.low = row["lo"] if row["lo"] is not None else 0
+        self.bits = (row["n"] or 0).bit_length() + 1  # a text has no more lines than bytes and one
+        self.long = ((row["hi"] or 0) - self.low + 1).bit_length() + self.bits <= 62
 
-def line_id() -> Column:
-    return F.xxhash64("line")
+    def of(self, no: Column) -> Column:
+        if self.long:
+            doc = F.coalesce(F.col("doc_id").cast("long") - F.lit(self.low) + 1, F.lit(0).cast("long"))
+            return F.shiftleft(doc, self.bits) + no
+        doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)") - F.lit(self.low).cast("decimal(20,0)") + 1, F.lit(0))
+        return (doc.cast("decimal(21,0)") * F.lit(1 << self.bits).cast("decimal(12,0)") + no).cast("decimal(38,0)")
 
 
-def place() -> Column:
-    """Position of a line as one ordered number."""
-    return (F.col("doc").cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("no").cast("decimal(10,0)")).cast("decimal(38,0)")
+def lines_of(docs: DataFrame, places: Places, min_chars: int, min_equal: int | None = None, text_col: str = "text") -> DataFrame:
+    """``k1, k2, no, at, h, h2, line`` of every line that takes part: its document, number, position and hashes."""
+    found = docs.select(*doc_key(docs, text_col=text_col), "doc_id", F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
+    found = found.where(takes_part(F.col("line"), min_chars, min_equal))
+    return found.select("k1", "k2", "no", places.of(F.col("no")).alias("at"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment ``i`` of a line: even lengths, the longer ones last."""
-    base = F.floor(length / F.lit(edits + 1)).cast("int")
-    long_ones = length % F.lit(edits + 1)
-    short = F.lit(edits + 1) - long_ones
-    start = F.lit(i) * base + F.greatest(F.lit(0), F.lit(i) - short)
-    return start.cast("int"), (base + (F.lit(i) >= short).cast("int")).cast("int")
+def small_side(df: DataFrame, label: str) -> tuple[DataFrame, bool]:
+    """``df`` of fixed-width columns, stored; marked for a broadcast if its rows are measured to be few enough."""
+    df = materialize(df, label)
+    few = df.count() * (16 + 8 * len(df.columns)) <= BROADCAST_BYTES
+    return (F.broadcast(df) if few else df), few
 
 
-def index_keys(edits: int) -> Column:
-    keys = []
+def _class_of(n: Column) -> Column:
+    """The largest multiple up to ``n`` of a step that is an eighth to a quarter of it."""
+    n = F.greatest(n, F.lit(1))
+    step = F.call_function("shiftleft", F.lit(1), F.greatest(F.floor(F.log2(n)).cast("int") - 2, F.lit(0)))
+    return n - n % step
+
+
+def segments(line: Column, q: Column, edits: int) -> list[tuple[int, Column, Column]]:
+    """Number, start (from 0) and width of the substrings of a line to look up in class ``q``."""
+    width, n, out = F.floor(q / F.lit(edits + 1)).cast("int"), F.char_length(line), []
     for i in range(edits + 1):
-        start, size = _segment(F.col("len"), i, edits)
-        keys.append(F.xxhash64(F.lit(i), F.col("len"), F.col("line").substr(start + 1, size)))
-    return F.array(*keys)
-
-
-def probe_keys(edits: int) -> Column:
-    """For each length not above the line's and each segment, the substrings of the multi-match-aware window: a match of
-    segment ``i`` has at most ``i`` edits before it and ``edits - i`` after, so it moved by no more."""
-    keys = []
-    for d in range(edits + 1):
-        length = F.col("len") - F.lit(d)
-        for i in range(edits + 1):
-            start, size = _segment(length, i, edits)
-            for move in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
-                at = start + F.lit(move)
-                ok = (at >= 0) & (at + size <= F.col("len"))
-                keys.append(F.when(ok, F.xxhash64(F.lit(i), length.cast("int"), F.col("line").substr(at + 1, size))))
-    return F.array_compact(F.array(*keys))
+        start = F.lit(i) * width if i <= edits - i else n - F.lit(edits - i + 1) * width
+        most = min(i, edits - i)
+        out += [(i, start + F.lit(move), width) for move in range(-most, most + 1)]
+    return out
+
+
+def keyed(rows: DataFrame, edits: int, text: str, with_rest: bool, *carried: str) -> DataFrame:
+    """``key`` and ``carried`` columns for each lookup of ``text``, and with ``with_rest`` the ``rest``: the text without
+    the substring.  A ``key`` that the rows have becomes part of the new one."""
+    n = F.char_length(text)
+    classes = F.array_distinct(F.array(*(_class_of(n - d) for d in range(edits + 1))))
+    rows = rows.select(*rows.columns, F.explode(classes).alias("__q"))
+    line, before = F.col(text), ["key"] if "key" in rows.columns else []
+    made = []
+    for i, start, width in segments(line, F.col("__q"), edits):
+        ok = (start >= 0) & (start + width <= n)
+        key = F.xxhash64(*before, F.lit(i), "__q", line.substr(start + 1, width))
+        made.append(F.when(ok, F.struct(key.alias("key"), F.concat(F.left(line, start), line.substr(start + width + 1, n)).alias("rest")) if with_rest else key))
+    out = rows.select(*(c for c in carried), F.explode(F.array_compact(F.array(*made))).alias("__k"))
+    return out.select(F.col("__k.key").alias("key"), *carried, F.col("__k.rest").alias("rest")) if with_rest else out.select(F.col("__k").alias("key"), *carried)
 
 
 def _common(a: Column, b: Column, most: Column, part) -> Column:
@@ -147,80 +171,79 @@ def within_edits(pairs: DataFrame, edits: int, a: str = "line_a", b: str = "line
     return df.where(F.call_function("shiftright", end, m - n + F.lit(k)).bitwiseAND(F.lit(1)) == 1).select(*columns)
 
 
-def letter_counts() -> Column:
-    """Counts of ``COUNTED`` characters modulo four, in Gray code, as one long: an edit changes at most two counts by one
-    and so at most two bits."""
-    total = F.lit(0).cast("bigint")
-    for i, c in enumerate(COUNTED):
-        n = (F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(c), F.lit("")))).cast("bigint")
-        n = n if c.isascii() else F.shiftright(n, 1)  # two bytes each
-        gray = n.bitwiseXOR(F.shiftright(n, 1)).bitwiseAND(F.lit(3).cast("bigint"))
-        total = total.bitwiseOR(F.shiftleft(gray, 2 * i))
-    return total
-
-
-def first_of_each(lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """``lid, line, len, counts`` of every line, stored, without later copies of an equal line: so a line is joined
-    once however often it stands, and its text is cut and counted once."""
-    repeated = firsts.where("n > 1").select("lid", "first")
-    side = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated
-    kept = lines.join(side, line_id() == F.col("lid"), "left").where(F.col("first").isNull() | (F.col("first") == place()))
-    return materialize(kept.select(line_id().alias("lid"), "line", "len", letter_counts().alias("counts")), "lines")
-
-
-def candidate_pairs(lines: DataFrame, edits: int) -> DataFrame:
-    """``a, b`` ids of different lines that share a key and whose letter counts do not rule them out.
-
-    The counts are part of the join's condition, so lines that share a segment without being near, such as those of
-    copies that differ in a few words, give no rows.
-    """
-    index = lines.select("lid", "counts", F.explode(index_keys(edits)).alias("key"))
-    probe = lines.select(F.col("lid").alias("other"), F.col("counts").alias("counts2"), F.explode(probe_keys(edits)).alias("key2"))
-    near = F.bit_count(F.col("counts").bitwiseXOR(F.col("counts2"))) <= 2 * edits
-    met = index.join(probe, (F.col("key") == F.col("key2")) & (F.col("lid") != F.col("other")) & near)
-    return met.select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct()
-
-
-def linked_lines(lines: DataFrame, edits: int) -> DataFrame:
-    """``a, b``: ids of different lines within ``edits`` edits, each pair once; stored."""
-    pairs = materialize(candidate_pairs(lines, edits), "line-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    wanted = F.broadcast(ids) if few else ids
-    texts = lines.select("line", "lid").join(wanted, F.col("lid") == F.col("id"), "left_semi").groupBy("lid", "line").agg(F.lit(1).alias("one")).drop("one")
+def near_pairs(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """``at, h`` of the lines of ``pairs(at, h, at1, h1)`` that are within ``edits`` edits of the other; stored."""
+    pairs = materialize(pairs.distinct(), "line-pairs")
+    ids = pairs.select("at", "h").unionByName(pairs.select(F.col("at1").alias("at"), F.col("h1").alias("h"))).distinct()
+    wanted, few = small_side(ids, "line-ids")
+    texts = lines.select("at", "h", "line").join(wanted, ["at", "h"], "left_semi").dropDuplicates(["at", "h"])
     texts = materialize(texts, "line-texts")
-    side = lambda c: texts.select(F.col("lid").alias(c), F.col("line").alias(f"line_{c}"))
-    both = within_edits(pairs.join(side("a"), "a").join(side("b"), "b"), edits)
-    return materialize(both.select("a", "b").distinct(), "line-links")
-
-
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, min_equal: int | None = None) -> DataFrame:
-    """``lid, n, first, first_linked, n_links`` of each line that is repeated or linked; the others are left out."""
-    lines = lines_of(docs, min_chars, min_equal)
-    firsts = lines.select(line_id().alias("lid"), place().alias("place")).groupBy("lid").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    firsts = materialize(firsts, "line-firsts")
-    links = linked_lines(first_of_each(lines.where(F.col("len") >= min_chars), firsts), edits)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(firsts.select(F.col("lid").alias("b"), F.col("first").alias("f")), "b").groupBy("a").agg(F.min("f").alias("first_linked"), F.count("*").alias("n_links"))
-    out = firsts.join(near, F.col("lid") == F.col("a"), "left").drop("a")
-    return materialize(out.where("n > 1 or n_links is not null"), "line-classes")
+    a = texts.select("at", "h", F.col("line").alias("line_a"))
+    b = texts.select(F.col("at").alias("at1"), F.col("h").alias("h1"), F.col("line").alias("line_b"))
+    found = within_edits(pairs.join(a, ["at", "h"]).join(b, ["at1", "h1"]), edits)
+    return materialize(found.select("at", "h").distinct(), "line-settled")
+
+
+def heads_of(rows: DataFrame) -> DataFrame:
+    """``key, n, at1, h1`` of every key under which two different lines stand: rows and earliest line."""
+    found = rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n"), F.min("at").alias("at1"), F.min_by("h", "at").alias("h1"))
+    return found.where("lo < hi").select("key", "n", "at1", "h1")
+
+
+def near_lines(lines: DataFrame, edits: int = EDITS, few: int = FEW, depth: int = DEPTH) -> DataFrame:
+    """``at, h`` of the lines of ``lines(at, h, line)``, each once, that have an earlier line within ``edits`` edits."""
+    rows = keyed(lines, edits, "line", False, "at", "h")
+    heads, _ = small_side(heads_of(rows), "line-heads")
+    settled = near_pairs(rows.join(heads, "key").where("at1 < at").select("at", "h", "at1", "h1"), lines, edits)
+    found, level = settled, 1
+    members = keyed(lines, edits, "line", True, "at", "h").join(heads.where("n > 2"), "key")
+    while True:
+        # what is not settled and not the earliest asks on; buckets without such a line are done
+        done, _ = small_side(found, "line-done")
+        members = members.join(done.withColumn("done", F.lit(True)), ["at", "h"], "left").withColumn("asks", F.col("done").isNull() & (F.col("at1") < F.col("at"))).drop("done")
+        members = materialize(members, "line-members")
+        asking, _ = small_side(members.where("asks").select("key").distinct(), "line-asking")
+        members = members.join(asking, "key", "left_semi")
+        last = level == depth
+        whole = members if last else members.where(F.col("n") <= few)
+        other = whole.select("key", F.col("at").alias("at0"), F.col("h").alias("h0"))
+        met = whole.where("asks").drop("at1", "h1").join(other, "key").where("at0 < at and h0 != h")
+        settled = near_pairs(met.select("at", "h", F.col("at0").alias("at1"), F.col("h0").alias("h1")), lines, edits)
+        found = found.unionByName(settled)
+        large = members.where(F.col("n") > few)
+        if last or large.isEmpty():
+            return materialize(found.distinct(), "line-near")
+        level += 1
+        split = materialize(keyed(large, edits, "rest", True, "at", "h", "asks"), "line-split")
+        heads, _ = small_side(heads_of(split), "line-heads")
+        split = split.join(heads, "key")
+        settled = near_pairs(split.where("asks and at1 < at").select("at", "h", "at1", "h1"), lines, edits)
+        found = materialize(found.unionByName(settled).distinct(), "line-found")
+        members = split.where("n > 2").drop("asks")
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, text_col: str = "text", min_equal: int | None = None) -> DataFrame:
     """``docs`` with ``text`` rid of duplicate lines, and ``n_lines``, ``n_exact``, ``n_near``: the lines that take
     part, those removed for an equal earlier line, and those removed for a near one only.  With ``min_equal``, shorter
     lines of so many characters that are not blank take part too, and go for an equal line."""
-    classes = line_classes(docs, edits, min_chars, min_equal)
-    at = lines_of(docs, min_chars, min_equal).select("k1", "k2", "no", line_id().alias("l"), place().alias("place"))
-    gone = at.join(classes, F.col("l") == F.col("lid")).select("k1", "k2", "no", (F.col("first") < F.col("place")).alias("exact"), F.coalesce(F.col("first_linked") < F.col("place"), F.lit(False)).alias("near"))
+    lines = lines_of(docs, Places(docs, text_col), min_chars, min_equal, text_col)
+    counted = lines.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    repeated, few = small_side(counted.where("n > 1").select("h", "h2", "first"), "line-repeats")
+    own = lines.join(repeated, ["h", "h2"], "left")
+    firsts = own.where((F.col("first").isNull() | (F.col("first") == F.col("at"))) & (F.char_length("line") >= min_chars)).select("at", "h", "line")
+    if not few:
+        firsts = materialize(firsts, "lines")
+    near, _ = small_side(near_lines(firsts, edits), "line-near-ids")
+    gone = own.drop("line").join(near.withColumn("near", F.lit(True)), ["at", "h"], "left")
+    gone = gone.select("k1", "k2", "no", F.coalesce(F.col("first") < F.col("at"), F.lit(False)).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"))
     gone = gone.where("exact or near").groupBy("k1", "k2").agg(
         F.collect_set("no").alias("__gone"),
         F.count_distinct(F.when(F.col("exact"), F.col("no"))).alias("__exact"),
         F.count_distinct(F.when(~F.col("exact"), F.col("no"))).alias("__near"),
     )
-    k = doc_key(docs)
-    keyed = docs.select(k[0].alias("__d1"), k[1].alias("__d2"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")))
-    joined = keyed.join(gone, (F.col("__d1") == F.col("k1")) & (F.col("__d2") == F.col("k2")), "left")
+    k = doc_key(docs, text_col=text_col)
+    with_key = docs.select(k[0].alias("__d1"), k[1].alias("__d2"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")))
+    joined = with_key.join(gone, (F.col("__d1") == F.col("k1")) & (F.col("__d2") == F.col("k2")), "left")
     split = F.split(F.col(text_col), "\n")
     kept = F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains(F.col("__gone"), i), x)), lambda x: x.isNotNull())
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))

@@ -317,6 +317,39 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(d.limit(0)).count() == 0
 
 
+def levenshtein(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize(("edits", "few", "depth"), [(2, 32, 4), (2, 3, 4), (1, 3, 2), (3, 4, 3)])
+def test_near_lines_brute_force(spark, edits, few, depth):
+    """Templates with up to four edits: a large group in which some lines are near, split at several levels."""
+    rng = random.Random(edits * 10 + few)
+    texts = []
+    for stem in ("the quick brown fox jumps over é lazy dogs and runs", "x" * 25, "Zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich " * 3):
+        for _ in range(40):
+            t = list(stem)
+            for _ in range(rng.randint(0, 5)):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "ß", "q"])
+            texts.append("".join(t))
+    texts = list(dict.fromkeys(t for t in texts if len(t) >= 12))
+    lines = spark.createDataFrame(list(enumerate(texts)), "at long, line string").selectExpr("at", "xxhash64(line) AS h", "line")
+    got = {r["at"] for r in linededup.near_lines(lines, edits, few, depth).collect()}
+    assert got == {i for i, t in enumerate(texts) if any(levenshtein(t, u) <= edits for u in texts[:i])}
+
+
+def test_places_of_wide_ids(spark):
+    d = spark.createDataFrame([(2**62, "same line of more than twenty-four\nother"), (-(2**62), "same line of more than twenty-four"), (None, "x")], "doc_id long, text string")
+    assert not linededup.Places(d).long
+    assert {r["doc_id"]: r["n_exact"] for r in linededup.dedup_lines(d).collect()} == {2**62: 1, -(2**62): 0, None: 0}
+
+
 def test_short_equal_lines(spark, empty, tmp_path):
     import corpus_pipeline
 

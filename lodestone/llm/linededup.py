@@ -9,10 +9,10 @@ are verified by a banded bit-parallel automaton: for each number of edits a mask
 are reachable, moved on by one character with shifts and ands.
 
 Only whether an earlier line is near is asked, so all pairs are never made.  Each line of a bucket is compared with the
-bucket's earliest line; what that settles asks no more.  The unsettled lines of a bucket of up to ``FEW`` rows are
-compared with the earlier ones in it.  Larger buckets are split again: without the segment they share, their lines are
-still within ``edits`` edits, so the same keys of the remainder hold every pair that is left.  After ``DEPTH`` splits
-lines that share four fifths of their text are compared with the earlier ones of their bucket.
+bucket's earliest line; what that settles asks no more.  The unsettled lines are then compared with those earlier ones of
+their bucket whose letter counts two edits allow.  The counts, modulo four and in Gray code, are bits of which an edit
+changes two at most; buckets of more than ``FEW`` rows are therefore dealt again by ``2 * edits + 1`` parts of these
+bits, one of which is equal for every pair that is left.
 
 A line is a duplicate if an equal line, or one within ``edits`` edits, stands earlier; the order is (doc_id, line
 number).  Lines are equal if two independent 64-bit hashes agree (128 bits); equal lines are one row wherever they stand,
@@ -37,8 +37,10 @@ from lodestone.llm.common import computed_once, doc_key, materialize, read_table
 EDITS, MIN_CHARS = 2, 24
 #: Characters after which hopeless pairs are given up.
 HEAD = 24
-#: Buckets of up to so many rows are compared whole; larger ones are split again, so many times.
-FEW, DEPTH = 32, 4
+#: Buckets of up to so many rows are compared whole; larger ones are dealt again by parts of the letter counts.
+FEW = 32
+#: Characters that are counted, two bits each.
+COUNTED = "aeiounrsthldcgbwmpvqzékfyjxäöü"
 #: Tables of ids are broadcast up to this size, which is measured; beyond it they are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -97,20 +99,32 @@ def segments(line: Column, q: Column, edits: int) -> list[tuple[int, Column, Col
     return out
 
 
-def keyed(rows: DataFrame, edits: int, text: str, with_rest: bool, *carried: str) -> DataFrame:
-    """``key`` and ``carried`` columns for each lookup of ``text``, and with ``with_rest`` the ``rest``: the text without
-    the substring.  A ``key`` that the rows have becomes part of the new one."""
-    n = F.char_length(text)
+def keyed(lines: DataFrame, edits: int) -> DataFrame:
+    """``key, at, h`` for each lookup of each line."""
+    n = F.char_length("line")
     classes = F.array_distinct(F.array(*(_class_of(n - d) for d in range(edits + 1))))
-    rows = rows.select(*rows.columns, F.explode(classes).alias("__q"))
-    line, before = F.col(text), ["key"] if "key" in rows.columns else []
-    made = []
-    for i, start, width in segments(line, F.col("__q"), edits):
+    rows, keys = lines.select("at", "h", "line", F.explode(classes).alias("q")), []
+    for i, start, width in segments(F.col("line"), F.col("q"), edits):
         ok = (start >= 0) & (start + width <= n)
-        key = F.xxhash64(*before, F.lit(i), "__q", line.substr(start + 1, width))
-        made.append(F.when(ok, F.struct(key.alias("key"), F.concat(F.left(line, start), line.substr(start + width + 1, n)).alias("rest")) if with_rest else key))
-    out = rows.select(*(c for c in carried), F.explode(F.array_compact(F.array(*made))).alias("__k"))
-    return out.select(F.col("__k.key").alias("key"), *carried, F.col("__k.rest").alias("rest")) if with_rest else out.select(F.col("__k").alias("key"), *carried)
+        keys.append(F.when(ok, F.xxhash64(F.lit(i), "q", F.col("line").substr(start + 1, width))))
+    return rows.select(F.explode(F.array_compact(F.array(*keys))).alias("key"), "at", "h")
+
+
+def letter_counts(line: Column) -> Column:
+    """Counts of ``COUNTED`` characters modulo four, in Gray code, as one long: an edit changes at most two counts by one
+    and so at most two bits."""
+    total = F.lit(0).cast("long")
+    for i, c in enumerate(COUNTED):
+        n = (F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
+        total = total.bitwiseOR(F.shiftleft(n.bitwiseXOR(F.shiftright(n, 1)).bitwiseAND(F.lit(3).cast("long")), 2 * i))
+    return total
+
+
+def parts_of(counts: Column, edits: int) -> list[Column]:
+    """The bits of the letter counts in ``2 * edits + 1`` parts."""
+    n, bits = 2 * edits + 1, 2 * len(COUNTED)
+    cuts = [bits * j // n for j in range(n + 1)]
+    return [F.shiftright(counts, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _common(a: Column, b: Column, most: Column, part) -> Column:
@@ -171,17 +185,13 @@ def within_edits(pairs: DataFrame, edits: int, a: str = "line_a", b: str = "line
     return df.where(F.call_function("shiftright", end, m - n + F.lit(k)).bitwiseAND(F.lit(1)) == 1).select(*columns)
 
 
-def near_pairs(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+def near_pairs(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """``at, h`` of the lines of ``pairs(at, h, at1, h1)`` that are within ``edits`` edits of the other; stored."""
-    pairs = materialize(pairs.distinct(), "line-pairs")
-    ids = pairs.select("at", "h").unionByName(pairs.select(F.col("at1").alias("at"), F.col("h1").alias("h"))).distinct()
-    wanted, few = small_side(ids, "line-ids")
-    texts = lines.select("at", "h", "line").join(wanted, ["at", "h"], "left_semi").dropDuplicates(["at", "h"])
-    texts = materialize(texts, "line-texts")
-    a = texts.select("at", "h", F.col("line").alias("line_a"))
-    b = texts.select(F.col("at").alias("at1"), F.col("h").alias("h1"), F.col("line").alias("line_b"))
-    found = within_edits(pairs.join(a, ["at", "h"]).join(b, ["at1", "h1"]), edits)
-    return materialize(found.select("at", "h").distinct(), "line-settled")
+    a = texts.select("at", "h", F.col("line").alias("line_a"), F.col("counts").alias("counts_a"))
+    b = texts.select(F.col("at").alias("at1"), F.col("h").alias("h1"), F.col("line").alias("line_b"), F.col("counts").alias("counts_b"))
+    both = pairs.distinct().join(a, ["at", "h"]).join(b, ["at1", "h1"])
+    both = both.where(F.bit_count(F.col("counts_a").bitwiseXOR(F.col("counts_b"))) <= 2 * edits)
+    return materialize(within_edits(both, edits).select("at", "h").distinct(), "line-settled")
 
 
 def heads_of(rows: DataFrame) -> DataFrame:
@@ -190,36 +200,31 @@ def heads_of(rows: DataFrame) -> DataFrame:
     return found.where("lo < hi").select("key", "n", "at1", "h1")
 
 
-def near_lines(lines: DataFrame, edits: int = EDITS, few: int = FEW, depth: int = DEPTH) -> DataFrame:
+def near_lines(lines: DataFrame, edits: int = EDITS, few: int = FEW) -> DataFrame:
     """``at, h`` of the lines of ``lines(at, h, line)``, each once, that have an earlier line within ``edits`` edits."""
-    rows = keyed(lines, edits, "line", False, "at", "h")
+    rows = materialize(keyed(lines, edits), "line-keys", "lz4")
     heads, _ = small_side(heads_of(rows), "line-heads")
-    settled = near_pairs(rows.join(heads, "key").where("at1 < at").select("at", "h", "at1", "h1"), lines, edits)
-    found, level = settled, 1
-    members = keyed(lines, edits, "line", True, "at", "h").join(heads.where("n > 2"), "key")
-    while True:
-        # what is not settled and not the earliest asks on; buckets without such a line are done
-        done, _ = small_side(found, "line-done")
-        members = members.join(done.withColumn("done", F.lit(True)), ["at", "h"], "left").withColumn("asks", F.col("done").isNull() & (F.col("at1") < F.col("at"))).drop("done")
-        members = materialize(members, "line-members")
-        asking, _ = small_side(members.where("asks").select("key").distinct(), "line-asking")
-        members = members.join(asking, "key", "left_semi")
-        last = level == depth
-        whole = members if last else members.where(F.col("n") <= few)
-        other = whole.select("key", F.col("at").alias("at0"), F.col("h").alias("h0"))
-        met = whole.where("asks").drop("at1", "h1").join(other, "key").where("at0 < at and h0 != h")
-        settled = near_pairs(met.select("at", "h", F.col("at0").alias("at1"), F.col("h0").alias("h1")), lines, edits)
-        found = found.unionByName(settled)
-        large = members.where(F.col("n") > few)
-        if last or large.isEmpty():
-            return materialize(found.distinct(), "line-near")
-        level += 1
-        split = materialize(keyed(large, edits, "rest", True, "at", "h", "asks"), "line-split")
-        heads, _ = small_side(heads_of(split), "line-heads")
-        split = split.join(heads, "key")
-        settled = near_pairs(split.where("asks and at1 < at").select("at", "h", "at1", "h1"), lines, edits)
-        found = materialize(found.unionByName(settled).distinct(), "line-found")
-        members = split.where("n > 2").drop("asks")
+    hits = materialize(rows.join(heads, "key"), "line-hits")
+    ids, _ = small_side(hits.select("at", "h").distinct(), "line-ids")
+    texts = lines.select("at", "h", "line").join(ids, ["at", "h"], "left_semi").dropDuplicates(["at", "h"])
+    texts = materialize(texts.withColumn("counts", letter_counts(F.col("line"))), "line-texts")
+    first = near_pairs(hits.where("at1 < at").select("at", "h", "at1", "h1"), texts, edits)
+    # what is not settled and not the earliest asks on
+    done, _ = small_side(first, "line-done")
+    members = hits.where("n > 2").join(done.withColumn("done", F.lit(True)), ["at", "h"], "left").join(texts.select("at", "h", "counts"), ["at", "h"])
+    members = materialize(members.withColumn("asks", F.col("done").isNull() & (F.col("at1") < F.col("at"))).drop("done"), "line-members")
+    parts = F.posexplode(F.array(*parts_of(F.col("counts"), edits)))
+    whole = members.where(F.col("n") <= few).withColumns({"part": F.lit(-1), "bits": F.lit(0).cast("long")})
+    dealt = whole.unionByName(members.where(F.col("n") > few).select("*", parts.alias("part", "bits")))
+    other = dealt.select("key", "part", "bits", F.col("at").alias("at0"), F.col("h").alias("h0"), F.col("counts").alias("counts0"))
+    differ = F.col("counts").bitwiseXOR(F.col("counts0"))
+    again = F.lit(False)  # pairs that an earlier part brings together
+    for j, bits in enumerate(parts_of(differ, edits)):
+        again = again | ((F.col("part") > j) & (bits == 0))
+    fit = (F.col("at0") < F.col("at")) & (F.col("h0") != F.col("h")) & (F.bit_count(differ) <= 2 * edits) & ~again
+    met = dealt.where("asks").join(other, ["key", "part", "bits"]).where(fit & ~((F.col("at0") == F.col("at1")) & (F.col("h0") == F.col("h1"))))
+    second = near_pairs(met.select("at", "h", F.col("at0").alias("at1"), F.col("h0").alias("h1")), texts, edits)
+    return first.unionByName(second).distinct()
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, text_col: str = "text", min_equal: int | None = None) -> DataFrame:

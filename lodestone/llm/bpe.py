@@ -28,14 +28,18 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import process_cache, read_table
 
-#: The published pre-tokenizer pattern of this family of vocabularies (fixed value).
-PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Above all ids.
 BASE = 1 << 20
-#: Marks that are a piece of their own after letters.
-MARKS = ".,;:!?"
-#: Bounds of the per-process memory of stretches between spaces; two generations of so many are kept.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
+#: Letters by every version of Unicode, ASCII and Latin, and ASCII that is neither letter nor digit nor white space.
+LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ſ", r"!-/:-@\[-`{-~"
+#: A word of letters and the signs behind them, or two such with a line end between.
+SIMPLE = rf"^(?P<a>[{LETTERS}]+)(?P<p>[{SIGNS}]*)(?P<n>(?:\n)?)(?P<b>[{LETTERS}]*)(?P<q>[{SIGNS}]*)$"
+#: All that Python or the library's patterns hold for white space.
+SPACE = "[\\x{9}-\\x{D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+#: Texts are coded in runs of about so many characters; a longer one is a run of its own.
+RUN_CHARS = 16 << 20
+#: Bound of the words that a process remembers (some 200 bytes each).
+REMEMBERED = 100_000
 
 
 def byte_alphabet() -> list[str]:
@@ -121,189 +125,279 @@ def merge_by_tree(ids: list[int], ranks: dict[int, int], made: list[int]) -> lis
     return [x for x in ids if x >= 0]
 
 
-class SpaceCutEncoder:
-    """Encodes whole texts, cut at added tokens and at lone spaces, and remembers the words between lone spaces.
+def checked_spec(path: str) -> dict:
+    """The JSON of a tokenizer of this family; any other kind raises."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and spec.get("normalizer") is None
+    if not plain or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        raise ValueError(f"not a byte-level BPE without normalizer: {path}")
+    if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"added tokens that change their surroundings: {path}")
+    return spec
+
+
+class Codes:
+    """Ids of several strings, one after another, and where each begins."""
+
+    def __init__(self, ids, sizes):
+        import numpy as np
+
+        self.ids, self.sizes = np.asarray(ids, np.int32), np.asarray(sizes, np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    @classmethod
+    def of(cls, each: list) -> Codes:
+        return cls(list(chain.from_iterable(each)), [len(x) for x in each])
+
+    def take(self, which) -> Codes:
+        import numpy as np
+
+        sizes = self.sizes[which]
+        ends = np.cumsum(sizes)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[which] - ends + sizes, sizes)
+        return Codes(self.ids[at], sizes)
+
+    @classmethod
+    def all(cls, tables: list[Codes]) -> Codes:
+        import numpy as np
+
+        return cls(np.concatenate([t.ids for t in tables]), np.concatenate([t.sizes for t in tables]))
+
+
+class ColumnEncoder:
+    """Encodes whole texts, a column at a time: each distinct word between lone spaces is coded once a run.
 
     In this family of pre-tokenizers a lone space between two characters that are not white space always starts a new
-    piece, so each word after such a space has the same ids wherever it stands.
+    piece, so a word after such a space has the same ids wherever it stands.  The first word of a text and a last one
+    that ends with white space are coded alone, and so is a whole text in which other white space meets a space, or
+    that holds an added token.
     """
 
-    def __init__(self, added: dict[str, int]):
-        self.added = added
-        self.added_split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.spec = checked_spec(path)
+        self.added = {t["content"]: t["id"] for t in self.spec.get("added_tokens", [])}
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
 
-    def stretch(self, text: str) -> tuple[int, ...]:
-        """Ids of a text without added tokens."""
+    def heads(self, words: list[str], space: str) -> Codes:
+        """Ids of each of these words of letters, with ``space`` before it: a space or nothing."""
         raise NotImplementedError
 
-    def word(self, word: str) -> tuple[int, ...]:
-        """Ids of a space and a word."""
-        return self.stretch(" " + word)
-
-    def after_space(self, word: str) -> tuple[int, ...]:
-        """Ids of a space and ``word``, which neither starts nor ends with white space; remembered if short."""
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.word(word)
-        if len(word) <= CACHE_CHARS:
-            if len(self.young) >= CACHE_ENTRIES:
-                self.old, self.young = self.young, {}
-            self.young[word] = ids
-        return ids
+    def words(self, words: list[str]) -> Codes:
+        """Ids of a space and each of these words, which neither begin nor end with white space."""
+        raise NotImplementedError
 
-    def learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of a space and each of these words; the last of a text may end with white space."""
-        return {w: self.stretch(" " + w) if w[-1].isspace() else self.after_space(w) for w in words}
-
-    def run(self, text: str) -> list[tuple[int, ...]]:
-        words = text.split(" ")
-        last = len(words) - 1
-        found = list(map(self.young.get, words))
-        if last and words[0] and not words[0][-1].isspace():
-            found[0] = self.stretch(words[0])
-            new: dict[str, list[int]] = {}
-            for i, ids in enumerate(found):
-                if ids is None:
-                    w = words[i]
-                    if not w or w[0].isspace() or (w[-1].isspace() and i < last):
-                        break
-                    new.setdefault(w, []).append(i)
-            else:
-                for w, ids in self.learn(list(new)).items():
-                    for i in new[w]:
-                        found[i] = ids
-                return found
-        out = []
-        start, held = 0, words[:1]  # some words meet other white space: gather what may belong together
-        for i in range(1, last + 1):
-            w = words[i]
-            if w and not w[0].isspace() and held[-1] and not held[-1][-1].isspace():
-                out.append((start, " ".join(held)))
-                start, held = i, [w]
-            else:
-                held.append(w)
-        out.append((start, " ".join(held)))
-        return [self.young.get(h) or self.after_space(h) if s and not h[-1].isspace() else self.stretch(" " * (s > 0) + h) for s, h in out]
-
-    def parts(self, text: str) -> list[tuple[int, ...]]:
-        if not text:
-            return []
-        if not (self.added_split and any(a in text for a in self.added)):
-            return self.run(text)
-        found = []
-        for i, run in enumerate(self.added_split.split(text)):
-            if i % 2:
-                found.append((self.added[run],))
-            elif run:
-                found += self.run(run)
-        return found
+    def alone(self, texts: list[str]) -> Codes:
+        """Ids of whole texts."""
+        raise NotImplementedError
+
+    def _plain_words(self, words: pa.Array) -> Codes:
+        """Ids of a space and each word.  Letters, the signs behind them and a line end are pieces of their own, so words
+        share their coding."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        parts = pc.extract_regex(words, SIMPLE)
+        simple = parts.is_valid().to_numpy(zero_copy_only=False)
+        a, p, n, b, q = (parts.field(i).filter(parts.is_valid()) for i in range(5))
+        # a second word has letters and a line end before it, which the pattern cannot say
+        second = pc.not_equal(n, "")
+        sound = pc.if_else(second, pc.not_equal(b, ""), pc.and_(pc.equal(b, ""), pc.equal(q, ""))).to_numpy(zero_copy_only=False).copy()
+        simple[simple] = sound
+        keep = pa.array(sound)
+        coded = [x.filter(keep).dictionary_encode() for x in (a, p, n, b, q)]
+        others = words.filter(pa.array(~simple)).to_pylist()
+        tables = [self.heads(coded[0].dictionary.to_pylist(), " ")]
+        tables += [self.alone(coded[i].dictionary.to_pylist()) for i in (1, 2)]
+        tables += [self.heads(coded[3].dictionary.to_pylist(), ""), self.alone(coded[4].dictionary.to_pylist()), self.words(others), Codes([], [0])]
+        base = np.cumsum([0, *(len(t.sizes) for t in tables)])
+        slots = np.full((len(words), 5), base[6])
+        for i, c in enumerate(coded):
+            slots[simple, i] = c.indices.to_numpy() + base[i]
+        slots[~simple, 0] = base[5] + np.arange(len(others))
+        found = Codes.all(tables).take(slots.reshape(-1))
+        return Codes(found.ids, found.sizes.reshape(-1, 5).sum(1))
+
+    def _run(self, texts: pa.Array) -> Codes:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        split = pc.split_pattern(texts, " ")
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        occurs, vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        matches = lambda pattern: pc.match_substring_regex(vocabulary, pattern).to_numpy(zero_copy_only=False)
+        opens, closes, empty = matches(f"^{SPACE}"), matches(f"{SPACE}$"), pc.equal(vocabulary, "").to_numpy(zero_copy_only=False)
+        plain = ~(opens | closes | empty)
+        first, last = offsets[:-1], offsets[1:] - 1
+        odd = ~plain[occurs]
+        odd[first] = False
+        tail = odd[last] & ~(opens | empty)[occurs[last]]  # a last word may end, but not begin, with white space
+        odd[last[tail]] = False
+        loose = np.add.reduceat(odd, first) > 0
+        loose |= (last > first) & (closes | empty)[occurs[first]]  # white space at the end of the first word meets the next space
+        for token in self.added:
+            loose |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        rows, tails = np.flatnonzero(~loose), np.flatnonzero(~loose & tail & (last > first))
+        begun = vocabulary.take(pa.array(occurs[first[rows]])).dictionary_encode()
+        ended = pc.binary_join_element_wise("", vocabulary.take(pa.array(occurs[last[tails]])), " ")
+        whole = texts.take(pa.array(np.flatnonzero(loose)))
+        for i in np.flatnonzero(loose).tolist():
+            occurs[first[i] : last[i] + 1] = -1
+        good = np.flatnonzero(plain)
+        tables = [self._plain_words(vocabulary.take(pa.array(good))), *(self.alone(x.to_pylist()) for x in (begun.dictionary, ended, whole)), Codes([], [0])]
+        base = np.cumsum([0, *(len(t.sizes) for t in tables)])
+        index = np.full(len(vocabulary) + 1, base[4])  # the last entry is empty
+        index[good] = np.arange(len(good))
+        occurs = index[occurs]
+        occurs[first[rows]] = base[1] + begun.indices.to_numpy()
+        occurs[last[tails]] = base[2] + np.arange(len(tails))
+        occurs[first[loose]] = base[3] + np.arange(len(whole))
+        found = Codes.all(tables).take(occurs)
+        return Codes(found.ids, np.add.reduceat(found.sizes, first))
+
+    def column(self, texts: pa.Array) -> Iterator[tuple[int, Codes]]:
+        """The first row and the ids of successive runs of rows; null is the empty text."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts, "")
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        low = 0
+        while low < len(texts):
+            before = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + RUN_CHARS, "right")))
+            yield low, self._run(texts.slice(low, high - low))
+            low = high
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(self.parts(text or "")))
+        return next(self.column(pa.array([text], pa.string())))[1].ids.tolist()
 
-    def count(self, text: str | None) -> int:
-        return sum(map(len, self.parts(text or "")))
 
+class ByteBPE(ColumnEncoder):
+    """A byte-level BPE model read from a ``tokenizers`` JSON file, merged by segment trees.
 
-class ByteBPE(SpaceCutEncoder):
-    """A byte-level BPE model read from a ``tokenizers`` JSON file."""
+    Where a text is cut is asked of the library's pre-tokenizer; words of letters are one piece by its definition.
+    """
 
     def __init__(self, path: str):
-        import regex
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        super().__init__({t["content"]: t["id"] for t in spec.get("added_tokens", [])})
-        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        super().__init__(path)
+        vocab, merges = self.spec["model"]["vocab"], self.spec["model"]["merges"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.ranks = {vocab[a] * BASE + vocab[b]: r for r, (a, b) in enumerate(pairs)}
         self.made = [vocab[a + b] for a, b in pairs]
         alphabet = byte_alphabet()
         self.byte_ids = [vocab[c] for c in alphabet]
+        self.char_ids = {c: vocab[c] for c in alphabet}
         back = {c: b for b, c in enumerate(alphabet)}
         self.bytes_of = {i: bytes(back[c] for c in t) for t, i in vocab.items() if all(c in back for c in t)}
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
         self.decimal = {i: str(i) for i in self.bytes_of}
-        self.pretoken = regex.compile(PRETOKEN)
-        self.pieces: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, piece: str) -> tuple[int, ...]:
-        ids = list(map(self.byte_ids.__getitem__, piece.encode("utf-8")))
-        ids = tuple(merge_by_tree(ids, self.ranks, self.made) if len(ids) > 1 else ids)
-        if len(piece) <= CACHE_CHARS:
-            if len(self.pieces) >= CACHE_ENTRIES:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
+        self.added_split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.spec = {}
 
-    def stretch(self, text: str) -> tuple[int, ...]:
-        pieces, get, piece = self.pretoken.findall(text), self.pieces.get, self.piece
-        return tuple(chain.from_iterable([get(p) or piece(p) for p in pieces]))
+    def merged(self, ids: list[int]) -> list[int]:
+        return merge_by_tree(ids, self.ranks, self.made) if len(ids) > 1 else ids
 
-    def word(self, word: str) -> tuple[int, ...]:
-        # \p{L} is what isalpha() holds for, so the two commonest shapes need no pattern
-        if word.isalpha():
-            return self.pieces.get(" " + word) or self.piece(" " + word)
-        if word[-1] in MARKS and word[:-1].isalpha():
-            return (self.pieces.get(" " + word[:-1]) or self.piece(" " + word[:-1])) + (self.pieces.get(word[-1]) or self.piece(word[-1]))
-        return self.stretch(" " + word)
+    def heads(self, words: list[str], space: str) -> Codes:
+        known, out, ids_of = self.known, [], self.byte_ids.__getitem__
+        for w in words:
+            piece = space + w
+            ids = known.get(piece)
+            if ids is None:
+                ids = tuple(self.merged(list(map(ids_of, piece.encode("utf-8")))))
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                if len(w) <= 48:
+                    known[piece] = ids
+            out.append(ids)
+        return Codes.of(out)
+
+    def pieces(self, text: str) -> list[tuple[int, list[int]]]:
+        """Start and ids of each piece of a text without added tokens."""
+        get = self.char_ids.__getitem__
+        return [(at, self.merged(list(map(get, piece)))) for piece, (at, _) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def words(self, words: list[str]) -> Codes:
+        if not words:
+            return Codes([], [])
+        starts = list(accumulate((len(w) + 1 for w in words), initial=0))
+        out: list[list[int]] = [[] for _ in words]
+        i = 0
+        for at, ids in self.pieces(" " + " ".join(words)):
+            while at >= starts[i + 1]:
+                i += 1
+            out[i] += ids
+        return Codes.of(out)
+
+    def alone(self, texts: list[str]) -> Codes:
+        out = []
+        for text in texts:
+            runs = self.added_split.split(text) if self.added_split else [text]
+            out.append([x for k, run in enumerate(runs) for x in ([self.added[run]] if k % 2 else chain.from_iterable(ids for _, ids in self.pieces(run) if run))])
+        return Codes.of(out)
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-class LibraryEncoder(SpaceCutEncoder):
-    """The ``tokenizers`` library, asked once for each word that it has not yet seen."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.marks: dict[str, tuple[int, ...]] = {}
-        super().__init__({t.content: i for i, t in self.library.get_added_tokens_decoder().items()})
-
-    def stretch(self, text: str) -> tuple[int, ...]:
-        return tuple(self.library.encode(text, add_special_tokens=False).ids)
+class LibraryEncoder(ColumnEncoder):
+    """The ``tokenizers`` library, asked once a run for each distinct word.
 
-    def learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """One call for all unknown words; a mark after letters is a piece of its own, so both are looked up apart.
+    Words of letters go to its model without its pre-tokenizer, which would cut nothing: their bytes are already
+    written as characters of the vocabulary, one word between two delimiters.
+    """
 
-        Words of letters are one piece each, so they are coded as one text and told apart by the library's piece numbers.
-        """
-        out: dict[str, tuple[int, ...]] = {}
-        ask, known = {}, lambda w: self.young.get(w) or self.old.get(w)
-        cut = {w: w[:-1] for w in words if w[-1] in MARKS and w[:-1].isalpha()}
-        for w in words:
-            if (ids := known(cut.get(w, w))) is not None:
-                out[cut.get(w, w)] = ids
-            else:
-                ask[" " + cut.get(w, w)] = None
-        for w in {w[-1] for w in cut} - self.marks.keys():
-            self.marks[w] = self.stretch(w)
-        plain = [t for t in ask if t[1:].isalpha()]
-        if plain:
-            coded = self.library.encode("".join(plain), add_special_tokens=False)
-            numbers, ids = coded.word_ids, coded.ids
-            starts = [i for i in range(len(ids)) if not i or numbers[i] != numbers[i - 1]]
-            if len(starts) == len(plain):
-                for text, i, j in zip(plain, starts, [*starts[1:], len(ids)], strict=True):
-                    out[text[1:]] = tuple(ids[i:j])
-                    del ask[text]
-        for text, coded in zip(ask, self.library.encode_batch_fast(list(ask), add_special_tokens=False), strict=True):
-            out[text[1:]] = tuple(coded.ids)
-        for w, head in cut.items():
-            out[w] = out[head] + self.marks[w[-1]]
-        for w, ids in out.items():
-            if len(w) <= CACHE_CHARS and not w[-1].isspace():
-                if len(self.young) >= CACHE_ENTRIES:
-                    self.old, self.young = self.young, {}
-                self.young[w] = ids
-        return {w: out[w] for w in words}
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        super().__init__(path)
+        self.spec = {}
+        self.bare = Tokenizer.from_file(path)
+        self.bare.no_truncation()
+        self.bare.no_padding()
+        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.shown = "".join(byte_alphabet()[:255]) + " "  # no text holds the byte FF
+
+    def heads(self, words: list[str], space: str) -> Codes:
+        import numpy as np
+
+        ids, sizes, before = [], [], space.encode()
+        for low in range(0, len(words), 500):
+            some = words[low : low + 500]
+            full = np.flatnonzero([bool(w) or bool(space) for w in some])  # nothing stands between two delimiters
+            shown = (b"\xff" + before).join(w.encode() for w in ["", *(some[i] for i in full.tolist())])[1:].decode("latin-1").translate(self.shown)
+            coded = self.bare.encode(shown, add_special_tokens=False)
+            ids.append(coded.ids)
+            sizes.append(np.bincount(full[np.array(coded.word_ids, np.int64)], minlength=len(some)))
+        return Codes(list(chain.from_iterable(ids)), np.concatenate([np.zeros(0, np.int64), *sizes]))
+
+    def words(self, words: list[str]) -> Codes:
+        import numpy as np
+
+        if not words:
+            return Codes([], [])
+        coded = self.library.encode(" " + " ".join(words), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        at = np.array([a for a, _ in coded.offsets], np.int64)
+        # the library leaves the leading space out of a token's offsets, so a token starts inside its word
+        return Codes(coded.ids, np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(words)))
+
+    def alone(self, texts: list[str]) -> Codes:
+        return Codes.of([c.ids for c in self.library.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def sizes(self, texts: pa.Array) -> list[int]:
+        """Numbers of tokens of a column of texts."""
+        return [n for _, codes in self.column(texts) for n in codes.sizes.tolist()]
 
 
 def library_encoder(path: str) -> LibraryEncoder:
@@ -328,18 +422,20 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text
         bpe = model(tokenizer_path)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            texts = batch.column(len(kept))
             cols = {k: [] for k in ("n", "ids", "ih", "text", "th")}
-            for cell in texts:
-                ids = bpe.encode(cell.as_py())
-                cols["n"].append(len(ids))
-                cols["ih"].append(sha(",".join(map(bpe.decimal.__getitem__, ids)).encode()))
-                decoded = bpe.decode(ids)
-                cols["th"].append(sha(decoded.encode("utf-8")))
+            for _, codes in bpe.column(batch.column(len(kept))):
+                cols["n"] += codes.sizes.tolist()
                 if with_ids:
-                    cols["ids"].append(pa.array(ids, pa.int32()))
-                if with_text:
-                    cols["text"].append(decoded)
+                    cols["ids"].append(pa.array(codes.ids))
+                every, at = codes.ids.tolist(), 0
+                for n in codes.sizes.tolist():
+                    ids = every[at : at + n]
+                    at += n
+                    cols["ih"].append(sha(",".join(map(bpe.decimal.__getitem__, ids)).encode()))
+                    decoded = bpe.decode(ids)
+                    cols["th"].append(sha(decoded.encode("utf-8")))
+                    if with_text:
+                        cols["text"].append(decoded)
             arrays = [batch.column(i) for i in range(len(kept))]
             names = [*kept, "n_tokens"]
             arrays.append(pa.array(cols["n"], pa.int64()))

@@ -116,40 +116,45 @@ def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
 
         encoder = library_encoder(tokenizer_path)
         shard, block, first, order = TaskContext.get().partitionId(), 0, 0, 0
-        held, held_n, owners = [], 0, []
-
-        def emit():
-            nonlocal held, held_n, owners, block, first
-            every = np.concatenate(held) if held else np.zeros(0, "<u4")
-            now = every[:block_ids]
-            left, mine, rest = len(now), [], []
-            for doc, o, n in owners:
-                take = min(n, left)
-                if take:
-                    mine.append({"doc_id": doc, "ord": o, "n": take})
-                if n > take:
-                    rest.append((doc, o, n - take))
-                left -= take
+        held, held_n, owners = [], 0, []  # arrays of ids not yet written, and whose they are
+
+        def emit(size: int) -> pa.RecordBatch:
+            """The next block: of the held arrays only those that it takes are touched."""
+            nonlocal held_n, block, first
+            left, parts, mine = size, [], []
+            used = 0
+            while left:
+                part = held[used][:left]
+                doc, o = owners[used]
+                parts.append(part)
+                mine.append({"doc_id": doc, "ord": o, "n": len(part)})
+                left -= len(part)
+                if len(part) < len(held[used]):
+                    held[used] = held[used][len(part) :]  # a view
+                else:
+                    used += 1
+            del held[:used], owners[:used]
+            now = np.concatenate(parts)
             out = pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([len(now)], pa.int32()), pa.array([pack(now, plane_bits)], pa.binary()), pa.array([mine], pa.list_(field))],
                 names=["shard", "block", "first", "n_ids", "payload", "docs"],
             )
-            held, held_n, owners = [every[block_ids:]], max(0, len(every) - block_ids), rest
-            block, first = block + 1, first + len(now)
+            held_n, block, first = held_n - size, block + 1, first + size
             return out
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py())
-                ids.append(end_id)
-                held.append(np.array(ids, "<u4"))
-                held_n += len(ids)
-                owners.append((doc, order, len(ids)))
-                order += 1
-                while held_n >= block_ids:
-                    yield emit()
+            texts, ids_of = batch.column(1), batch.column(0).to_pylist()
+            for low, codes in encoder.column(texts):
+                starts, ends = codes.starts.tolist(), (codes.starts + codes.sizes).tolist()
+                for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
+                    held.append(np.concatenate([codes.ids[a:b], [end_id]]).astype("<u4"))
+                    held_n += b - a + 1
+                    owners.append((ids_of[low + i], order))
+                    order += 1
+                    while held_n >= block_ids:
+                        yield emit(block_ids)
         if held_n:
-            yield emit()
+            yield emit(held_n)
 
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     dealt = own.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -50,6 +52,34 @@ def test_bpe_equals_library(library):
             assert model.decode(ids) == library.decode(ids, skip_special_tokens=False) == t
 
 
+def test_bpe_over_all_planes(library):
+    """Code points of every plane, assigned or not, white space of all kinds, added tokens and contractions, in columns."""
+    rng = random.Random(11)
+
+    def one() -> str:
+        k = rng.random()
+        if k < 0.6:
+            return rng.choice([" ", " ", "\n", "\t", ".", ",", "'", "a", "1", "é", "St", "<|endoftext|>", "'ll", "'s", "$$", "\x85", "\xa0", "\u3000", "\x1c"])
+        while True:
+            c = rng.randrange(0x110000) if k < 0.8 else rng.randrange(0x3000)
+            if not 0xD800 <= c < 0xE000:
+                return chr(c)
+
+    texts = ["".join(one() for _ in range(rng.randint(0, 14))) for _ in range(6000)] + ["a\U0003EAF6\u62B8", ' "\U00018F4C\'s"', None]
+    expected = [c.ids for c in library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    for encoder in (bpe.ByteBPE(PATH), bpe.LibraryEncoder(PATH)):
+        got = [c.ids[s : s + n].tolist() for _, c in encoder.column(pa.array(texts, pa.string())) for s, n in zip(c.starts, c.sizes, strict=True)]
+        assert got == expected
+
+
+def test_unfit_tokenizer_raises(tmp_path):
+    spec = json.load(open(PATH, encoding="utf-8"))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.ByteBPE(str(tmp_path / "t.json"))
+
+
 def test_merges_leftmost_lowest():
     ranks = {1 * bpe.BASE + 1: 1, 1 * bpe.BASE + 2: 0, 3 * bpe.BASE + 3: 2}
     assert bpe.merge_by_tree([1, 1, 2, 1, 2], ranks, [3, 4, 5]) == [1, 5]

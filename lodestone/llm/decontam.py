@@ -1,13 +1,14 @@
 """Benchmark decontamination by a distributed positional inverted index.  DataFrame functions only.
 
-1. ``build_postings`` stores, for every term that a benchmark holds, the documents and positions at which it stands.
-2. ``anchors`` takes, for every window of a test item, its two rarest terms by the stored counts.
+1. ``term_counts`` counts the benchmark's terms over all documents, added up in every task before the shuffle.
+2. ``anchors`` takes, for every window of a test item, its two rarest terms by these counts, and ``build_postings``
+   stores the documents and positions at which they stand.
 3. ``candidates`` intersects the anchors' posting lists after subtracting each term's offset: a document and a
    diagonal (document position less item position) remain if both anchors of one window meet there.
 4. ``phrase_hits`` compares the window's words at those diagonals: exact phrase matches.  ``proximity_matches`` asks
    instead that the two rarest terms of an item stand within a distance of one another.
 
-The postings of frequent terms are read once, for their counts; only lists of anchor terms are joined.  Nothing is
+Lists of terms that are no window's anchor are never needed, so they are counted and not stored.  Nothing is
 joined to itself, so a passage that many documents share costs one candidate for each such document.
 
 Defined results: a null or empty text has no words and no hit; a null item text or one without words gives no window;
@@ -24,14 +25,15 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import ascii_lower, computed_once, doc_key, materialize, read_table, small_enough
 
 #: What stands between words, after lower-casing A-Z: ASCII other than digits and letters.
-WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: A benchmark whose texts are larger than this is joined by shuffles instead of broadcasts.
 BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 1)
+    """The words of a text.  Only before the first and behind the last separator may nothing stand."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 class Benchmark:
@@ -49,20 +51,24 @@ class Benchmark:
         return F.broadcast(df) if self.small else df
 
     def vocabulary(self) -> DataFrame:
-        return self.items.select(F.explode("iw").alias("term")).distinct()
+        return self.items.select(F.explode("iw").alias("word")).select(F.xxhash64("word").alias("t")).distinct()
 
 
-def build_postings(docs: DataFrame, bench: Benchmark) -> DataFrame:
-    """``k1, k2, pos, term`` (term as a 64-bit hash) of every occurrence of a benchmark's term, stored as Parquet."""
-    found = docs.select(*doc_key(docs), F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    vocabulary = bench.vocabulary().select(F.col("term").alias("word"), F.xxhash64("term").alias("t"))
-    joined = found.join(bench.side(vocabulary), F.col("term") == F.col("word"))
-    return materialize(joined.select("k1", "k2", "pos", F.col("t").alias("term")), "postings")
+def term_counts(docs: DataFrame, bench: Benchmark) -> DataFrame:
+    """``term, n``: how often each of the benchmark's terms (as a 64-bit hash) stands in the documents; stored."""
+    found = docs.select(F.explode(words(F.col("text"))).alias("word")).select(F.xxhash64("word").alias("term"))
+    return materialize(found.join(bench.side(bench.vocabulary()), F.col("term") == F.col("t")).groupBy("term").agg(F.count("*").alias("n")), "term-counts")
 
 
-def anchors(bench: Benchmark, postings: DataFrame) -> DataFrame:
+def build_postings(docs: DataFrame, bench: Benchmark, terms: DataFrame) -> DataFrame:
+    """``k1, k2, pos, term`` of every occurrence of ``terms(term)``, a part of the benchmark's, stored as Parquet."""
+    found = docs.select(*doc_key(docs), F.posexplode(words(F.col("text"))).alias("pos", "word")).select("k1", "k2", "pos", F.xxhash64("word").alias("term"))
+    wanted = bench.side(terms.select(F.col("term").alias("t")).distinct())
+    return materialize(found.join(wanted, F.col("term") == F.col("t")).drop("t"), "postings")
+
+
+def anchors(bench: Benchmark, counts: DataFrame) -> DataFrame:
     """``item, term, offset, pairs``: the offsets of the two rarest terms of each window, and those pairs of the item."""
-    counts = postings.groupBy("term").agg(F.count("*").alias("n"))
     placed = bench.items.select("item", F.size("iw").alias("len"), F.posexplode("iw").alias("offset", "word")).withColumn("term", F.xxhash64("word"))
     placed = placed.join(counts, "term", "left").select("item", "len", "offset", "term", F.coalesce("n", F.lit(0)).alias("n"))
     w = bench.window
@@ -92,20 +98,26 @@ def phrase_hits(docs: DataFrame, bench: Benchmark, found: DataFrame) -> DataFram
     """``docs`` with ``n_words``, ``hit_words`` (positions inside an occurrence of a window) and ``hit_items``."""
     w = bench.window
     items = bench.items.select(F.col("item").alias("i"), "item_id", "iw")
-    listed = found.join(bench.side(items), F.col("item") == F.col("i")).groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "iw", "diag")).alias("cand"))
+    # a document's diagonals of an item are no more than its words; the item's words come once for all of them
+    diagonals = found.groupBy("k1", "k2", "item").agg(F.collect_set("diag").alias("diags"))
+    listed = diagonals.join(bench.side(items), F.col("item") == F.col("i")).groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "iw", "diags")).alias("cand"))
     k = doc_key(docs)
     keyed = docs.drop("n_words", "hit_words", "hit_items").select(k[0].alias("d1"), k[1].alias("d2"), "*")
     joined = keyed.join(listed, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")), "left").drop("k1", "k2", "d1", "d2")
     joined = computed_once(joined, "__w", words(F.col("text")))
 
-    def starts(c: Column) -> Column:
-        size = F.least(F.lit(w), F.size(c["iw"]))
-        low = F.greatest(F.lit(0), -c["diag"])
-        high = F.least(F.size(c["iw"]), F.size("__w") - c["diag"]) - size
+    def starts(iw: Column, diag: Column) -> Column:
+        size = F.least(F.lit(w), F.size(iw))
+        low = F.greatest(F.lit(0), -diag)
+        high = F.least(F.size(iw), F.size("__w") - diag) - size
         every = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-        return F.filter(every, lambda s: F.slice("__w", c["diag"] + s + 1, size) == F.slice(c["iw"], s + 1, size))
+        return F.filter(every, lambda s: F.slice("__w", diag + s + 1, size) == F.slice(iw, s + 1, size))
+
+    def of_item(c: Column) -> Column:
+        size = F.least(F.lit(w), F.size(c["iw"]))
+        return F.transform(c["diags"], lambda d: F.struct(c["item_id"].alias("item_id"), d.alias("diag"), size.alias("size"), starts(c["iw"], d).alias("starts")))
 
-    checked = F.transform(F.coalesce("cand", F.array().cast(listed.schema["cand"].dataType)), lambda c: F.struct(c["item_id"].alias("item_id"), c["diag"].alias("diag"), F.least(F.lit(w), F.size(c["iw"])).alias("size"), starts(c).alias("starts")))
+    checked = F.flatten(F.transform(F.coalesce("cand", F.array().cast(listed.schema["cand"].dataType)), of_item))
     checked = F.filter(checked, lambda c: F.size(c["starts"]) > 0)
     joined = computed_once(joined, "__c", checked)
     places = F.flatten(F.transform("__c", lambda c: F.flatten(F.transform(c["starts"], lambda s: F.sequence(c["diag"] + s, c["diag"] + s + c["size"] - 1)))))
@@ -120,8 +132,8 @@ def phrase_hits(docs: DataFrame, bench: Benchmark, found: DataFrame) -> DataFram
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every document with its exact phrase matches: ``n_words``, ``hit_words``, ``hit_items``."""
     bench = Benchmark(items, window)
-    postings = build_postings(docs, bench)
-    return phrase_hits(docs, bench, candidates(bench, postings, anchors(bench, postings)))
+    chosen = anchors(bench, term_counts(docs, bench))
+    return phrase_hits(docs, bench, candidates(bench, build_postings(docs, bench, chosen), chosen))
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, within: int = 8) -> DataFrame:
@@ -131,11 +143,11 @@ def proximity_matches(docs: DataFrame, items: DataFrame, within: int = 8) -> Dat
     Positions are dealt into cells as long as the distance, so a term only meets those of its own and the next cells.
     """
     bench = Benchmark(items)
-    postings = build_postings(docs, bench)
-    counts = postings.groupBy("term").agg(F.count("*").alias("n"))
+    counts = term_counts(docs, bench)
     placed = bench.items.select("item_id", F.explode(F.array_distinct("iw")).alias("word")).withColumn("term", F.xxhash64("word")).join(counts, "term")
     low = placed.groupBy("item_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "term"))), 1, 2).alias("low")).where(F.size("low") == 2)
     low = materialize(low.select("item_id", F.col("low")[0]["term"].alias("a"), F.col("low")[1]["term"].alias("b")), "rarest")
+    postings = build_postings(docs, bench, low.select(F.explode(F.array("a", "b")).alias("term")))
     cell = F.floor(F.col("pos") / F.lit(within))
     left = postings.join(bench.side(low.select("item_id", "a")), F.col("term") == F.col("a")).select("k1", "k2", "item_id", F.col("pos").alias("p"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     right = postings.join(bench.side(low.select("item_id", "b")), F.col("term") == F.col("b")).select("k1", "k2", "item_id", F.col("pos").alias("q"), cell.alias("cell"))

@@ -156,7 +156,10 @@ class Codes:
 
         sizes = self.sizes[which]
         ends = np.cumsum(sizes)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[which] - ends + sizes, sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if max(total, len(self.ids)) < 2**31 else np.int64
+        at = np.repeat((self.starts[which] - ends + sizes).astype(kind), sizes)
+        at += np.arange(total, dtype=kind)
         return Codes(self.ids[at], sizes)
 
     @classmethod
@@ -276,6 +279,7 @@ class ColumnEncoder:
             before = ends[low - 1] if low else 0
             high = max(low + 1, int(np.searchsorted(ends, before + RUN_CHARS, "right")))
             yield low, self._run(texts.slice(low, high - low))
+            pa.default_memory_pool().release_unused()
             low = high
 
     def encode(self, text: str | None) -> list[int]:
@@ -358,27 +362,28 @@ class LibraryEncoder(ColumnEncoder):
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import pre_tokenizers
 
         super().__init__(path)
         self.spec = {}
-        self.bare = Tokenizer.from_file(path)
-        self.bare.no_truncation()
-        self.bare.no_padding()
-        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.cut, self.bare = self.library.pre_tokenizer, pre_tokenizers.CharDelimiterSplit(" ")
         self.shown = "".join(byte_alphabet()[:255]) + " "  # no text holds the byte FF
 
     def heads(self, words: list[str], space: str) -> Codes:
         import numpy as np
 
         ids, sizes, before = [], [], space.encode()
-        for low in range(0, len(words), 500):
-            some = words[low : low + 500]
-            full = np.flatnonzero([bool(w) or bool(space) for w in some])  # nothing stands between two delimiters
-            shown = (b"\xff" + before).join(w.encode() for w in ["", *(some[i] for i in full.tolist())])[1:].decode("latin-1").translate(self.shown)
-            coded = self.bare.encode(shown, add_special_tokens=False)
-            ids.append(coded.ids)
-            sizes.append(np.bincount(full[np.array(coded.word_ids, np.int64)], minlength=len(some)))
+        self.library.pre_tokenizer = self.bare
+        try:
+            for low in range(0, len(words), 500):
+                some = words[low : low + 500]
+                full = np.flatnonzero([bool(w) or bool(space) for w in some])  # nothing stands between two delimiters
+                shown = (b"\xff" + before).join(w.encode() for w in ["", *(some[i] for i in full.tolist())])[1:].decode("latin-1").translate(self.shown)
+                coded = self.library.encode(shown, add_special_tokens=False)
+                ids.append(coded.ids)
+                sizes.append(np.bincount(full[np.array(coded.word_ids, np.int64)], minlength=len(some)))
+        finally:
+            self.library.pre_tokenizer = self.cut
         return Codes(list(chain.from_iterable(ids)), np.concatenate([np.zeros(0, np.int64), *sizes]))
 
     def words(self, words: list[str]) -> Codes:

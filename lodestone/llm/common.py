@@ -89,6 +89,27 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(F.struct(value.alias("v")))).alias("__once")).select("*", F.col("__once.v").alias(name)).drop("__once")
 
 
+#: Tables of fixed-width columns are broadcast up to this size, which is measured; beyond it they are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
+def small_side(df: DataFrame, label: str) -> tuple[DataFrame, bool]:
+    """``df`` of fixed-width columns, stored; marked for a broadcast if its rows are measured to be few enough."""
+    df = materialize(df, label)
+    few = df.count() * (16 + 8 * len(df.columns)) <= BROADCAST_BYTES
+    return (F.broadcast(df) if few else df), few
+
+
+def docs_without_losers(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without the documents ``doc_id, k1, k2`` that are not the first of their ``group``."""
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "k1", "k2")
+    firsts = rows.groupBy("group").agg(F.min(place).alias("first"))
+    losers, _ = small_side(rows.join(firsts, "group").where(place != F.col("first")).select("k1", "k2").distinct(), "losers")
+    k = doc_key(docs)
+    keyed = docs.select("*", k[0].alias("__k1"), k[1].alias("__k2"))
+    return keyed.join(losers, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_anti").drop("__k1", "__k2")
+
+
 def small_enough(df: DataFrame, column: str, limit_bytes: int) -> bool:
     """Whether the whole of ``column`` is at most ``limit_bytes``; measured, not estimated."""
     n = df.agg(F.sum(F.octet_length(F.col(column)) + F.lit(16)).alias("n")).first()["n"]

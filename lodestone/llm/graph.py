@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import reliable_checkpoint
 
 
+def dealt_blocks(rows: DataFrame, bucket: str, item: str, n: str, size: int) -> DataFrame:
+    """``rows`` of buckets of ``n`` rows each, dealt into blocks of about ``size`` by a hash of ``item``: each row once for
+    each pair ``i <= j`` of blocks that its ``block`` is in.  So a bucket is compared whole, but by many tasks, and no task
+    holds more than two blocks of it."""
+    count = F.ceil(F.col(n) / F.lit(size)).cast("int")
+    dealt = rows.withColumns({"block": F.pmod(F.xxhash64(item), count).cast("int"), "__o": F.explode(F.sequence(F.lit(0), count - 1))})
+    return dealt.withColumns({"i": F.least("block", "__o"), "j": F.greatest("block", "__o")}).drop("__o")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; ``component`` is the smallest node reachable.
 

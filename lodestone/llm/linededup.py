@@ -32,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import computed_once, doc_key, materialize, read_table
+from lodestone.llm.common import computed_once, doc_key, materialize, read_table, small_side
 
 EDITS, MIN_CHARS = 2, 24
 #: Characters after which hopeless pairs are given up.
@@ -41,8 +41,6 @@ HEAD = 24
 FEW = 32
 #: Characters that are counted, two bits each.
 COUNTED = "aeiounrsthldcgbwmpvqzékfyjxäöü"
-#: Tables of ids are broadcast up to this size, which is measured; beyond it they are joined by a shuffle.
-BROADCAST_BYTES = 16 << 20
 
 
 def takes_part(line: Column, min_chars: int, min_equal: int | None) -> Column:
@@ -75,13 +73,6 @@ def lines_of(docs: DataFrame, places: Places, min_chars: int, min_equal: int | N
     return found.select("k1", "k2", "no", places.of(F.col("no")).alias("at"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
 
 
-def small_side(df: DataFrame, label: str) -> tuple[DataFrame, bool]:
-    """``df`` of fixed-width columns, stored; marked for a broadcast if its rows are measured to be few enough."""
-    df = materialize(df, label)
-    few = df.count() * (16 + 8 * len(df.columns)) <= BROADCAST_BYTES
-    return (F.broadcast(df) if few else df), few
-
-
 def _class_of(n: Column) -> Column:
     """The largest multiple up to ``n`` of a step that is an eighth to a quarter of it."""
     n = F.greatest(n, F.lit(1))

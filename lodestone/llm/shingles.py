@@ -1,14 +1,17 @@
-"""Near-duplicate documents by exact Jaccard similarity of their word shingles.
+"""Near-duplicate documents: SimHash candidates, completed and decided by exact Jaccard similarity of word shingles.
 
-A document is the set of its shingles of ``width`` words, as 64-bit hashes.  Under one order of all shingles, two sets of
-similarity ``num / den`` or more share one of their first ``n - ceil(n * num / den) + 1`` shingles, so these are indexed
-and no such pair is missed.  The order puts shingles that are frequent in a sample last; the sample moves the cost, never
-the result.  Documents that share an indexed shingle, at positions and sizes that allow the similarity, are candidates;
-the sizes of intersection and union decide, in whole numbers.
+SimHash by deletion variants (``simhash.links``) brings together what differs in at most three of 64 bits.  Texts of a
+similarity of 0.8 differ in ten bits and more, too many for segments that one wildcard covers, so an index of shingles
+finds the rest.  A document is the set of its shingles of ``width`` words, as 64-bit hashes.  Under one order of all
+shingles, two sets of similarity ``num / den`` or more share one of their first ``n - ceil(n * num / den) + 1`` shingles, so
+these are indexed and no such pair is missed.  The order puts shingles that are frequent in a sample last; the sample moves
+the cost, never the result.  Only shingles that two sets share are gathered.  Whatever brings a pair together, the sizes of
+intersection and union decide, in whole numbers.
 
-Equal sets collapse before the index.  Of each shingle's documents, the first is compared with all others; pairs that
-this has not connected are then compared one by one, where a shingle has many documents by blocks of them, which give the
-links of a spanning forest.  So a large group gives no pairs of its members, and no true connection is lost.
+Equal sets collapse before the index.  SimHash links and, in each shingle's bucket, pairs with its first set come first;
+pairs that these have not connected are then compared one by one, and in a bucket of more than ``FEW`` sets by pairs of
+blocks, which go to different tasks and give the links of a spanning forest.  So a large group gives no pairs of its
+members, and no true connection is lost.
 
 Defined results: a text without words, null or empty, has one empty shingle; a text of fewer words than a shingle is one
 shingle; white space and letter case (A-Z) do not count; an empty table gives none.
@@ -22,27 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import doc_key, materialize
-from lodestone.llm.graph import connected_components
+from lodestone.llm import simhash
+from lodestone.llm.common import doc_key, docs_without_losers, materialize, small_side
+from lodestone.llm.graph import connected_components, dealt_blocks
 
 WIDTH, NUM, DEN = 5, 4, 5
 #: Documents in the sample that orders shingles, and how many of them hold a frequent one.
 SAMPLE, FREQUENT = 4000, 4
 #: Shingles of up to so many documents give pairs; the documents of others meet with their sets, in blocks of so many.
 FEW, BLOCK = 16, 256
-#: Sides of up to so many rows of ids are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 
 
-def shingle_set(text: str | None, width: int):
-    """Sorted distinct hashes of the shingles."""
+def shingle_set(hashes):
+    """Sorted distinct hashes; a text without words has the hash of the empty text."""
     import numpy as np
     import xxhash
 
-    digest = xxhash.xxh64_intdigest
-    words = (text or "").encode("utf-8").lower().split()  # on bytes: A-Z only, and white space is \x20 \x09-\x0D
-    grams = [b" ".join(words)] if len(words) <= width else map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    return np.unique(np.array([digest(g, 42) for g in grams], np.uint64))
+    return np.unique(hashes) if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64)
 
 
 def frequent(docs: DataFrame, width: int) -> list[int]:
@@ -54,14 +53,15 @@ def frequent(docs: DataFrame, width: int) -> list[int]:
         import numpy as np
 
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column(0).to_pylist()]
+            sets = [shingle_set(simhash.shingle_hashes(t, width)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], names=["s"])
 
     return [r["s"] for r in some.mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= FREQUENT).select("s").collect()]
 
 
 def with_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """``doc_id, k1, k2`` with ``sid``, which names the set, its size ``n`` and the shingles ``head`` to index, in order."""
+    """``doc_id, k1, k2`` with ``sid``, which names the set, its size ``n``, the fingerprint ``fp`` and the shingles ``head`` to
+    index, in order."""
     last = frequent(docs, width)
     keyed = docs.select("doc_id", *doc_key(docs), "text")
     names = ["doc_id", "k1", "k2"]
@@ -72,9 +72,11 @@ def with_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
         common = np.sort(np.array(last, np.int64).view(np.uint64))
         for batch in batches:
-            sids, sizes, heads = [], [], []
+            sids, sizes, heads, prints = [], [], [], []
             for text in batch.column(3).to_pylist():
-                s = shingle_set(text, width)
+                hashes = simhash.shingle_hashes(text, width)
+                prints.append(simhash.fingerprint(hashes))
+                s = shingle_set(hashes)
                 n = len(s)
                 at = np.searchsorted(common, s)
                 often = (common[np.minimum(at, len(common) - 1)] == s) if len(common) else np.zeros(n, bool)
@@ -84,30 +86,25 @@ def with_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
             values = pa.array(np.concatenate([*heads, np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), values)],
-                names=[*names, "sid", "n", "head"],
+                [*batch.columns[:3], pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                names=[*names, "sid", "n", "fp", "head"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, sid long, n int, head array<long>")
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` stored, and broadcast if it is measured to be small."""
-    df = materialize(df, "shingle-ids")
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    return keyed.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, sid long, n int, fp long, head array<long>")
 
 
 def _full_sets(ids: DataFrame, docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
     """``sid, s`` of the distinct ``sid`` of ``ids``, stored; only their texts are read."""
-    one = _small(sets.select("sid", "k1", "k2").join(_small(ids), "sid").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("k")).select("sid", "k.k1", "k.k2"))
+    ids, _ = small_side(ids, "shingle-ids")
+    one, _ = small_side(sets.select("sid", "k1", "k2").join(ids, "sid").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("k")).select("sid", "k.k1", "k.k2"), "shingle-ids")
     texts = docs.select(*doc_key(docs), "text").join(one, ["k1", "k2"]).select("sid", "text").dropDuplicates(["sid"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            found = [shingle_set(t, width).view(np.int64) for t in batch.column(1).to_pylist()]
+            found = [shingle_set(simhash.shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(h) for h in found])]).astype(np.int32)
             values = pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["sid", "s"])
@@ -146,16 +143,12 @@ def _shared(x: list, y: list):
     return out
 
 
-def _block_links(buckets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links ``a, b`` between sets ``m``, given in full, of a bucket whose components differ: of what is similar in two
-    blocks, a spanning forest."""
-    n = F.ceil(F.size("m") / F.lit(BLOCK)).cast("int")
-    block = lambda i: F.slice("m", i * BLOCK + 1, F.lit(BLOCK))
-    work = (
-        buckets.withColumn("i", F.explode(F.sequence(F.lit(0), n - 1)))
-        .withColumn("j", F.explode(F.sequence(F.col("i"), n - 1)))
-        .select(block(F.col("i")).alias("x"), block(F.col("j")).alias("y"))
-    )
+def _block_links(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links ``a, b`` between the sets ``sid, component, s`` of a ``bucket`` of ``c`` whose components differ: of what is
+    similar in two blocks, a spanning forest."""
+    dealt = dealt_blocks(members, "bucket", "sid", "c", BLOCK)
+    side = lambda c: F.array_compact(F.collect_list(F.when(F.col("block") == F.col(c), F.struct("sid", "component", "s"))))
+    work = dealt.groupBy("bucket", "i", "j").agg(side("i").alias("x"), side("j").alias("y")).select("x", "y").where("size(x) > 0 and size(y) > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -185,60 +178,44 @@ def _block_links(buckets: DataFrame, num: int, den: int) -> DataFrame:
     return work.mapInArrow(run, "a long, b long")
 
 
-def _candidates(buckets: DataFrame, num: int, den: int, rest: bool) -> DataFrame:
-    """Pairs ``a, b`` of the sets ``m`` of a bucket: the first with all others, or, if ``rest``, all pairs without it whose
-    components differ; both if sizes and positions allow the similarity."""
-    if rest:
-        work = buckets.select(F.col("m").alias("x"), F.col("m").alias("y"), F.lit(True).alias("same"))
-    else:
-        work = buckets.select(F.slice("m", 1, 1).alias("x"), F.expr("slice(m, 2, size(m) - 1)").alias("y"), F.lit(False).alias("same"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        def columns(members):
-            v = members.values
-            return [v.field(f).to_numpy() for f in ("sid", "n", "at", "component")]
-
-        for batch in batches:
-            found = set()
-            for x, y, same in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                (a, na, pa_, ca), (b, nb, pb, cb) = columns(x), columns(y)
-                for i in range(len(a)):
-                    k = i + 1 if same else 0
-                    # what the sets can share from here on, against num / (num + den) of both sizes
-                    most = 1 + np.minimum(na[i] - pa_[i] - 1, nb[k:] - pb[k:] - 1)
-                    ok = (most.astype(np.int64) * (num + den) >= (nb[k:].astype(np.int64) + int(na[i])) * num) & (b[k:] != a[i])
-                    if rest:
-                        ok &= cb[k:] != ca[i]
-                    found.update((min(int(a[i]), o), max(int(a[i]), o)) for o in b[k:][ok].tolist())
-            edges = np.array(sorted(found), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
-
-    return work.mapInArrow(run, "a long, b long")
+def _fit(n1: str, at1: str, n2: str, at2: str, num: int, den: int):
+    """Whether two sets can reach the similarity if a shingle at these places of their order is the first they share."""
+    most = 1 + F.least(F.col(n1) - F.col(at1) - 1, F.col(n2) - F.col(at2) - 1)
+    return most * (num + den) >= (F.col(n1) + F.col(n2)) * num
 
 
 def similar_sets(docs: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """``node, component`` of the sets that links of similarity ``num / den`` or more connect with another."""
     key = F.struct("k1", "k2")
-    repeated = _small(sets.groupBy("sid").agg(F.min(key).alias("k"), F.count("*").alias("c")).where("c > 1").select("sid", "k"))
-    each = sets.join(repeated, "sid", "left").where(F.col("k").isNull() | (F.col("k") == key))
+    repeated = sets.groupBy("sid").agg(F.min(key).alias("k"), F.count("*").alias("c")).where("c > 1").select("sid", F.col("k.k1").alias("r1"), F.col("k.k2").alias("r2"))
+    repeated, _ = small_side(repeated, "shingle-repeats")
+    each = sets.join(repeated, "sid", "left").where(F.col("r1").isNull() | ((F.col("r1") == F.col("k1")) & (F.col("r2") == F.col("k2"))))
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+
+    printed = each.groupBy("fp").agg(F.min("sid").alias("first"), F.count("*").alias("c"))
+    same = each.select("sid", "fp").join(printed.where("c > 1"), "fp").where("sid != first").select(*pair("sid", "first"))
+    by_bits = simhash.links(printed.select("fp"))
+    first = printed.select("fp", "first")
+    by_bits = by_bits.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(*pair("x", "y"))
+
     posted = each.select("sid", "n", F.posexplode("head").alias("at", "s"))
-    buckets = posted.groupBy("s").agg(F.array_sort(F.collect_set(F.struct("sid", "n", "at"))).alias("m")).where(F.size("m") > 1)
-    with_label = F.transform("m", lambda e: F.struct(e["sid"].alias("sid"), e["n"].alias("n"), e["at"].alias("at"), e["sid"].alias("component")))
-    buckets = materialize(buckets.select("s", with_label.alias("m")), "shingle-buckets")
-    links = _verified(_candidates(buckets, num, den, False), docs, sets, width, num, den)
-    comps = connected_components(links)
-    open_ = buckets.where(F.size("m") > 2).select("s", F.explode(F.expr("slice(m, 2, size(m) - 1)")).alias("e")).select("s", "e.sid", "e.n", "e.at")
-    named = open_.join(comps.select(F.col("node").alias("sid"), "component"), "sid", "left")
-    struct = F.struct("sid", "n", "at", F.coalesce("component", "sid").alias("component"))
-    again = named.groupBy("s").agg(F.collect_list(struct).alias("m")).where(F.size(F.array_distinct(F.col("m.component"))) > 1)
-    again = materialize(again, "shingle-rest")
-    more = _verified(_candidates(again.where(F.size("m") <= FEW), num, den, True), docs, sets, width, num, den)
-    large = again.where(F.size("m") > FEW).select("s", F.explode("m").alias("e")).select(F.col("s").alias("bucket"), "e.sid", "e.component")
+    shared, _ = small_side(posted.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "shingles-shared")
+    members = materialize(posted.join(shared, "s"), "shingle-members")
+    heads = members.groupBy("s").agg(F.min("sid").alias("h"), F.min_by("n", "sid").alias("hn"), F.min_by("at", "sid").alias("hat"))
+    star = members.join(heads, "s").where((F.col("sid") != F.col("h")) & _fit("n", "at", "hn", "hat", num, den)).select(*pair("sid", "h"))
+    links = _verified(same.unionByName(by_bits).unionByName(star), docs, sets, width, num, den)
+
+    comps = connected_components(links).select(F.col("node").alias("sid"), "component")
+    named = members.where("c > 2").join(comps, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    named = materialize(named, "shingle-named")
+    mixed = named.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("sid").alias("h")).where("low < high").select("s", "h")
+    rest = named.join(mixed, "s").where("sid != h")  # the first of the bucket has met all others
+    other = rest.select("s", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("component").alias("component2"))
+    met = rest.where(F.col("c") <= FEW).join(other, "s").where("sid < sid2 and component != component2").where(_fit("n", "at", "n2", "at2", num, den))
+    more = _verified(met.select(*pair("sid", "sid2")), docs, sets, width, num, den)
+    large = materialize(rest.where(F.col("c") > FEW).select(F.col("s").alias("bucket"), "sid", "component", "c"), "shingle-large")
     full = _full_sets(large.select("sid").distinct(), docs, sets, width)
-    met = large.join(full, "sid").groupBy("bucket").agg(F.collect_list(F.struct("sid", "component", "s")).alias("m"))
-    return connected_components(links.unionByName(more).unionByName(_block_links(met, num, den)))
+    return connected_components(links.unionByName(more).unionByName(_block_links(large.join(full, "sid"), num, den)))
 
 
 def keep_first_similar(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -249,13 +226,3 @@ def keep_first_similar(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
     comps = similar_sets(docs, sets, width, num, den)
     rows = sets.join(comps.select(F.col("node").alias("sid"), "component"), "sid", "left")
     return docs_without_losers(docs, rows.select("doc_id", "k1", "k2", F.coalesce("component", "sid").alias("group")))
-
-
-def docs_without_losers(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``docs`` without the documents ``doc_id, k1, k2`` that are not the first of their ``group``."""
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "k1", "k2")
-    firsts = rows.groupBy("group").agg(F.min(place).alias("first"))
-    losers = _small(rows.join(firsts, "group").where(place != F.col("first")).select("k1", "k2").distinct())
-    k = doc_key(docs)
-    keyed = docs.select("*", k[0].alias("__k1"), k[1].alias("__k2"))
-    return keyed.join(losers, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_anti").drop("__k1", "__k2")

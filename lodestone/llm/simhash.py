@@ -4,9 +4,10 @@ A 64-bit fingerprint is cut into two segments of 32 bits.  Fingerprints that dif
 most one bit in one of the segments, so each segment is indexed under its 32 one-wildcard variants (the segment with
 one bit blanked).  Fingerprints that share a variant are candidates; their exact distance decides.
 
-Exact copies collapse to one fingerprint before the index.  A bucket of candidates is verified in blocks of bounded
-size and gives only the links of a spanning forest of what is really linked in it, never all pairs, and no true
-connection is lost: every pair of blocks is compared, and a forest keeps what is connected.
+Exact copies collapse to one fingerprint before the index.  Only variants that two fingerprints share are dealt out.  A
+large bucket is cut into blocks of bounded size, whose pairs go to different tasks; each gives only the links of a
+spanning forest of what is really linked in it, never all pairs, and no true connection is lost: every pair of blocks is
+compared, and a forest keeps what is connected.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and links like any other; a text of
 fewer words than a shingle is one shingle; repeated rows and ids give repeated rows; empty tables give none; a null
@@ -21,37 +22,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import doc_key, materialize, read_table
-from lodestone.llm.graph import connected_components
-from lodestone.llm.shingles import docs_without_losers
+from lodestone.llm.common import docs_without_losers, doc_key, materialize, read_table, small_side
+from lodestone.llm.graph import connected_components, dealt_blocks
 
 SEGMENTS, SEGMENT_BITS, MAX_BITS = 2, 32, 3
 #: A bucket's fingerprints are compared in blocks of so many.
 BLOCK = 2048
 
 
-def _fingerprints(texts: list[str | None], width: int):
+def shingle_hashes(text: str | None, width: int):
+    """XXH64 (seed 42) of each shingle of ``width`` words, repeats included; a text of fewer words is one shingle, one
+    without words has none."""
     import numpy as np
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    out = np.zeros(len(texts), np.uint64)
-    place = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    for row, text in enumerate(texts):
-        words = (text or "").encode("utf-8").lower().split()  # on bytes: A-Z only, and white space is \x20 \x09-\x0D
-        if not words:
-            continue
-        if len(words) <= width:
-            out[row] = digest(b" ".join(words), 42)
-            continue
-        grams = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-        h = np.array([digest(g, 42) for g in grams], np.uint64)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), 65536):
-            bits = np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones += bits.sum(axis=0, dtype=np.int64)
-        out[row] = (place * (2 * ones > len(h)).astype(np.uint64)).sum(dtype=np.uint64)
-    return out.view(np.int64)
+    words = (text or "").encode("utf-8").lower().split()  # on bytes: A-Z only, and white space is \x20 \x09-\x0D
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = [b" ".join(words)] if len(words) <= width else map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+    return np.array([digest(g, 42) for g in grams], np.uint64)
+
+
+def fingerprint(h) -> int:
+    """The 64-bit fingerprint of shingle hashes, unsigned: bits that are set in over half of them."""
+    import numpy as np
+
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 65536):
+        bits = np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
 def with_fingerprint(docs: DataFrame, width: int = 3, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out_col: str = "fp") -> DataFrame:
@@ -60,9 +61,11 @@ def with_fingerprint(docs: DataFrame, width: int = 3, *, text_col: str = "text",
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         for batch in batches:
-            fp = _fingerprints(batch.column(len(names)).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(fp, pa.int64())], names=[*names, out_col])
+            fp = np.array([fingerprint(shingle_hashes(t, width)) for t in batch.column(len(names)).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(fp.view(np.int64))], names=[*names, out_col])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{out_col}` long"])
     return docs.select(*(F.col(f"`{n}`") for n in names), F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, schema)
@@ -109,15 +112,13 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``(a, b)`` links of distinct fingerprints ``fp``; they connect just what pairs within ``max_bits`` connect."""
     if max_bits > 2 * SEGMENTS - 1:
         raise ValueError("one blanked bit a segment finds at most 2 * SEGMENTS - 1 differing bits")
-    keyed = fingerprints.select("fp", F.explode(variants(F.col("fp"))).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    n = F.ceil(F.size("fps") / F.lit(BLOCK)).cast("int")
-    block = lambda i: F.slice("fps", i * BLOCK + 1, F.lit(BLOCK))
-    pairs = (
-        buckets.withColumn("i", F.explode(F.sequence(F.lit(0), n - 1)))
-        .withColumn("j", F.explode(F.sequence(F.col("i"), n - 1)))
-        .select(block(F.col("i")).alias("x"), block(F.col("j")).alias("y"), (F.col("i") == F.col("j")).alias("same"))
-    )
+    # a number of its own, for these few rows become many
+    spread = fingerprints.select("fp").repartition(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keyed = spread.select("fp", F.explode(variants(F.col("fp"))).alias("key"))
+    shared, _ = small_side(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-variants")
+    dealt = dealt_blocks(keyed.join(shared, "key"), "key", "fp", "n", BLOCK)
+    side = lambda c: F.array_compact(F.collect_list(F.when(F.col("block") == F.col(c), F.col("fp"))))
+    pairs = dealt.groupBy("key", "i", "j").agg(side("i").alias("x"), side("j").alias("y")).select("x", "y", (F.col("i") == F.col("j")).alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np

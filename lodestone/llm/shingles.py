@@ -8,10 +8,11 @@ these are indexed and no such pair is missed.  The order puts shingles that are
 the cost, never the result.  Only shingles that two sets share are gathered.  Whatever brings a pair together, the sizes of
 intersection and union decide, in whole numbers.
 
-Equal sets collapse before the index.  SimHash links and, in each shingle's bucket, pairs with its first set come first;
-pairs that these have not connected are then compared one by one, and in a bucket of more than ``FEW`` sets by pairs of
-blocks, which go to different tasks and give the links of a spanning forest.  So a large group gives no pairs of its
-members, and no true connection is lost.
+Equal sets collapse before the index.  SimHash links and, in each shingle's bucket, pairs with its first set come first.
+Pairs that these have not connected are then compared in pairs of blocks, which go to different tasks, by a sketch: the
+parities of how many shingles fall to each of ``SKETCH`` places.  Sketches differ in no more places than the sets do, so a
+pair whose sketches differ in too many is not similar; only the others are fetched whole.  So a large group gives hardly
+more pairs than links, and no true connection is lost.
 
 Defined results: a text without words, null or empty, has one empty shingle; a text of fewer words than a shingle is one
 shingle; white space and letter case (A-Z) do not count; an empty table gives none.
@@ -32,8 +33,8 @@ from lodestone.llm.graph import connected_components, dealt_blocks
 WIDTH, NUM, DEN = 5, 4, 5
 #: Documents in the sample that orders shingles, and how many of them hold a frequent one.
 SAMPLE, FREQUENT = 4000, 4
-#: Shingles of up to so many documents give pairs; the documents of others meet with their sets, in blocks of so many.
-FEW, BLOCK = 16, 256
+#: Bits of the sketch of a set, and the sets of a block.
+SKETCH, BLOCK = 512, 1024
 
 
 def shingle_set(hashes):
@@ -44,6 +45,13 @@ def shingle_set(hashes):
     return np.unique(hashes) if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64)
 
 
+def sketch_of(s) -> bytes:
+    """Parity of the number of shingles at each of ``SKETCH`` places."""
+    import numpy as np
+
+    return np.packbits(np.bincount((s >> np.uint64(9)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).tobytes()
+
+
 def frequent(docs: DataFrame, width: int) -> list[int]:
     """Shingles that at least ``FREQUENT`` documents of the sample hold; bounded by the sample."""
     n = docs.count()
@@ -60,8 +68,8 @@ def frequent(docs: DataFrame, width: int) -> list[int]:
 
 
 def with_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """``doc_id, k1, k2`` with ``sid``, which names the set, its size ``n``, the fingerprint ``fp`` and the shingles ``head`` to
-    index, in order."""
+    """``doc_id, k1, k2`` with ``sid``, which names the set, its size ``n``, the fingerprint ``fp``, the ``sketch`` and the shingles
+    ``head`` to index, in order."""
     last = frequent(docs, width)
     keyed = docs.select("doc_id", *doc_key(docs), "text")
     names = ["doc_id", "k1", "k2"]
@@ -72,11 +80,12 @@ def with_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
         common = np.sort(np.array(last, np.int64).view(np.uint64))
         for batch in batches:
-            sids, sizes, heads, prints = [], [], [], []
+            sids, sizes, heads, prints, sketches = [], [], [], [], []
             for text in batch.column(3).to_pylist():
                 hashes = simhash.shingle_hashes(text, width)
                 prints.append(simhash.fingerprint(hashes))
                 s = shingle_set(hashes)
+                sketches.append(sketch_of(s))
                 n = len(s)
                 at = np.searchsorted(common, s)
                 often = (common[np.minimum(at, len(common) - 1)] == s) if len(common) else np.zeros(n, bool)
@@ -86,19 +95,19 @@ def with_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
             values = pa.array(np.concatenate([*heads, np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), values)],
-                names=[*names, "sid", "n", "fp", "head"],
+                [*batch.columns[:3], pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                names=[*names, "sid", "n", "fp", "sketch", "head"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, sid long, n int, fp long, head array<long>")
+    return keyed.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, sid long, n int, fp long, sketch binary, head array<long>")
 
 
 def _full_sets(ids: DataFrame, docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
     """``sid, s`` of the distinct ``sid`` of ``ids``, stored; only their texts are read."""
     ids, _ = small_side(ids, "shingle-ids")
     one, _ = small_side(sets.select("sid", "k1", "k2").join(ids, "sid").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("k")).select("sid", "k.k1", "k.k2"), "shingle-ids")
-    texts = docs.select(*doc_key(docs), "text").join(one, ["k1", "k2"]).select("sid", "text").dropDuplicates(["sid"])
+    texts = docs.select(*doc_key(docs), "text").join(one, ["k1", "k2"]).select("sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -122,56 +131,34 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, nu
     return materialize(both.where(F.col("i") * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("a", "b"), "shingle-links")
 
 
-def _shared(x: list, y: list):
-    """Sizes of the intersections of the sets ``x`` with the sets ``y``."""
-    import numpy as np
-
-    every = np.concatenate([*x, *y])
-    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
-    _, token, n = np.unique(every, return_inverse=True, return_counts=True)
-    often = n > 1
-    place, keep = np.cumsum(often) - 1, often[token]
-    row, token = row[keep], place[token[keep]]
-    out = np.zeros((len(x), len(y)), np.int64)
-    order = np.argsort(token, kind="stable")
-    row, token = row[order], token[order]
-    for low in range(0, int(often.sum()), 4096):
-        at = slice(*np.searchsorted(token, (low, low + 4096)))
-        dense = np.zeros((len(x) + len(y), 4096), np.float32)
-        dense[row[at], token[at] - low] = 1
-        out += (dense[: len(x)] @ dense[len(x) :].T).astype(np.int64)
-    return out
-
-
-def _block_links(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links ``a, b`` between the sets ``sid, component, s`` of a ``bucket`` of ``c`` whose components differ: of what is
-    similar in two blocks, a spanning forest."""
-    dealt = dealt_blocks(members, "bucket", "sid", "c", BLOCK)
-    side = lambda c: F.array_compact(F.collect_list(F.when(F.col("block") == F.col(c), F.struct("sid", "component", "s"))))
-    work = dealt.groupBy("bucket", "i", "j").agg(side("i").alias("x"), side("j").alias("y")).select("x", "y").where("size(x) > 0 and size(y) > 0")
+def _unlike_pairs(rest: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b`` of the sets of a bucket whose components differ and whose sizes, places and sketches allow the similarity."""
+    dealt = dealt_blocks(rest, "s", "sid", "c", BLOCK)
+    member = F.struct("sid", "n", "at", "component", "sketch")
+    side = lambda c: F.array_compact(F.collect_list(F.when(F.col("block") == F.col(c), member)))
+    work = dealt.groupBy("s", "i", "j").agg(side("i").alias("x"), side("j").alias("y")).select("x", "y").where("size(x) > 0 and size(y) > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        def columns(members):
+            v = members.values
+            sketch = np.frombuffer(b"".join(v.field("sketch").to_pylist()), np.uint64).reshape(len(v), -1)
+            return [v.field(f).to_numpy().astype(np.int64) for f in ("sid", "n", "at", "component")], sketch
+
         for batch in batches:
             found = set()
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                (a, ca, sa), (b, cb, sb) = ([m.field("sid").to_numpy(), m.field("component").to_numpy(), [s.values.to_numpy() for s in m.field("s")]] for m in (x.values, y.values))
-                sizes = np.array([len(s) for s in sa])[:, None] + np.array([len(s) for s in sb])[None, :]
-                parent: dict[int, int] = {}
-
-                def find(c: int, parent=parent) -> int:
-                    while parent.setdefault(c, c) != c:
-                        parent[c] = parent[parent[c]]
-                        c = parent[c]
-                    return c
-
-                near = (_shared(sa, sb) * (num + den) >= sizes * num) & (ca[:, None] != cb[None, :])
-                for i, j in np.argwhere(near).tolist():
-                    p, q = find(int(ca[i])), find(int(cb[j]))
-                    if p != q:
-                        parent[q] = p
-                        found.add((min(int(a[i]), int(b[j])), max(int(a[i]), int(b[j]))))
+                ((a, na, pa_, ca), sa), ((b, nb, pb, cb), sb) = columns(x), columns(y)
+                for i in range(len(a)):
+                    total = nb + na[i]
+                    # what the sets can share from here on, against num / (num + den) of both sizes
+                    most = 1 + np.minimum(na[i] - pa_[i] - 1, nb - pb - 1)
+                    at = np.flatnonzero((cb != ca[i]) & (most * (num + den) >= total * num))
+                    if len(at):
+                        apart = np.bitwise_count(sb[at] ^ sa[i]).sum(1, dtype=np.int64)
+                        for o in b[at[apart * (num + den) <= total[at] * (den - num)]].tolist():
+                            found.add((min(int(a[i]), o), max(int(a[i]), o)))
             edges = np.array(sorted(found), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
@@ -198,7 +185,7 @@ def similar_sets(docs: DataFrame, sets: DataFrame, width: int, num: int, den: in
     first = printed.select("fp", "first")
     by_bits = by_bits.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(*pair("x", "y"))
 
-    posted = each.select("sid", "n", F.posexplode("head").alias("at", "s"))
+    posted = each.select("sid", "n", "sketch", F.posexplode("head").alias("at", "s"))
     shared, _ = small_side(posted.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "shingles-shared")
     members = materialize(posted.join(shared, "s"), "shingle-members")
     heads = members.groupBy("s").agg(F.min("sid").alias("h"), F.min_by("n", "sid").alias("hn"), F.min_by("at", "sid").alias("hat"))
@@ -210,12 +197,8 @@ def similar_sets(docs: DataFrame, sets: DataFrame, width: int, num: int, den: in
     named = materialize(named, "shingle-named")
     mixed = named.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("sid").alias("h")).where("low < high").select("s", "h")
     rest = named.join(mixed, "s").where("sid != h")  # the first of the bucket has met all others
-    other = rest.select("s", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("component").alias("component2"))
-    met = rest.where(F.col("c") <= FEW).join(other, "s").where("sid < sid2 and component != component2").where(_fit("n", "at", "n2", "at2", num, den))
-    more = _verified(met.select(*pair("sid", "sid2")), docs, sets, width, num, den)
-    large = materialize(rest.where(F.col("c") > FEW).select(F.col("s").alias("bucket"), "sid", "component", "c"), "shingle-large")
-    full = _full_sets(large.select("sid").distinct(), docs, sets, width)
-    return connected_components(links.unionByName(more).unionByName(_block_links(large.join(full, "sid"), num, den)))
+    more = _verified(_unlike_pairs(rest, num, den), docs, sets, width, num, den)
+    return connected_components(links.unionByName(more))
 
 
 def keep_first_similar(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:

@@ -13,7 +13,7 @@ from lodestone.functions import text
 #: What makes up a structural fingerprint.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OPAQUE = frozenset("script style noscript svg math canvas".split())
-MAX_DEPTH, VERSION = 200, "fp1"
+MAX_DEPTH, VERSION, SEPARATOR = 200, "fp1", ">"
 ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
 CELL = r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"
 
@@ -40,6 +40,30 @@ def links(pages: DataFrame, limit: int = 25) -> DataFrame:
     return kept.select("page_id", F.posexplode("l").alias("n", "x")).select("page_id", "n", "x.url", "x.label")
 
 
+TABLE = r"(?is)<table[^>]*\bid\s*=\s*[\"']?([^\"'\s>]+)[^>]*>(.*?)</table>"
+DATED = r"\d{1,2}/\d{1,2}/\d{4}"
+
+
+def tables(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``table, row, cells`` of every table that has an id, with the other columns; rows without cells are left out."""
+    found = F.arrays_zip(F.regexp_extract_all(F.col(html), F.lit(TABLE), 1).alias("id"), F.regexp_extract_all(F.col(html), F.lit(TABLE), 2).alias("body"))
+    each = pages.select(*(c for c in pages.columns if c != html), F.explode(found).alias("t"))
+    return grid_rows(each.select(*(c for c in each.columns if c != "t"), F.col("t.id").alias("table"), F.col("t.body").alias("body")), "body")
+
+
+def result_grids(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, n_wide, n_dated`` of the tables of at least three rows of three cells of which one or more hold a date."""
+    dated = F.exists("cells", lambda c: c.rlike(DATED))
+    wide = rows.where(F.size("cells") >= 3).groupBy(*keys).agg(F.count("*").alias("n_wide"), F.count_if(dated).alias("n_dated"))
+    return wide.where("n_wide >= 3 and n_dated >= 1")
+
+
+def first_of_names(names: Column, values: Column) -> Column:
+    """A map in which the first value of a name wins."""
+    pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
+    return F.map_from_entries(F.filter(F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v"))), lambda p, i: F.array_position(names, p["k"]) == i + 1))
+
+
 def grid_rows(grids: DataFrame, html: str = "html") -> DataFrame:
     """One row for each table row that has cells, with its cells' texts."""
     rows = grids.select(*(c for c in grids.columns if c != html), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(ROW), 1)).alias("row", "inner"))
@@ -64,49 +88,51 @@ def tag_paths(page: str) -> tuple[list[str], int]:
         def __init__(self):
             super().__init__(convert_charrefs=True)
             self.open: list[list] = []  # tag, whether it has a child
-            self.skip: str | None = None
+            self.skip = False
 
         def leaf(self, *more):
-            paths.add("/".join([t for t, _ in self.open] + list(more)))
+            paths.add(SEPARATOR.join([t for t, _ in self.open] + list(more)))
 
-        def handle_starttag(self, tag, attrs):
+        def seen(self):
             nonlocal count
-            if self.skip or len(self.open) >= MAX_DEPTH:
-                return
-            if tag in OPAQUE:
-                self.skip = tag
-                return
             count += 1
             if self.open:
                 self.open[-1][1] = True
+
+        def shut(self):
+            if not self.open[-1][1]:
+                self.leaf()
+            self.open.pop()
+
+        def handle_starttag(self, tag, attrs):
+            if self.skip or tag in OPAQUE:
+                self.skip = True
+                return
+            self.seen()
             if tag in VOID:
                 self.leaf(tag)
-            else:
-                self.open.append([tag, False])
+                return
+            self.open.append([tag, False])
+            if len(self.open) > MAX_DEPTH:  # too deep to be structure: a leaf
+                self.shut()
 
         def handle_startendtag(self, tag, attrs):
-            self.handle_starttag(tag, attrs)
-            if tag not in VOID:
-                self.handle_endtag(tag)
+            if not self.skip and tag not in OPAQUE:
+                self.seen()
+                self.leaf(tag)
 
         def handle_endtag(self, tag):
             if self.skip:
-                self.skip = None if tag == self.skip else self.skip
-                return
-            if any(t == tag for t, _ in self.open):
-                while self.open:
-                    top, has = self.open[-1]
-                    if not has:
-                        self.leaf()
-                    self.open.pop()
-                    if top == tag:
-                        break
+                self.skip = tag not in OPAQUE
+            elif tag not in VOID and any(t == tag for t, _ in self.open):
+                last = None
+                while last != tag:  # unclosed elements end with the one around them
+                    last = self.open[-1][0]
+                    self.shut()
 
         def finish(self):
             while self.open:
-                if not self.open[-1][1]:
-                    self.leaf()
-                self.open.pop()
+                self.shut()
 
     walker = Walker()
     try:

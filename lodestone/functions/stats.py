@@ -61,3 +61,8 @@ def floor_quantile(xs: Column, f: float) -> Column:
 def clipped_quantile(xs: Column, p: float) -> Column:
     """At ``min(n - 1, int(p * n))``."""
     return _at(xs, F.least(F.size(xs) - 1, F.floor(F.lit(p) * F.size(xs)).cast("int")))
+
+
+def rule_of_three(n: Column) -> Column:
+    """Upper bound, in per cent, of a share of which ``n`` trials showed none."""
+    return F.try_divide(F.lit(300.0), n)

@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Width of the slice and pattern of each date format, in the order they are tried (fixed values).
-DATE_FORMATS = ((10, "yyyy-M-d"), (10, "M/d/yyyy"), (10, "yyyy/M/d"), (11, "d-MMM-yyyy"), (10, "M-d-yyyy"), (19, "yyyy-M-d'T'H:m:s"), (19, "yyyy-M-d H:m:s"), (12, "MMM d, yyyy"))
+#: Width of the slice, shape and way to ``yyyy-M-d`` of each date format (fixed values).  No text has two of the shapes, so
+#: their order does not matter and each text is read once.
+DATE_SHAPES = (
+    (10, r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "$1-$2-$3"),
+    (10, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2"),
+    (10, r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"),
+    (11, r"^(\d{1,2})-([A-Za-z]{3})-(\d{4})$", "$3-$2-$1"),
+    (10, r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "$3-$1-$2"),
+    (19, r"^(\d{4}-\d{1,2}-\d{1,2})[T ]([01]?\d|2[0-3]):[0-5]?\d:([0-5]?\d|6[01])$", "$1"),
+    (12, r"^([A-Za-z]{3}) (\d{1,2}), (\d{4})$", "$3-$1-$2"),
+)
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
 def norm_text(x: Column) -> Column:
@@ -34,15 +44,20 @@ def norm_date(x: Column) -> Column:
     t = F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
     heads = F.struct(F.regexp_extract(t, r"(?U)^\S+", 0).alias("a"), F.substr(t, F.lit(1), F.lit(19)).alias("b"))
 
-    def first_that_parses(h: Column) -> Column:
-        tries = []
-        for head in (h["a"], h["b"]):
-            tries += [F.try_to_timestamp(F.substr(head, F.lit(1), F.lit(width)), F.lit(fmt)).cast("date") for width, fmt in DATE_FORMATS]
-            tries.append(F.try_to_timestamp(head, F.lit("M/d/yyyy")).cast("date"))
-        return F.coalesce(*tries)
-
-    # inside a lambda the heads are cut once, and the many formats do not swell the generated code
-    iso = F.date_format(F.get(F.transform(F.array(heads), first_that_parses), F.lit(0)), "yyyy-MM-dd")
+    def day(head: Column) -> Column:
+        ymd = None
+        for width, shape, order in DATE_SHAPES:
+            part = F.substr(head, F.lit(1), F.lit(width))
+            value = F.regexp_replace(part, shape, order)
+            ymd = F.when(part.rlike(shape), value) if ymd is None else ymd.when(part.rlike(shape), value)
+        name = F.lower(F.regexp_extract(ymd, "-([A-Za-z]{3})-", 1))
+        month = F.array_position(F.array(*map(F.lit, MONTHS)), name)
+        ymd = F.when(name == "", ymd).when(month > 0, F.regexp_replace(ymd, "[A-Za-z]{3}", month.cast("string")))
+        return F.when(~F.startswith(ymd, F.lit("0000")), ymd).try_cast("date")
+
+    # inside a lambda the heads are cut once
+    read = F.transform(F.array(heads), lambda h: F.coalesce(day(h["a"]), F.when(h["a"] != h["b"], day(h["b"]))))
+    iso = F.date_format(F.get(read, F.lit(0)), "yyyy-MM-dd")
     lead = F.nullif(F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
     epoch = F.date_format(F.timestamp_millis(x.try_cast("bigint")), "yyyy-MM-dd")
     return F.when(x.rlike(r"^\d{12,}$"), epoch).when(x != "", F.coalesce(iso, lead))

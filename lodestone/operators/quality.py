@@ -23,13 +23,13 @@ def tripped(rates: DataFrame) -> DataFrame:
 
 def units_by_column(records: DataFrame) -> DataFrame:
     live = records.where("bps_column is not null and countable_units <> 0")
-    implied = F.when(F.col("unit_count_source") == "implied", F.col("countable_units")).otherwise(0)
+    implied = F.when(F.col("unit_count_source") == "implied_by_structure_code", F.col("countable_units")).otherwise(0)
     return live.groupBy("bps_column").agg(F.sum("countable_units").cast("bigint").alias("units"), F.sum(implied).cast("bigint").alias("implied"))
 
 
 def qualified(records: DataFrame) -> DataFrame:
     """Sources whose units rest on the class names: wholly or for the most part."""
-    implied = F.when(F.col("unit_count_source") == "implied", F.col("countable_units")).otherwise(0)
+    implied = F.when(F.col("unit_count_source") == "implied_by_structure_code", F.col("countable_units")).otherwise(0)
     d = records.groupBy("source_id").agg(F.sum("countable_units").cast("bigint").alias("total"), F.sum(implied).cast("bigint").alias("implied"), F.count_if(F.col("permit_kind") == "UNKNOWN").alias("unknown_kind"))
     live = F.col("total") > 0
     return d.withColumn("qualified", F.when(live & (F.col("implied") == F.col("total")), "all-implied").when(live & (F.col("implied") >= 0.5 * F.col("total")), "mostly-implied"))

@@ -28,10 +28,19 @@ def by_code(rows: DataFrame, codes: DataFrame) -> DataFrame:
     return rows.join(codes, key == F.col("code_key"), "left").withColumn("rule", F.when(F.col("code_key").isNotNull(), F.concat(F.lit("code:"), "code_key")))
 
 
-def milestones(rows: DataFrame) -> DataFrame:
-    """``milestones``: those of the closed vocabulary whose date can be read."""
-    each = F.struct(F.lit("issued").alias("milestone"), text.norm_date(F.col("issued")).alias("reported_date"), F.col("issued").alias("native_string"))
-    return rows.withColumn("milestones", F.filter(F.array(each), lambda m: m["reported_date"].isNotNull()))
+def milestones(rows: DataFrame, dates: dict[str, str] | None = None) -> DataFrame:
+    """``milestones`` of the columns that ``dates`` names by milestone: those that can be read as a date, in the order of
+    the vocabulary.  A name that is not in the vocabulary raises."""
+    dates = {"issued": "issued"} if dates is None else dates
+    if unknown := [m for m in dates if m not in vocab.MILESTONES]:
+        raise ValueError(f"not a milestone: {', '.join(unknown)}")
+    each = [F.struct(F.lit(m).alias("milestone"), text.norm_date(F.col(dates[m])).alias("reported_date"), F.col(dates[m]).alias("native_string")) for m in vocab.MILESTONES if m in dates]
+    return rows.withColumn("milestones", F.filter(F.array(*each), lambda m: m["reported_date"].isNotNull()))
+
+
+def reported(milestone: str):
+    """The date of the first such milestone of a record."""
+    return F.try_element_at(F.filter("milestones", lambda m: m["milestone"] == milestone), F.lit(1))["reported_date"]
 
 
 def _countable(units, source):
@@ -49,7 +58,7 @@ def build(rows: DataFrame) -> DataFrame:
             "permit_kind": F.col("kd.value"),
             "work_class": F.col("w.value"),
             "unit_count": F.coalesce("fu", F.col("tu").cast("bigint")),
-            "unit_count_source": F.when(F.col("fu").isNotNull(), "field").when(F.col("tu").isNotNull(), "text").otherwise("absent"),
+            "unit_count_source": F.when(F.col("fu").isNotNull(), "field").when(F.col("tu").isNotNull(), "parsed_from_text").otherwise("absent"),
         }
     )
     d = d.withColumn("structure_type", classify.refine(F.col("s.value"), F.col("unit_count"), F.col("work_class"))["value"])
@@ -64,19 +73,78 @@ def build(rows: DataFrame) -> DataFrame:
     return d.drop("s", "w", "kd", "fu", "tu")
 
 
+def _with_counts(d: DataFrame) -> DataFrame:
+    """``bps_column`` and both countable counts of rows that are classified and counted."""
+    d = d.withColumns({"bps_column": classify.bps_column(F.col("structure_type")), "countable_units": _countable(F.col("unit_count"), F.col("unit_count_source"))})
+    return d.withColumn("countable_units_measured", F.when(F.col("unit_count_source") == "implied_by_structure_code", 0).otherwise(F.col("countable_units")))
+
+
 def build_controlled(rows: DataFrame) -> DataFrame:
-    """Rows whose type is a controlled field: units of the text, else those that the class implies."""
+    """Rows whose type column is the only controlled one, so it alone is classified: units of the description, which may
+    refine the class, else those that the class implies."""
+    ok, _ = identity_gate(rows)
+    kind_, work_, units = classify.kind(F.col("type_text")), classify.work(F.col("type_text")), classify.units_from_text(F.col("description"))
+    d = ok.withColumns({"s": classify.structure(F.col("type_text")), "work_class": work_["value"], "permit_kind": kind_["value"], "tu": units["units"]})
+    d = d.withColumn("structure_type", classify.refine(F.col("s.value"), F.col("tu"), F.col("work_class"))["value"])
+    d = d.withColumn("iu", F.when(F.col("tu").isNull(), classify.imply_units(F.col("structure_type"), F.col("work_class"), F.col("s.rule"), F.lit(True))["units"]))
+    source = F.when(F.col("tu").isNotNull(), "parsed_from_text").when(F.col("iu").isNotNull(), "implied_by_structure_code").otherwise("absent")
+    return _with_counts(d.withColumns({"unit_count": F.coalesce("tu", "iu"), "unit_count_source": source})).drop("s", "tu", "iu")
+
+
+def build_by_code(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """Rows whose code the publisher's own legend explains.  An unknown code leaves the kind unknown and the units absent;
+    a code that the legend excludes gives no units."""
     ok, _ = identity_gate(rows)
-    d = ok.withColumns({"s": classify.structure(F.col("type_text")), "work_class": classify.work(F.col("work_text"))["value"], "permit_kind": classify.kind(F.col("kind_text"))["value"], "tu": classify.units_from_text(F.col("description"))["units"]})
-    d = d.withColumn("iu", F.when(F.col("tu").isNull(), classify.imply_units(F.col("s.value"), F.col("work_class"), F.col("s.rule"), F.lit(True))["units"]))
-    d = d.withColumns({"unit_count": F.coalesce("tu", "iu"), "unit_count_source": F.when(F.col("tu").isNotNull(), "text").when(F.col("iu").isNotNull(), "implied").otherwise("absent"), "structure_type": F.col("s.value")})
-    d = d.withColumn("countable_units", _countable(F.col("unit_count"), F.col("unit_count_source")))
-    return d.withColumn("countable_units_measured", F.when(F.col("unit_count_source") == "implied", 0).otherwise(F.col("countable_units"))).drop("s", "tu", "iu")
+    d = by_code(ok, codes)
+    units = F.when(F.col("exclude").isNull(), F.col("units"))
+    d = d.withColumns(
+        {
+            "permit_kind": F.coalesce("kind", F.lit("UNKNOWN")),
+            "work_class": F.coalesce("work", F.lit("UNKNOWN")),
+            "structure_type": F.col("structure"),
+            "unit_count": units,
+            "unit_count_source": F.when(units.isNotNull(), "implied_by_structure_code").otherwise("absent"),
+        }
+    )
+    return _with_counts(d)
+
+
+#: The columns of a record, in order (fixed values).
+RECORD = (
+    "observation_key", "source_id", "state_fips", "bps_id", "native_id", "platform", "permit_kind", "work_class", "structure_type",
+    "bps_column", "unit_count", "unit_count_source", "countable_units", "countable_units_measured", "valuation", "address",
+    "description", "milestones", "date_applied", "date_issued", "observed_at", "native", "content_hash", "extractor_version", "schema_version",
+)
+
+
+def as_records(built: DataFrame, platform: str, version: str, dates: dict[str, str], native: tuple[str, ...], schema_version: str = "step1.1") -> DataFrame:
+    """Built rows in the whole record schema; ``native`` names the columns that are kept as they came."""
+    d = milestones(_with_counts(built), dates)
+    kept = F.map_filter(F.create_map(*(x for c in native for x in (F.lit(c), F.col(c).cast("string")))), lambda _, v: v.isNotNull())
+    missing = {c: F.lit(None).cast("string") for c in ("address", "observed_at", "content_hash") if c not in d.columns}
+    d = d.withColumns(
+        missing
+        | {
+            "observation_key": F.concat_ws("|", "source_id", "native_id"),
+            "platform": F.lit(platform),
+            "description": text.norm_text(F.col("description")),
+            "valuation": F.col("valuation").cast("double"),
+            "unit_count": F.col("unit_count").cast("int"),
+            "countable_units": F.col("countable_units").cast("int"),
+            "countable_units_measured": F.col("countable_units_measured").cast("int"),
+            "date_applied": reported("applied"),
+            "date_issued": reported("issued"),
+            "native": F.when(F.size(kept) > 0, kept),
+            "extractor_version": F.lit(version),
+            "schema_version": F.lit(schema_version),
+        }
+    )
+    return d.select(*RECORD)
 
 
 def validate(records: DataFrame) -> DataFrame:
     """``violations`` of each record; empty if it may be written."""
-    implied = F.col("unit_count_source") == "implied"
+    implied = F.col("unit_count_source") == "implied_by_structure_code"
     class_count = F.when(F.col("structure_type").isin("101", "102"), 1).when(F.col("structure_type") == "103", 2)
     checks = {
         "unknown-source": ~F.col("unit_count_source").isin(*vocab.UNIT_SOURCES),

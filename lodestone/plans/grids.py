@@ -35,16 +35,6 @@ def detail_fields(spark, sf_dir):
     return d.select("c_custkey", fields.alias("f")).select("c_custkey", F.try_element_at("f", F.lit("Status")).alias("status"), F.try_element_at("f", F.lit("Units")).alias("units"), F.size("f").alias("n_fields"))
 
 
-HIDDEN = r'(?is)<input[^>]*type="hidden"[^>]*name="(__[^"]*)"[^>]*value="[^"]*"'
-VALUES = r'(?is)<input[^>]*type="hidden"[^>]*name="__[^"]*"[^>]*value="([^"]*)"'
-
-
-@register("f06_hidden_fields", "SELECT c_custkey, concat('k', CAST(c_custkey AS VARCHAR)) AS key, 2 AS n FROM customer")
-def hidden_fields(spark, sf_dir):
-    fields = F.map_from_arrays(F.regexp_extract_all("html", F.lit(HIDDEN), 1), F.regexp_extract_all("html", F.lit(VALUES), 1))
-    return details(spark, sf_dir).select("c_custkey", F.try_element_at(fields, F.lit("__KEY")).alias("key"), F.size(fields).alias("n"))
-
-
 @register("f09_viewstate_bytes", "SELECT c_custkey, c_custkey % 50 AS n FROM customer")
 def viewstate_bytes(spark, sf_dir):
     sizes = F.transform(F.regexp_extract_all("html", F.lit(r'(?is)name="__VIEWSTATE[^"]*"[^>]*value="([^"]*)"'), 1), F.length)
@@ -61,21 +51,3 @@ def data_rows(spark, sf_dir):
     """Rows with three cells or more, and with four or more."""
     cells = F.regexp_count("html", F.lit(r"(?i)<t[dh][^>]*>"))
     return frame(spark, sf_dir, INDEX).groupBy("page").agg(F.count_if(cells >= 3).alias("rows"), F.count_if(cells >= 4).cast("int").alias("wide"))
-
-
-MUTATORS = {
-    "class_rename": lambda h: F.regexp_replace(h, 'class="', 'class="m-'),
-    "wrapper": lambda h: F.concat(F.lit("<div>"), h, F.lit("</div>")),
-    "whitespace": lambda h: F.regexp_replace(h, "><", ">\n  <"),
-    "column_append": lambda h: F.regexp_replace(h, "(?i)</tr>", "<td>new</td></tr>"),
-}
-
-
-@register("f13_mutations", f"SELECT m AS mutation, count(*) AS pages, 0 AS unchanged, 0 AS lost FROM orders, unnest({list(MUTATORS)}) AS t(m) GROUP BY m")
-def mutations(spark, sf_dir):
-    """The mutations that patterns can make: each changes every page and loses no identifier."""
-    d = frame(spark, sf_dir, INDEX)
-    each = F.array(*(F.struct(F.lit(n).alias("mutation"), f(F.col("html")).alias("changed")) for n, f in MUTATORS.items()))
-    d = d.select("k", "html", F.explode(each).alias("x")).select("k", "html", "x.*")
-    kept = F.contains("changed", F.concat(F.lit("PopPermit('"), F.when(F.col("k") % 19 == 0, "").otherwise(F.col("k").cast("string")), F.lit("')")))
-    return d.groupBy("mutation").agg(F.count("*").alias("pages"), F.count_if(F.col("changed") == F.col("html")).cast("int").alias("unchanged"), F.count_if(~kept).cast("int").alias("lost"))

@@ -38,22 +38,6 @@ def modal_width(spark, sf_dir):
     return markup.modal_width(rows(spark, sf_dir), ["grid"])
 
 
-@register("f02_result_grids", "SELECT o_custkey AS grid, count(*) + 1 AS n_rows FROM orders GROUP BY o_custkey HAVING count(*) + 1 >= 3")
-def result_grids(spark, sf_dir):
-    d = rows(spark, sf_dir).where(F.size("cells") >= 3)
-    return d.groupBy("grid").agg(F.count("*").alias("n_rows")).where("n_rows >= 3")
-
-
-@register("f14_faithful", "SELECT o_custkey AS grid, count(*) FILTER (WHERE o_orderkey % 13 = 0) AS lost FROM orders GROUP BY o_custkey")
-def faithful(spark, sf_dir):
-    """Identifiers that a mutation of the grid lost."""
-    mutated = frame(spark, sf_dir, SPARK_GRIDS).withColumn("cut", F.regexp_replace("html", r"(?s)<b>(\d+)</b>", "[$1]"))
-    ids = frame(spark, sf_dir, "SELECT o_custkey AS owner, o_orderkey AS id FROM orders")
-    j = ids.join(mutated, F.col("owner") == F.col("grid"))
-    there = F.contains("cut", F.concat(F.lit("["), F.col("id").cast("string"), F.lit("]"))) & (F.col("id") % 13 != 0)
-    return j.groupBy("grid").agg(F.count_if(~there).alias("lost"))
-
-
 @register("f08_level_one", r"SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')) AS n FROM pages")
 def level_one(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.length(markup.without_scripts(F.col("html"))).alias("n"))

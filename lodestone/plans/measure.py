@@ -184,14 +184,6 @@ def host_mix(spark, sf_dir):
     return ledger(spark, sf_dir).groupBy("model", "host").agg(F.count("*").alias("n"), F.sum(1 - F.col("ok")).alias("failed"))
 
 
-@register("j16_budget", f"WITH l AS ({LEDGER}) SELECT model, row_id, round(s, 4) AS spent FROM (SELECT model, row_id, sum(usd) OVER (PARTITION BY model ORDER BY row_id ROWS UNBOUNDED PRECEDING) AS s FROM l WHERE ok = 1) WHERE s <= 500")
-def budget(spark, sf_dir):
-    """Calls up to the first that would pass the ceiling; a running sum, as nothing before it is refused."""
-    w = Window.partitionBy("model").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
-    d = ledger(spark, sf_dir).where("ok = 1").withColumn("s", F.sum("usd").over(w)).where("s <= 500")
-    return d.select("model", "row_id", F.round("s", 4).alias("spent"))
-
-
 @register("j17_spend_by_mode", f"WITH d AS ({DRAWS}) SELECT outcome, count(*) AS n, round(avg(recall_min), 6) AS recall, round(sum(usd), 4) AS usd FROM d GROUP BY outcome")
 def spend_by_mode(spark, sf_dir):
     return draws(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("n"), F.round(F.avg("recall_min"), 6).alias("recall"), F.round(F.sum("usd"), 4).alias("usd"))

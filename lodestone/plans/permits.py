@@ -96,16 +96,8 @@ def content_hash(spark, sf_dir):
     return permits(spark, sf_dir).select("k", text.content_hash(F.concat_ws("|", "source_id", "native_id")).alias("v"))
 
 
-@register("b07_fragment_text", rf"SELECT page_id, {SQUASH.format('''replace(replace(replace(replace(replace(replace(regexp_replace(substr(html, 1, 400), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' ')''')} AS v FROM pages")
+@register("b07_fragment_text", rf"SELECT page_id, {SQUASH.format("""replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' ')""")} AS v FROM pages")
 def fragment_text(spark, sf_dir):
-    """Over the first 400 characters, where a page's title stands."""
-    pages = frame(spark, sf_dir, "SELECT page_id, substr(html, 1, 400) AS h FROM pages")
-    return pages.select("page_id", text.fragment_text(F.col("h")).alias("v"))
-
-
-@register("b07_fragment_text_whole")
-def fragment_text_whole(spark, sf_dir):
-    """Over whole pages; tested against brute force."""
     return frame(spark, sf_dir, "SELECT page_id, html FROM pages").select("page_id", text.fragment_text(F.col("html")).alias("v"))
 
 
@@ -161,16 +153,25 @@ def kind(spark, sf_dir):
     return d.select("k", "s.value", "s.rule", F.col("d.value").alias("declared_value"), F.col("d.rule").alias("declared_rule"))
 
 
-CODE_TABLE = "VALUES ('101', '101', 'NEW', 'Single family'), ('105', '105', 'NEW', 'Five or more'), ('329', NULL, 'UNKNOWN', 'Swimming pool'), ('329E', NULL, 'UNKNOWN', 'Pool enclosure')"
+_lit = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+_COLUMNS = "(place, code_key, label, structure, work, kind, units, exclude)"
+CODE_TABLE = f"t AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_lit, (i, *c))) + ')' for i, c in enumerate(vocab.CODES))}) AS t{_COLUMNS})"
 
 
 def code_table(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT * FROM ({CODE_TABLE}) AS t(code_key, structure, work, label)")
+    return spark.createDataFrame(list(vocab.CODES), "code_key string, label string, structure string, work string, kind string, units int, exclude string")
+
 
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Permits with the codes of the legend in turn, in small letters and between spaces, and with codes it lacks."""
+    places = spark.createDataFrame([(i, f" {c[0].lower()} ") for i, c in enumerate(vocab.CODES)], "place int, own string")
+    d = permits(spark, sf_dir).join(F.broadcast(places), F.col("k") % 80 == F.col("place"), "left")
+    return d.withColumn("code", F.coalesce("own", F.lit("329x"))).drop("own", "place")
 
-@register("c04_by_code", f"WITH {P}, t AS (SELECT * FROM ({CODE_TABLE}) AS t(code_key, structure, work, label)) SELECT k, structure, work, label, CASE WHEN code_key IS NOT NULL THEN concat('code:', code_key) END AS rule FROM p LEFT JOIN t ON upper(trim(code)) = code_key")
+
+@register("c04_by_code", f"WITH {P}, {CODE_TABLE} SELECT k, structure, work, label, CASE WHEN code_key IS NOT NULL THEN concat('code:', code_key) END AS rule FROM p LEFT JOIN t ON k % 80 = place")
 def by_code(spark, sf_dir):
-    return records.by_code(permits(spark, sf_dir), code_table(spark)).select("k", "structure", "work", "label", "rule")
+    return records.by_code(coded(spark, sf_dir), code_table(spark)).select("k", "structure", "work", "label", "rule")
 
 
 REFINED_V = "CASE WHEN wv = 'NEW' AND u > 0 AND sv = '1-4' THEN CASE WHEN u = 1 THEN '101' WHEN u = 2 THEN '103' ELSE '104' END WHEN wv = 'NEW' AND u > 0 AND sv = '105' AND u <= 4 THEN CASE WHEN u >= 3 THEN '104' WHEN u = 2 THEN '103' ELSE '101' END ELSE sv END"
@@ -217,7 +218,7 @@ def prefix_list(spark, sf_dir):
 # ---- D, E: records and alarm
 #: The open-data build: text units if the field has none, then refinement.
 RECORDS = f"""{CLASSED},
-u AS (SELECT *, coalesce(fu, tu) AS u, CASE WHEN fu IS NOT NULL THEN 'field' WHEN tu IS NOT NULL THEN 'text' ELSE 'absent' END AS us FROM c WHERE trim(native_id) <> ''),
+u AS (SELECT *, coalesce(fu, tu) AS u, CASE WHEN fu IS NOT NULL THEN 'field' WHEN tu IS NOT NULL THEN 'parsed_from_text' ELSE 'absent' END AS us FROM c WHERE trim(native_id) <> ''),
 r AS (SELECT *, {REFINED_V} AS st FROM u),
 rec AS (SELECT k, source_id, state_fips, bps_id, native_id, iso, kv AS permit_kind, wv AS work_class, st AS structure_type,
   CASE st WHEN '101' THEN 'u1' WHEN '102' THEN 'u1' WHEN '103' THEN 'u2' WHEN '104' THEN 'u34' WHEN '105' THEN 'u5p' WHEN '1-4' THEN 'low_bundle' END AS bps_column,
@@ -243,24 +244,46 @@ def milestones(spark, sf_dir):
     return records.milestones(permits(spark, sf_dir)).select("k", F.explode("milestones").alias("m")).select("k", "m.*")
 
 
-@register("d06_validate", f"WITH {RECORDS} SELECT source_id, count(*) AS n, sum(CASE WHEN unit_count < 0 THEN 1 ELSE 0 END) AS negative FROM rec GROUP BY source_id")
+_BROKEN = "CASE k % 8 WHEN 0 THEN 'guessed' WHEN 1 THEN 'absent' WHEN 2 THEN 'field' WHEN 3 THEN 'implied_by_structure_code' ELSE 'field' END"
+
+
+@register("d06_validate", f"""WITH {RECORDS}, b AS (SELECT source_id, {_BROKEN} AS us, CASE WHEN k % 8 = 2 THEN NULL ELSE 3 - k % 6 END AS u, CASE WHEN k % 7 = 0 THEN '999' ELSE structure_type END AS st FROM rec),
+v AS (SELECT source_id, unnest(list_filter([CASE WHEN us = 'guessed' THEN 'unknown-source' END, CASE WHEN us = 'absent' AND u IS NOT NULL THEN 'absent-with-count' END, CASE WHEN us <> 'absent' AND u IS NULL THEN 'stated-without-count' END, CASE WHEN st = '999' THEN 'unknown-class' END, CASE WHEN u < 0 THEN 'negative-units' END, CASE WHEN us LIKE 'implied%' AND coalesce(CASE st WHEN '101' THEN 1 WHEN '102' THEN 1 WHEN '103' THEN 2 END <> u, true) THEN 'implied-differs' END], lambda x: x IS NOT NULL)) AS violation FROM b)
+SELECT source_id, violation, count(*) AS n FROM v GROUP BY source_id, violation""")
 def validate(spark, sf_dir):
-    v = records.validate(records.build(permits(spark, sf_dir)))
-    return v.groupBy("source_id").agg(F.count("*").alias("n"), F.sum(F.array_contains("violations", "negative-units").cast("int")).alias("negative"))
+    """Records that are broken in each of the six ways."""
+    d = records.build(permits(spark, sf_dir)).withColumns({"unit_count_source": F.expr(_BROKEN), "unit_count": F.expr("CASE WHEN k % 8 = 2 THEN NULL ELSE 3 - k % 6 END"), "structure_type": F.expr("CASE WHEN k % 7 = 0 THEN '999' ELSE structure_type END")})
+    return records.validate(d).select("source_id", F.explode("violations").alias("violation")).groupBy("source_id", "violation").agg(F.count("*").alias("n"))
+
+
+#: Types that say more, for the build that may read nothing else.
+TYPED = "concat(type_text, CASE k % 4 WHEN 0 THEN ' New Building' WHEN 1 THEN ' new bldg' WHEN 2 THEN ' building addition' ELSE '' END)"
+_TWV, _ = vocab.case_sql(vocab.WORK_RULES, "lower(tt)", "'UNKNOWN'")
+_TKV, _ = vocab.case_sql(vocab.KIND_RULES, "lower(tt)", "'UNKNOWN'")
+_TSV, _TSR = STRUCTURE_V.replace("type_text", "tt"), STRUCTURE_R.replace("type_text", "tt")
+IMPLIED = f"""{P}, y AS (SELECT *, {TYPED} AS tt, {TEXT_UNITS} AS tu FROM p WHERE trim(native_id) <> ''),
+z AS (SELECT *, {_TSV} AS sv, {_TSR} AS sr, {_TWV} AS wv, {_TKV} AS kv, tu AS u FROM y), q AS (SELECT *, {REFINED_V} AS st FROM z),
+a AS (SELECT *, CASE WHEN tu IS NULL AND wv = 'NEW' AND sr IN ('bps-code', 'kw:single-family', 'kw:attached', 'kw:two-family') AND st IN ('101', '102', '103') THEN CASE WHEN st = '103' THEN 2 ELSE 1 END END AS iu FROM q)"""
 
 
-IMPLIED = f"""{CLASSED}, a AS (SELECT *, CASE WHEN tu IS NULL AND wv = 'NEW' AND sr IN ('bps-code', 'kw:single-family', 'kw:attached', 'kw:two-family') AND sv IN ('101', '102', '103') THEN CASE WHEN sv = '103' THEN 2 ELSE 1 END END AS iu FROM c WHERE trim(native_id) <> '')"""
+def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permits(spark, sf_dir).withColumn("type_text", F.expr(TYPED))
 
 
-@register("d08_build_controlled", f"WITH {IMPLIED} SELECT k, coalesce(tu, iu) AS unit_count, CASE WHEN tu IS NOT NULL THEN 'text' WHEN iu IS NOT NULL THEN 'implied' ELSE 'absent' END AS unit_count_source, CASE WHEN kv = 'BUILDING' AND wv = 'NEW' THEN coalesce(tu, iu, 0) ELSE 0 END AS countable_units, CASE WHEN kv = 'BUILDING' AND wv = 'NEW' THEN coalesce(tu, 0) ELSE 0 END AS countable_units_measured FROM a")
+@register("d08_build_controlled", f"WITH {IMPLIED} SELECT k, kv AS permit_kind, wv AS work_class, st AS structure_type, coalesce(tu, iu) AS unit_count, CASE WHEN tu IS NOT NULL THEN 'parsed_from_text' WHEN iu IS NOT NULL THEN 'implied_by_structure_code' ELSE 'absent' END AS unit_count_source, CASE WHEN kv = 'BUILDING' AND wv = 'NEW' THEN coalesce(tu, iu, 0) ELSE 0 END AS countable_units, CASE WHEN kv = 'BUILDING' AND wv = 'NEW' THEN coalesce(tu, 0) ELSE 0 END AS countable_units_measured FROM a")
 def build_controlled(spark, sf_dir):
-    return records.build_controlled(permits(spark, sf_dir)).select("k", "unit_count", "unit_count_source", "countable_units", "countable_units_measured")
+    return records.build_controlled(typed(spark, sf_dir)).select("k", "permit_kind", "work_class", "structure_type", "unit_count", "unit_count_source", "countable_units", "countable_units_measured")
 
 
-@register("d09_build_by_code", f"WITH {P}, t AS (SELECT * FROM ({CODE_TABLE}) AS t(code_key, structure, work, label)) SELECT k, structure AS structure_type, coalesce(work, 'UNKNOWN') AS work_class, 'UNKNOWN' AS permit_kind, CASE WHEN code_key IS NULL THEN 'absent' ELSE 'field' END AS unit_count_source FROM p LEFT JOIN t ON upper(trim(code)) = code_key")
+@register("d09_build_by_code", f"WITH {P}, {CODE_TABLE} SELECT k, structure AS structure_type, coalesce(work, 'UNKNOWN') AS work_class, coalesce(kind, 'UNKNOWN') AS permit_kind, CASE WHEN exclude IS NULL THEN units END AS unit_count, CASE WHEN exclude IS NULL AND units > 0 THEN 'implied_by_structure_code' ELSE 'absent' END AS unit_count_source, CASE WHEN kind = 'BUILDING' AND work = 'NEW' AND exclude IS NULL THEN coalesce(units, 0) ELSE 0 END AS countable_units, exclude FROM p LEFT JOIN t ON k % 80 = place WHERE trim(native_id) <> ''")
 def build_by_code(spark, sf_dir):
-    d = records.by_code(permits(spark, sf_dir), code_table(spark))
-    return d.select("k", F.col("structure").alias("structure_type"), F.coalesce("work", F.lit("UNKNOWN")).alias("work_class"), F.lit("UNKNOWN").alias("permit_kind"), F.when(F.col("rule").isNull(), "absent").otherwise("field").alias("unit_count_source"))
+    return records.build_by_code(coded(spark, sf_dir), code_table(spark)).select("k", "structure_type", "work_class", "permit_kind", "unit_count", "unit_count_source", "countable_units", "exclude")
+
+
+@register("d12_whole_record", f"WITH {RECORDS} SELECT concat(source_id, '|', native_id) AS observation_key, 'socrata' AS platform, CAST(unit_count AS INT) AS unit_count, CAST(countable_units AS INT) AS countable_units, iso AS date_issued, iso AS date_applied, CASE WHEN iso IS NULL THEN 0 ELSE 2 END AS n_milestones, 2 AS n_native, 25 AS n_columns FROM rec")
+def whole_record(spark, sf_dir):
+    d = records.as_records(records.build(permits(spark, sf_dir)), "socrata", "v1", {"issued": "issued", "applied": "issued"}, ("type_text", "work_text"))
+    return d.select("observation_key", "platform", "unit_count", "countable_units", "date_issued", "date_applied", F.size("milestones").alias("n_milestones"), F.size("native").alias("n_native"), F.lit(len(d.columns)).alias("n_columns"))
 
 
 @register("d11_first_by_id", f"WITH {P}, d AS (SELECT source_id, type_text AS id, k, row_number() OVER (PARTITION BY source_id, type_text ORDER BY true_iso, k) AS r FROM p) SELECT source_id, id, k FROM d WHERE r = 1")
@@ -277,20 +300,20 @@ def null_rates(spark, sf_dir):
     return quality.null_rates(records.build(permits(spark, sf_dir)))
 
 
-@register("e02_units_by_column", f"WITH {RECORDS} SELECT bps_column, CAST(sum(countable_units) AS BIGINT) AS units, CAST(sum(CASE WHEN unit_count_source = 'implied' THEN countable_units ELSE 0 END) AS BIGINT) AS implied FROM rec WHERE bps_column IS NOT NULL AND countable_units <> 0 GROUP BY bps_column")
+@register("e02_units_by_column", f"WITH {RECORDS} SELECT bps_column, CAST(sum(countable_units) AS BIGINT) AS units, CAST(sum(CASE WHEN unit_count_source = 'implied_by_structure_code' THEN countable_units ELSE 0 END) AS BIGINT) AS implied FROM rec WHERE bps_column IS NOT NULL AND countable_units <> 0 GROUP BY bps_column")
 def units_by_column(spark, sf_dir):
     return quality.units_by_column(records.build(permits(spark, sf_dir)))
 
 
-@register("e03_alarm", f"WITH {RECORDS}, m AS (SELECT CASE WHEN state_fips < '05' THEN 'a' ELSE 'b' END AS part, * FROM rec WHERE state_fips < '10'), x AS (SELECT source_id, {_NULLS} FROM (SELECT * REPLACE (CASE WHEN part = 'a' THEN NULL ELSE structure_type END AS structure_type) FROM m) GROUP BY source_id) SELECT source_id, concat_ws(',', CASE WHEN permit_kind >= 0.90 THEN 'permit_kind' END, CASE WHEN work_class >= 0.90 THEN 'work_class' END, CASE WHEN structure_type >= 0.99 THEN 'structure_type' END, CASE WHEN unit_count >= 0.95 THEN 'unit_count' END) AS tripped FROM x")
+@register("e03_alarm", f"WITH {RECORDS}, m AS (SELECT CASE WHEN state_fips < '05' THEN 'a' ELSE 'b' END AS part, * FROM rec), x AS (SELECT source_id, {_NULLS} FROM (SELECT * REPLACE (CASE WHEN part = 'a' THEN NULL ELSE structure_type END AS structure_type) FROM m) GROUP BY source_id) SELECT source_id, concat_ws(',', CASE WHEN permit_kind >= 0.90 THEN 'permit_kind' END, CASE WHEN work_class >= 0.90 THEN 'work_class' END, CASE WHEN structure_type >= 0.99 THEN 'structure_type' END, CASE WHEN unit_count >= 0.95 THEN 'unit_count' END) AS tripped FROM x")
 def alarm(spark, sf_dir):
-    r = records.build(permits(spark, sf_dir)).where("state_fips < '10'").withColumn("structure_type", F.when(F.col("state_fips") >= "05", F.col("structure_type")))
+    r = records.build(permits(spark, sf_dir)).withColumn("structure_type", F.when(F.col("state_fips") >= "05", F.col("structure_type")))
     return quality.tripped(quality.null_rates(r)).select("source_id", F.array_join("tripped", ",").alias("tripped"))
 
 
-@register("e04_qualified", f"WITH {IMPLIED}, q AS (SELECT source_id, sum(CASE WHEN kv = 'BUILDING' AND wv = 'NEW' THEN coalesce(tu, iu, 0) ELSE 0 END) AS total, sum(CASE WHEN kv = 'BUILDING' AND wv = 'NEW' AND tu IS NULL THEN coalesce(iu, 0) ELSE 0 END) AS implied, count(*) FILTER (WHERE kv = 'UNKNOWN') AS unknown_kind FROM a GROUP BY source_id) SELECT source_id, CAST(total AS BIGINT) AS total, CAST(implied AS BIGINT) AS implied, unknown_kind, CASE WHEN implied = total AND total > 0 THEN 'all-implied' WHEN total > 0 AND implied >= 0.5 * total THEN 'mostly-implied' END AS qualified FROM q")
+@register("e04_qualified", f"WITH {IMPLIED}, g AS (SELECT source_id, sum(CASE WHEN kv = 'BUILDING' AND wv = 'NEW' THEN coalesce(tu, iu, 0) ELSE 0 END) AS total, sum(CASE WHEN kv = 'BUILDING' AND wv = 'NEW' AND tu IS NULL THEN coalesce(iu, 0) ELSE 0 END) AS implied, count(*) FILTER (WHERE kv = 'UNKNOWN') AS unknown_kind FROM a GROUP BY source_id) SELECT source_id, CAST(total AS BIGINT) AS total, CAST(implied AS BIGINT) AS implied, unknown_kind, CASE WHEN implied = total AND total > 0 THEN 'all-implied' WHEN total > 0 AND implied >= 0.5 * total THEN 'mostly-implied' END AS qualified FROM g")
 def qualified(spark, sf_dir):
-    return quality.qualified(records.build_controlled(permits(spark, sf_dir)))
+    return quality.qualified(records.build_controlled(typed(spark, sf_dir)))
 
 
 # ---- I: reconciliation

@@ -96,13 +96,23 @@ def write_records(df: DataFrame, violations: str, path: str) -> int:
     return df.where(F.size(violations) > 0).count()
 
 
+def merged(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Rows replaced or added by key; a null key is a key like any other."""
+    own = changes.select(F.col(key).alias("__key"))
+    return old.join(own, old[key].eqNullSafe(F.col("__key")), "left_anti").unionByName(changes)
+
+
 def upsert(spark: SparkSession, path: str, changes: DataFrame, key: str) -> None:
     """Replace or add rows by key in a Parquet table; readers see the old or the new table, as folders are renamed."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = at(path).getFileSystem(conf)
     tag = uuid.uuid4().hex
-    old = spark.read.parquet(path).join(changes.select(key), key, "left_anti").unionByName(changes) if fs.exists(at(path)) else changes
+    if not fs.exists(at(path)):  # a run that ended between the two renames left the old table aside
+        aside = [s.getPath() for s in fs.globStatus(at(f"{path}-*-old")) or []]
+        if aside:
+            fs.rename(aside[0], at(path))
+    old = merged(spark.read.parquet(path), changes, key) if fs.exists(at(path)) else changes
     old.write.parquet(f"{path}-{tag}")
     if fs.exists(at(path)):
         fs.rename(at(path), at(f"{path}-{tag}-old"))

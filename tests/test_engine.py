@@ -47,7 +47,7 @@ def test_fragment_text_of_whole_pages(spark, tmp_path):
 
     page = "<html><head><title>T &amp; t</title></head>" + "<p class='x'>menu</p>\n" * 60 + "<article>the  &lt;end&gt;</article></html>"
     spark.createDataFrame([(1, page)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = registry.QUERIES["b07_fragment_text_whole"](spark, str(tmp_path)).collect()
+    got = registry.QUERIES["b07_fragment_text"](spark, str(tmp_path)).collect()
     assert [r["v"] for r in got] == [" ".join(html.unescape(re.sub("<[^>]+>", " ", page)).split())] and got[0]["v"].endswith("the <end>")
 
 

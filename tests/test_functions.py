@@ -78,7 +78,7 @@ def test_alarm(spark):
 
 
 def test_validate(spark):
-    rows = [("101", 1, "implied"), ("105", 5, "implied"), ("103", 1, "implied"), ("103", 2, "implied"), ("101", 3, "absent"), ("101", 1, "guessed"), (None, None, "absent")]
+    rows = [("101", 1, "implied_by_structure_code"), ("105", 5, "implied_by_structure_code"), ("103", 1, "implied_by_structure_code"), ("103", 2, "implied_by_structure_code"), ("101", 3, "absent"), ("101", 1, "guessed"), (None, None, "absent")]
     d = spark.createDataFrame(rows, "structure_type string, unit_count int, unit_count_source string")
     assert [len(r["violations"]) > 0 for r in records.validate(d).collect()] == [False, True, True, False, True, True, False]
 

@@ -6,8 +6,9 @@ product of their factor vectors: so a pair such as an insult and a mention of a
 than the sum of both.
 
 The machine is fitted here on at most ``MAX_POSITIVE`` and ``MAX_NEGATIVE`` labelled documents (those of smallest id
-hash), never on held-out ones (``crc32(doc_id as text) mod 5 = 0``).  Only buckets whose share differs clearly between
-the two kinds get parameters; the bias is shifted to the share of positive labels.
+hash), never on held-out ones (``crc32(doc_id as text) mod 5 = 0``).  Buckets get parameters if their share differs clearly
+between the two kinds, or if they are among the ``PAIRED`` most frequent and stand with another in one kind clearly more or
+less often than both alone let expect; so a pair of terms that are neutral alone is learned.  The bias is shifted to the share of positive labels.
 
 Defined results: a null or empty text has no terms and scores the bias alone; a null doc_id counts as the empty text in
 the split, so it is held out; repeated rows repeat; no usable label of one kind gives the score 0; a table without rows
@@ -30,6 +31,8 @@ BITS, FACTORS, PREFIXES = 20, 4, (4, 5, 6, 7)
 MAX_POSITIVE, MAX_NEGATIVE = 3000, 6000
 #: A bucket needs so many sampled documents, and its shares to lie so many standard errors apart.
 LEAST_DOCS, LEAST_Z = 6, 3.5
+#: Buckets whose pairs are looked at, and how many standard errors a pair's log-odds lie from what its buckets add up to.
+PAIRED, PAIR_Z = 1200, 6.0
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_/\\…«»“”„‘’¡¿"
 CACHE_WORDS = 400_000
 
@@ -77,6 +80,32 @@ class Machine:
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, total))))
 
 
+def interacting(rows: list, y, docs_of) -> list[int]:
+    """Frequent buckets that are part of a pair with a clear interaction; ``docs_of`` counts the documents of a bucket."""
+    import numpy as np
+
+    often = np.argsort(-docs_of, kind="stable")[:PAIRED]
+    often = often[(docs_of[often] >= 4 * LEAST_DOCS) & (docs_of[often] < 0.9 * len(rows))]
+    if len(often) < 2:
+        return []
+    place = np.full(len(docs_of), -1)
+    place[often] = np.arange(len(often))
+    held = np.zeros((len(rows), len(often)), np.float32)
+    for i, r in enumerate(rows):
+        at = place[np.asarray(r, np.int64)]
+        held[i, at[at >= 0]] = 1
+    logs, error = 0.0, 0.0
+    for sign, kind in ((1, held[y == 1]), (-1, held[y == 0])):
+        both, one, n = kind.T @ kind, kind.sum(0), len(kind)
+        cells = (both, one[:, None] - both, one[None, :] - both, n - one[:, None] - one[None, :] + both)
+        for part, c in zip((1, -1, -1, 1), cells, strict=True):
+            logs = logs + sign * part * np.log(np.maximum(c, 0) + 0.5)
+            error = error + 1 / (np.maximum(c, 0) + 0.5)
+    z = np.abs(logs) / np.sqrt(error)
+    np.fill_diagonal(z, 0)
+    return often[z.max(1) >= PAIR_Z].tolist()
+
+
 def fit(rows: list, labels, prior: float, rounds: int = 400, rate: float = 0.1, l2: float = 1e-5, seed: int = 7) -> Machine:
     """Fit to arrays of distinct buckets and labels 0 or 1 by Adam on the whole sample."""
     import zlib
@@ -86,7 +115,7 @@ def fit(rows: list, labels, prior: float, rounds: int = 400, rate: float = 0.1,
     y = np.asarray(labels, np.float64)
     n1, n0 = int(y.sum()), int((1 - y).sum())
     if not n1 or not n0:
-        return Machine(-40.0 if not n1 else 40.0, {})
+        return Machine(-40.0, {})
     size = 1 << BITS
     flat = np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -95,6 +124,7 @@ def fit(rows: list, labels, prior: float, rounds: int = 400, rate: float = 0.1,
     p1, p0 = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1)
     z = np.abs(p1 - p0) / np.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0)
     kept = np.flatnonzero((pos + neg >= LEAST_DOCS) & (z >= LEAST_Z))
+    kept = np.union1d(kept, np.array(interacting(rows, y, pos + neg), np.int64)).astype(np.int64)
     index = np.full(size, -1)
     index[kept] = np.arange(len(kept))
     column, inside = index[flat], index[flat] >= 0
@@ -142,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["toxic", "rows"])
 
     # bounded by the limits above, hence broadcast
-    held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int"), "text").mapInArrow(run, "toxic int, rows array<int>").toArrow()
+    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+    held = one.select(F.col("toxic").cast("int"), "text").mapInArrow(run, "toxic int, rows array<int>").toArrow()
     held = held.combine_chunks()
     rows = [r.values.to_numpy(zero_copy_only=False) for r in held.column("rows")]
     return fit(rows, held.column("toxic").to_pylist(), shares if shares is not None else 0.5)

@@ -3,8 +3,9 @@
 Each line of a text is described by a few measurements; a two-state chain (boilerplate, content) scores lines and
 their succession, and Viterbi decoding marks every line.  A document passes if its content lines hold at least
 ``min_content`` of the characters in its words.  The chain is trained here, on at most ``TRAIN_DOCS`` labelled
-documents (those of smallest id hash): every line of a document of quality 1 counts as content, of quality 0 as
-boilerplate.  Without labelled documents of both kinds a fixed prior chain decides.
+documents (those of smallest id hash, and of each at most ``TRAIN_LINES`` lines, for fitting alone): the lines of a document
+of quality 0 count as boilerplate; those of one of quality 1 as content, but for the lines that the fixed prior chain marks
+as boilerplate, so states change inside documents.  Without labelled documents of both kinds the prior chain decides.
 
 Defined results: a null or empty text has no words and fails the base rules; lines without words are neither content
 nor boilerplate; documents of repeated ids are judged one by one; a table without rows gives none; columns of the
@@ -24,7 +25,7 @@ from lodestone.llm.common import read_table
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: Bound of the labelled sample that the chain is fitted on.
-TRAIN_DOCS = 4000
+TRAIN_DOCS, TRAIN_LINES = 4000, 200
 MIN_WORDS, REPEAT_PERCENT, MIN_CONTENT = 50, 50, 0.5
 FEATURES = ("bias", "symbols", "pipes", "upper", "bangs", "few_kinds", "echo", "short", "letters", "digits", "long_words", "again")
 #: Used without labels: content minus boilerplate for each feature, and the score of staying in a state.
@@ -128,8 +129,13 @@ class Chain:
         return states[::-1]
 
 
+def line_labels(rows: list[list[float]], quality: int) -> list[int]:
+    """Labels of the lines of a document of known quality."""
+    return Chain.prior().decode(rows) if quality else [0] * len(rows)
+
+
 def fit_chain(chains: list[tuple[list[list[float]], int]], rounds: int = 150, rate: float = 0.15, l2: float = 1e-3) -> Chain:
-    """Maximum likelihood of the chains (lines, their common label) by Adam over forward-backward marginals."""
+    """Maximum likelihood of the chains (lines, quality of their document) by Adam over forward-backward marginals."""
     import numpy as np
 
     chains = sorted((c for c in chains if c[0]), key=lambda c: -len(c[0]))
@@ -137,10 +143,12 @@ def fit_chain(chains: list[tuple[list[list[float]], int]], rounds: int = 150, ra
         return Chain.prior()
     lengths = np.array([len(rows) for rows, _ in chains])
     y = np.array([label for _, label in chains])
+    own = [line_labels(rows, label) for rows, label in chains]
     share = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean()) / lengths  # kinds and documents count alike
     top, k = int(lengths[0]), len(FEATURES)
     active = [int((lengths > t).sum()) for t in range(top)]
     x = [np.array([chains[d][0][t] for d in range(active[t])]) for t in range(top)]
+    at = [np.array([own[d][t] for d in range(active[t])]) for t in range(top)]
     theta, m, v = np.zeros(k + 4), np.zeros(k + 4), np.zeros(k + 4)
     for step in range(1, rounds + 1):
         w, tr = theta[:k], theta[k:].reshape(2, 2)
@@ -161,12 +169,11 @@ def fit_chain(chains: list[tuple[list[list[float]], int]], rounds: int = 150, ra
             z[ends] = np.logaddexp(alpha[t][ends, 0], alpha[t][ends, 1])
             s = share[: active[t]]
             p = np.exp(alpha[t][:, 1] + now[:, 1] - z[: active[t]])
-            grad_w += ((y[: active[t]] - p) * s) @ x[t]
+            grad_w += ((at[t] - p) * s) @ x[t]
             if more:
                 joint = np.exp(alpha[t][:more, :, None] + nxt - z[:more, None, None])
                 grad_t -= (joint * s[:more, None, None]).sum(0)
-                for label in (0, 1):
-                    grad_t[label, label] += s[:more][y[:more] == label].sum()
+                np.add.at(grad_t, (at[t][:more], at[t + 1]), s[:more])
             beta = now
         grad = np.concatenate([grad_w, grad_t.ravel()]) / len(chains) - l2 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
@@ -181,10 +188,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> Chain
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [line_features(t or "")[0] for t in batch.column(1).to_pylist()]
+            rows = [line_features(t or "")[0][:TRAIN_LINES] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.list_(pa.float64())))], names=["quality", "rows"])
 
-    held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(run, "quality int, rows array<array<double>>")
+    held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("text").alias("text")).select("quality", "text").mapInArrow(run, "quality int, rows array<array<double>>")
     return fit_chain([(r["rows"], r["quality"]) for r in held.toLocalIterator()])
 
 

@@ -3,7 +3,8 @@
 A conversation is rendered whole by a template that marks turns; control strings inside roles and texts are escaped
 reversibly, so no text can end its turn or start another.  The rendered text is encoded once with offsets, and the
 spans of assistant texts are intersected with the sorted token spans by binary search: the mask is a list of token
-ranges, and the first and last token of a range may be cut by the span.
+ranges.  The mark before and after each role and text is an added token of the tokenizer, at which it cuts whatever stands
+beside it; so a range covers its span to the character, which is checked, and the loss is read back from whole tokens.
 
 Defined results: a null role, text or turn is the empty text or comes first; turns that share a number are ordered by
 role and text and all kept; a null conv_id is a conversation of its own; an empty text has no tokens under the mask;
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import process_cache, read_table
 
-OPEN, MIDDLE, CLOSE = "<|turn|>", "<|text|>", "<|done|>"
+#: The added token that stands before each role, between role and text, and after the last text.
+MARK = "<|endoftext|>"
 #: Strings that some chat template gives a meaning to; a backslash after the first character breaks them (fixed values).
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _CONTROL = re.compile("|".join(f"(?<={re.escape(c[0])})(?={re.escape(c[1:])})" for c in CONTROL))
@@ -39,28 +41,22 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
+def render(turns: list[tuple[str, str]], mark: str = MARK) -> tuple[str, list[tuple[int, int]]]:
     """The rendered conversation and the spans of its assistant texts, in code points and ascending."""
-    out, at, spans = [], 0, []
+    out, at, spans = [mark], len(mark), []
     for role, text in turns:
-        head = f"{OPEN}{escape(role)}{MIDDLE}"
-        body = escape(text)
+        head, body = f"{escape(role)}{mark}", escape(text)
         if role == LOSS_ROLE:
             spans.append((at + len(head), at + len(head) + len(body)))
-        out += [head, body, CLOSE]
-        at += len(head) + len(body) + len(CLOSE)
+        out += [head, body, mark]
+        at += len(head) + len(body) + len(mark)
     return "".join(out), spans
 
 
-def parse(formatted: str) -> list[tuple[str, str]]:
-    """The turns of a rendered conversation."""
-    turns, at = [], 0
-    while at < len(formatted):
-        middle = formatted.index(MIDDLE, at)
-        end = formatted.index(CLOSE, middle)
-        turns.append((unescape(formatted[at + len(OPEN) : middle]), unescape(formatted[middle + len(MIDDLE) : end])))
-        at = end + len(CLOSE)
-    return turns
+def parse(formatted: str, mark: str = MARK) -> list[tuple[str, str]]:
+    """The turns of a rendered conversation; no escaped text holds the mark."""
+    parts = list(map(unescape, formatted.split(mark)[1:-1]))
+    return list(zip(parts[::2], parts[1::2], strict=True))
 
 
 def masked_tokens(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -77,11 +73,13 @@ def masked_tokens(offsets: list[tuple[int, int]], spans: list[tuple[int, int]])
 
 
 def masked_text(formatted: str, offsets: list[tuple[int, int]], spans: list[tuple[int, int]], ranges: list[tuple[int, int]]) -> list[str]:
-    """The text that each range of tokens covers inside its span."""
+    """The text of the whole tokens of each range; one that covers more or less than its span raises."""
     out = []
-    for (a, b), (first, last) in zip(spans, ranges, strict=True):
-        covered = formatted[max(a, offsets[first][0]) : min(b, offsets[last - 1][1])] if first < last else ""
-        out.append(unescape(covered))
+    for span, (first, last) in zip(spans, ranges, strict=True):
+        covered = (offsets[first][0], offsets[last - 1][1]) if first < last else (span[0], span[0])
+        if covered != span:
+            raise ValueError(f"tokens cover {covered} of the span {span}")
+        out.append(unescape(formatted[slice(*covered)]))
     return out
 
 
@@ -98,6 +96,8 @@ def format_conversations(turns: DataFrame, tokenizer_path: str) -> DataFrame:
         library = process_cache(f"tokenizer:{tokenizer_path}", lambda: Tokenizer.from_file(tokenizer_path))
         library.no_truncation()
         library.no_padding()
+        if MARK not in {t.content for t in library.get_added_tokens_decoder().values()}:
+            raise ValueError(f"{MARK} is no added token of {tokenizer_path}")
         for batch in batches:
             made = []
             for cell in batch.column(1):

@@ -48,11 +48,27 @@ HINTS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr notice notices menu nav navbar navigation "
     "breadcrumb breadcrumbs sidebar complementary contentinfo footer comment comments respond disqus share sharing social related newsletter subscribe popup modal login search".split()
 )
-WORDS = re.compile(r"[a-z]+")
+#: Elements that a hint never drops: they hold the page or the article.
+KEPT = frozenset("html body main article".split())
 
 
-def _role(name: str, attrs: str) -> str:
-    """``drop``, ``article``, ``main`` or nothing."""
+#: Words beside a hint that say nothing of their own.
+NEUTRAL = frozenset("list box block section area wrapper container item items bar panel widget form links buttons thread inner outer top bottom".split())
+
+
+def _hints_of(value: str, inside: bool) -> list[str]:
+    """Hints among names of a class, id or role.  Inside articles a name counts if it says nothing else (``comment-12``,
+    ``ad-box``, but not ``related-work``); outside it counts if a part of it does, unless it begins by denying it."""
+    found = []
+    for name in value.split():
+        parts = [p for p in re.split("[^a-z]+", name) if p]
+        if all(p in HINTS or p in NEUTRAL for p in parts) if inside else not (parts and parts[0] in ("no", "has", "with", "without")):
+            found += parts
+    return found
+
+
+def _role(name: str, attrs: str, inside: bool = False) -> str:
+    """``drop``, ``article``, ``main`` or nothing; ``inside`` an article only whole names are hints."""
     if name in DROPPED:
         return "drop"
     role = ""
@@ -62,7 +78,7 @@ def _role(name: str, attrs: str) -> str:
             if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
                 return "drop"
             if key in ("class", "id", "role"):
-                if not HINTS.isdisjoint(WORDS.findall(value)):
+                if name not in KEPT and not HINTS.isdisjoint(_hints_of(value, inside)):
                     return "drop"
                 if key == "role" and value in ("main", "article"):
                     role = value
@@ -114,7 +130,7 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
                 if stack[i][0] not in INLINE:
                     break
         stack.append((name, zone))
-        role = _role(name, attrs)
+        role = _role(name, attrs, zone in ("article", "main"))
         if role and zone != "drop" and not (zone == "article" and role == "main"):
             flush()
             zone = role

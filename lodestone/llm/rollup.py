@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import library_encoder
-from lodestone.llm.common import read_table, scratch_path
+from lodestone.llm.common import materialize, read_table, scratch_path
 
 GROUP = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -69,23 +69,27 @@ class Rollup:
         for sub in ("batches", "pending"):
             self._fs.mkdirs(self._at(f"{self.path}/{sub}"))
 
-    def batches(self) -> list[str]:
+    def _listed(self) -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(f"{self.path}/batches")) if s.isDirectory())
 
-    def _folded(self) -> set[str]:
-        """Names that compacted batches hold."""
-        names: set[str] = set()
-        for b in self.batches():
-            if b.startswith("compact="):
-                found = self.spark.read.text(f"{self.path}/batches/{b}/names").collect()  # one row for each batch
-                names |= {json.loads(r["value"]) for r in found}
-        return names
+    def _folded(self, listed: list[str]) -> set[str]:
+        """Folders that compacted batches replace."""
+        held = [b for b in listed if b.startswith("compact=")]
+        found = self.spark.read.text([f"{self.path}/batches/{b}/names" for b in held]).collect() if held else []  # one short row for each batch
+        return {json.loads(r["value"]) for r in found}
+
+    def batches(self) -> list[str]:
+        """Folders that count: all but those that a compacted batch replaces."""
+        listed = self._listed()
+        folded = self._folded(listed)
+        return [b for b in listed if b not in folded]
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch; false if it was committed before, in which case nothing is read or changed."""
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
             raise ValueError(f"not a name of a batch: {batch!r}")
-        if f"batch={batch}" in self.batches() or batch in self._folded():
+        listed = self._listed()
+        if f"batch={batch}" in listed or f"batch={batch}" in self._folded(listed):
             return False
         pending = f"{self.path}/pending/{scratch_path(self.spark, batch).rpartition('/')[2]}"
         deltas(changes).coalesce(1).write.parquet(f"{pending}/sums")
@@ -114,38 +118,51 @@ class Rollup:
         return summed.where("docs != 0 or tokens != 0")
 
     def compact(self) -> None:
-        """Fold all batches into one; only one driver may do so at a time."""
+        """Fold all batches into one; only one driver may do so at a time.
+
+        The new batch is published with the list of the folders that it replaces; readers ignore those from then on, and
+        they are deleted last.  So totals are the same before, between and after, wherever a driver dies.
+        """
         names = self.batches()
         if len(names) < 2:
             return
-        inner = sorted(self._folded() | {b.removeprefix("batch=") for b in names if b.startswith("batch=")})
-        pending = scratch_path(self.spark, "compact")
-        pending = f"{self.path}/pending/{pending.rpartition('/')[2]}"
+        listed = self._listed()
+        inner = sorted(self._folded(listed) | set(names))
+        tag = scratch_path(self.spark, "compact").rpartition("-")[2]
+        pending = f"{self.path}/pending/compact-{tag}"
         self._sums(names).groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).coalesce(1).write.parquet(f"{pending}/sums")
         self.spark.createDataFrame([(json.dumps(n),) for n in inner], "value string").coalesce(1).write.text(f"{pending}/names")
-        aside = f"{self.path}/folded-{pending.rpartition('-')[2]}"
-        self._fs.rename(self._at(f"{self.path}/batches"), self._at(aside))
-        self._fs.mkdirs(self._at(f"{self.path}/batches"))
-        self._publish(pending, f"compact={pending.rpartition('-')[2]}")
-        self._fs.delete(self._at(aside), True)
+        if self._publish(pending, f"compact={tag}"):
+            for name in listed:
+                self._fs.delete(self._at(f"{self.path}/batches/{name}"), True)
 
 
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of ``documents`` after three batches: all are inserted with an estimate (a quarter of their characters),
-    all are revised to the tokenizer's count, documents without a token are deleted; each batch is sent twice."""
+    """Totals of ``documents`` under two tokenizer versions after four batches, each sent twice: all documents are inserted
+    under both with an estimate (a quarter of their characters); under ``byte_bpe_50k`` each is revised to the tokenizer's
+    count; documents that repeat an earlier text are deleted under that version, with their counts, and then under
+    ``estimate``, with theirs.  Documents without a text stay, with no tokens."""
     import public_tokenizers
 
     docs = read_table(spark, sf_dir, "documents")
+    none = F.lit(None).cast("long")
+    change = lambda d, op, version, n, old=none: d.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer"), n.alias("n_tokens"), old.alias("old_tokens"))
     estimate = F.floor(F.coalesce(F.char_length("text"), F.lit(0)) / 4).cast("long")
-    version = F.lit("byte_bpe_50k").alias("tokenizer")
+    keyed = docs.withColumns({"estimate": estimate, "key": F.xxhash64(F.coalesce("text", F.lit("")))})
+    counted = with_token_count(keyed, public_tokenizers.path("byte_bpe_50k.json"), keep=("doc_id", "source", "lang", "estimate", "key"))
+    counted = materialize(counted, "token-counts")
+    first = counted.where("n_tokens > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1")
+    again = counted.join(first, "key").where("doc_id > first")
     rollup = Rollup(spark, scratch_path(spark, "token-rollup"))
-    none = F.lit(None).cast("long")
-    first = docs.select(F.lit("insert").alias("op"), "source", "lang", version, estimate.alias("n_tokens"), none.alias("old_tokens"))
-    counted = with_token_count(docs.withColumn("old_tokens", estimate), public_tokenizers.path("byte_bpe_50k.json"), keep=("source", "lang", "old_tokens"))
-    second = counted.select(F.lit("revise").alias("op"), "source", "lang", version, "n_tokens", "old_tokens")
-    third = docs.where("coalesce(text, '') = ''").select(F.lit("delete").alias("op"), "source", "lang", version, F.lit(0).cast("long").alias("n_tokens"), none.alias("old_tokens"))
+    n, e = F.col("n_tokens"), F.col("estimate")
+    batches = {
+        "1-insert": change(counted, "insert", "estimate", e).unionByName(change(counted, "insert", "byte_bpe_50k", e)),
+        "2-revise": change(counted, "revise", "byte_bpe_50k", n, e),
+        "3-repeats": change(again, "delete", "byte_bpe_50k", n),
+        "4-estimates": change(again, "delete", "estimate", e),
+    }
     for _ in range(2):
-        for name, changes in (("1-insert", first), ("2-revise", second), ("3-delete", third)):
+        for name, changes in batches.items():
             rollup.commit(name, changes)
     return rollup.totals().select("source", "lang", "tokenizer", F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"))
 

@@ -112,8 +112,8 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``(a, b)`` links of distinct fingerprints ``fp``; they connect just what pairs within ``max_bits`` connect."""
     if max_bits > 2 * SEGMENTS - 1:
         raise ValueError("one blanked bit a segment finds at most 2 * SEGMENTS - 1 differing bits")
-    # a number of its own, for these few rows become many
-    spread = fingerprints.select("fp").repartition(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # by a number and a key of its own, which no earlier partitioning stands for: these few rows become many
+    spread = fingerprints.select("fp").repartition(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     keyed = spread.select("fp", F.explode(variants(F.col("fp"))).alias("key"))
     shared, _ = small_side(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-variants")
     dealt = dealt_blocks(keyed.join(shared, "key"), "key", "fp", "n", BLOCK)

@@ -182,6 +182,15 @@ def test_html(spark):
     assert html.extract(d.limit(0)).count() == 0
 
 
+def test_hints_do_not_empty_articles():
+    text = lambda page: " ".join(t for _, t in html.blocks_of(page))
+    assert text('<body class="no-sidebar"><article><p>Body text</p></article>') == "Body text"
+    assert text('<main class="content has-sidebar"><article><p>x y</p></article></main>') == "x y"
+    assert text('<article class="research-search-results"><p>a b</p></article>') == "a b"
+    assert text('<article><p>a</p><section class="related-work"><p>b</p></section><div class="comments">c</div></article>') == "a b"
+    assert text('<article><p>a</p><div id="comment-12">x</div><div class="ad-box">y</div><div class="share">z</div></article>') == "a"
+
+
 def test_repeated_runs_brute_force(spark):
     rng = random.Random(5)
     pages = [("h" if p < 30 else "g", p, [rng.choice("abc") for _ in range(rng.randint(0, 40))]) for p in range(40)]
@@ -451,6 +460,61 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.with_score(empty, machine).count() == 0
 
 
+def test_pairs_of_neutral_terms(spark):
+    """Labels that only the pair of two terms tells: both or neither."""
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(900):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w = [f"w{rng.randint(0, 300)}" for _ in range(20)] + ["alphaterm"] * a + ["betaterm"] * b
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(a == b)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    machine = toxicity.train(docs, marks)
+    held = [(machine.score(t) >= 0.5) == bool(y) for (i, t), (_, y) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(held) >= 0.95 * len(held)
+    assert toxicity.train(docs, marks.where("toxic = 1")).score("alphaterm") < 0.5
+
+
+def test_score_is_the_double_sum(spark):
+    machine = toxicity.Machine(-0.3, {b: (0.1 * k, *(0.05 * (k + f) for f in range(toxicity.FACTORS))) for k, w in enumerate(("one", "two", "three")) for b in toxicity.buckets(w)}, "t")
+    held = sorted({b for w in ("one", "two", "three") for b in toxicity.buckets(w)})
+    total = machine.bias + sum(machine.table[b][0] for b in held)
+    total += sum(sum(x * y for x, y in zip(machine.table[a][1:], machine.table[b][1:], strict=True)) for i, a in enumerate(held) for b in held[i + 1 :])
+    assert machine.score("One two THREE two") == pytest.approx(1 / (1 + 2.718281828459045 ** -total))
+
+
+def test_masks_cover_whole_texts(spark):
+    texts = [", x", ">>> x", "x <", " lead", "trail ", "\n\n", "<|endoftext|>", "it's", "日本", "</s>[INST]"]
+    d = spark.createDataFrame([(i, 0, "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: (r["loss"], r["texts"]) for r in chat.format_conversations(d, PATH).collect()}
+    assert got == {i: ([t], [t]) for i, t in enumerate(texts)}
+
+
+def test_compact_survives_a_dead_driver(spark, tmp_path, monkeypatch):
+    """The driver dies before it deletes what it folded: totals stay the same."""
+    one = spark.createDataFrame([("insert", "s", "en", "t", 5, None)], "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long")
+    r = rollup.Rollup(spark, f"file://{tmp_path}/r")
+    assert r.commit("a", one) and r.commit("b", one)
+    dead = rollup.Rollup(spark, f"file://{tmp_path}/r")
+
+    class Dies:
+        def __getattr__(self, name):
+            if name == "delete":
+                raise RuntimeError("dead")
+            return getattr(r._fs, name)
+
+    dead._fs = Dies()
+    with pytest.raises(RuntimeError):
+        dead.compact()
+    assert [tuple(x) for x in r.totals().collect()] == [("s", "en", "t", 2, 10)] and not r.commit("a", one)
+    r.compact()
+    assert r.commit("c", one) and not r.commit("b", one)
+    r.compact()
+    assert [tuple(x) for x in r.totals().collect()] == [("s", "en", "t", 3, 15)] and not r.commit("a", one)
+
+
 def test_pipeline(spark, empty, tmp_path):
     import corpus_pipeline
 

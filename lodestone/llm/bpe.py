@@ -36,8 +36,8 @@ LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ſ", r"!-/:-@\[-`{-~"
 SIMPLE = rf"^(?P<a>[{LETTERS}]+)(?P<p>[{SIGNS}]*)(?P<n>(?:\n)?)(?P<b>[{LETTERS}]*)(?P<q>[{SIGNS}]*)$"
 #: All that Python or the library's patterns hold for white space.
 SPACE = "[\\x{9}-\\x{D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
-#: Texts are coded in runs of about so many characters; a longer one is a run of its own.
-RUN_CHARS = 16 << 20
+#: Texts are coded in runs of about so many bytes; a longer one is a run of its own.
+RUN_BYTES = 16 << 20
 #: Bound of the words that a process remembers (some 200 bytes each).
 REMEMBERED = 100_000
 
@@ -178,6 +178,8 @@ class ColumnEncoder:
     that holds an added token.
     """
 
+    run_bytes = RUN_BYTES
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -277,7 +279,7 @@ class ColumnEncoder:
         low = 0
         while low < len(texts):
             before = ends[low - 1] if low else 0
-            high = max(low + 1, int(np.searchsorted(ends, before + RUN_CHARS, "right")))
+            high = max(low + 1, int(np.searchsorted(ends, before + self.run_bytes, "right")))
             yield low, self._run(texts.slice(low, high - low))
             pa.default_memory_pool().release_unused()
             low = high
@@ -292,6 +294,8 @@ class ByteBPE(ColumnEncoder):
     Where a text is cut is asked of the library's pre-tokenizer; words of letters are one piece by its definition.
     """
 
+    run_bytes = RUN_BYTES // 2  # the ids stay Python numbers for longer
+
     def __init__(self, path: str):
         super().__init__(path)
         vocab, merges = self.spec["model"]["vocab"], self.spec["model"]["merges"]
@@ -427,35 +431,30 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text
         bpe = model(tokenizer_path)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            cols = {k: [] for k in ("n", "ids", "ih", "text", "th")}
-            for _, codes in bpe.column(batch.column(len(kept))):
-                cols["n"] += codes.sizes.tolist()
-                if with_ids:
-                    cols["ids"].append(pa.array(codes.ids))
-                every, at = codes.ids.tolist(), 0
+            for low, codes in bpe.column(batch.column(len(kept))):
+                every, at, coded, texts, hashes = codes.ids.tolist(), 0, [], [], []
                 for n in codes.sizes.tolist():
                     ids = every[at : at + n]
                     at += n
-                    cols["ih"].append(sha(",".join(map(bpe.decimal.__getitem__, ids)).encode()))
-                    decoded = bpe.decode(ids)
-                    cols["th"].append(sha(decoded.encode("utf-8")))
+                    coded.append(sha(",".join(map(bpe.decimal.__getitem__, ids)).encode()))
+                    raw = bpe.decode(ids)
+                    hashes.append(sha(raw.encode("utf-8")))
                     if with_text:
-                        cols["text"].append(decoded)
-            arrays = [batch.column(i) for i in range(len(kept))]
-            names = [*kept, "n_tokens"]
-            arrays.append(pa.array(cols["n"], pa.int64()))
-            if with_ids:
-                offsets = pa.array([0, *accumulate(cols["n"])], pa.int32())
-                arrays.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays(cols["ids"]) if cols["ids"] else pa.array([], pa.int32())))
-                names.append("ids")
-            arrays.append(pa.array(cols["ih"], pa.string()))
-            names.append("ids_sha256")
-            if with_text:
-                arrays.append(pa.array(cols["text"], pa.string()))
-                names.append("decoded")
-            arrays.append(pa.array(cols["th"], pa.string()))
-            names.append("decoded_sha256")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                        texts.append(raw)
+                arrays = [batch.column(i).slice(low, len(hashes)) for i in range(len(kept))]
+                names = [*kept, "n_tokens"]
+                arrays.append(pa.array(codes.sizes))
+                if with_ids:
+                    arrays.append(pa.ListArray.from_arrays(pa.array([0, *accumulate(codes.sizes.tolist())], pa.int32()), pa.array(codes.ids)))
+                    names.append("ids")
+                arrays.append(pa.array(coded, pa.string()))
+                names.append("ids_sha256")
+                if with_text:
+                    arrays.append(pa.array(texts, pa.string()))
+                    names.append("decoded")
+                arrays.append(pa.array(hashes, pa.string()))
+                names.append("decoded_sha256")
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return docs.select(*(F.col(f"`{k}`") for k in kept), F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, schema)
 

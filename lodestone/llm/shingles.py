@@ -45,11 +45,11 @@ def shingle_set(hashes):
     return np.unique(hashes) if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64)
 
 
-def sketch_of(s) -> bytes:
-    """Parity of the number of shingles at each of ``SKETCH`` places."""
+def sketch_of(s) -> list[int]:
+    """Parity of the number of shingles at each of ``SKETCH`` places, 64 in a long."""
     import numpy as np
 
-    return np.packbits(np.bincount((s >> np.uint64(9)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).tobytes()
+    return np.packbits(np.bincount((s >> np.uint64(9)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).view(np.int64).tolist()
 
 
 def frequent(docs: DataFrame, width: int) -> list[int]:
@@ -95,12 +95,12 @@ def with_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
             values = pa.array(np.concatenate([*heads, np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                [*batch.columns[:3], pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sketches, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), values)],
                 names=[*names, "sid", "n", "fp", "sketch", "head"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, sid long, n int, fp long, sketch binary, head array<long>")
+    return keyed.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, sid long, n int, fp long, sketch array<long>, head array<long>")
 
 
 def _full_sets(ids: DataFrame, docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
@@ -121,14 +121,22 @@ def _full_sets(ids: DataFrame, docs: DataFrame, sets: DataFrame, width: int) ->
     return materialize(texts.mapInArrow(run, "sid long, s array<long>"), "shingle-sets")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _sketches_fit(pairs: DataFrame, each: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` whose sketches allow the similarity: sets differ in no more than so many shingles."""
+    side = lambda c: each.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}"))
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    apart = sum((F.bit_count(F.get("ka", F.lit(i)).bitwiseXOR(F.get("kb", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    return both.where(apart * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, each: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs ``a, b`` of sets whose similarity is at least ``num / den``."""
-    pairs = materialize(pairs.distinct(), "shingle-pairs")
+    pairs = materialize(_sketches_fit(pairs, each, num, den), "shingle-pairs")
     full = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), docs, sets, width)
     side = lambda c: full.select(F.col("sid").alias(c), F.col("s").alias(f"s{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     # i / (na + nb - i) >= num / den
-    return materialize(both.where(F.col("i") * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("a", "b"), "shingle-links")
+    return materialize(both.where(F.col("i") * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("a", "b").distinct(), "shingle-links")
 
 
 def _unlike_pairs(rest: DataFrame, num: int, den: int) -> DataFrame:
@@ -143,7 +151,7 @@ def _unlike_pairs(rest: DataFrame, num: int, den: int) -> DataFrame:
 
         def columns(members):
             v = members.values
-            sketch = np.frombuffer(b"".join(v.field("sketch").to_pylist()), np.uint64).reshape(len(v), -1)
+            sketch = v.field("sketch").flatten().to_numpy().view(np.uint64).reshape(len(v), -1)
             return [v.field(f).to_numpy().astype(np.int64) for f in ("sid", "n", "at", "component")], sketch
 
         for batch in batches:
@@ -185,19 +193,21 @@ def similar_sets(docs: DataFrame, sets: DataFrame, width: int, num: int, den: in
     first = printed.select("fp", "first")
     by_bits = by_bits.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(*pair("x", "y"))
 
-    posted = each.select("sid", "n", "sketch", F.posexplode("head").alias("at", "s"))
+    posted = each.select("sid", F.posexplode("head").alias("at", "s"))
     shared, _ = small_side(posted.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "shingles-shared")
-    members = materialize(posted.join(shared, "s"), "shingle-members")
+    about = materialize(each.select("sid", "n", "sketch"), "shingle-about")
+    members = materialize(posted.join(shared, "s").join(about.select("sid", "n"), "sid"), "shingle-members")
     heads = members.groupBy("s").agg(F.min("sid").alias("h"), F.min_by("n", "sid").alias("hn"), F.min_by("at", "sid").alias("hat"))
     star = members.join(heads, "s").where((F.col("sid") != F.col("h")) & _fit("n", "at", "hn", "hat", num, den)).select(*pair("sid", "h"))
-    links = _verified(same.unionByName(by_bits).unionByName(star), docs, sets, width, num, den)
+    links = _verified(same.unionByName(by_bits).unionByName(star), docs, sets, about, width, num, den)
 
     comps = connected_components(links).select(F.col("node").alias("sid"), "component")
     named = members.where("c > 2").join(comps, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     named = materialize(named, "shingle-named")
     mixed = named.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("sid").alias("h")).where("low < high").select("s", "h")
-    rest = named.join(mixed, "s").where("sid != h")  # the first of the bucket has met all others
-    more = _verified(_unlike_pairs(rest, num, den), docs, sets, width, num, den)
+    # the first of the bucket has met all others
+    rest = named.join(mixed, "s").where("sid != h").join(about.select("sid", "sketch"), "sid")
+    more = _verified(_unlike_pairs(rest, num, den), docs, sets, about, width, num, den)
     return connected_components(links.unionByName(more))
 
 

@@ -36,6 +36,26 @@ def quantiles(rows: DataFrame, group: str, value: str, shares: dict[str, float])
     return ranked.groupBy(group).agg(F.min(value).alias("low"), *(at(p).alias(name) for name, p in shares.items()), F.max(value).alias("high"))
 
 
+def ranked(rows: DataFrame, group: str, value: str, places: dict[str, Column]) -> DataFrame:
+    """Values of a group at the given places (from 0) of its order, by a window: ``n`` is the number of its values, nulls
+    apart, and no group is gathered."""
+    w = Window.partitionBy(group)
+    d = rows.where(F.col(value).isNotNull()).select(group, value, (F.row_number().over(w.orderBy(value)) - 1).alias("r"), F.count("*").over(w).alias("n"))
+    return d.groupBy(group).agg(*(F.max(F.when(F.col("r") == at.cast("bigint"), F.col(value))).alias(name) for name, at in places.items()))
+
+
+def floor_90() -> Column:
+    return F.floor(0.9 * (F.col("n") - 1))
+
+
+def clipped_90() -> Column:
+    return F.least(F.col("n") - 1, F.floor(0.9 * F.col("n")))
+
+
+def upper_half() -> Column:
+    return F.floor(F.col("n") / 2)
+
+
 # ---- names and keys
 def with_short_names(rows: DataFrame, names: DataFrame, column: str = "model") -> DataFrame:
     """``short`` of a registry of names (``name, short``), else the name itself."""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions import stats, text
+from lodestone.functions import text
+from lodestone.operators import measures
 
 
 def month_fold(records: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def dropped_months(months: DataFrame) -> DataFrame:
 
 
 def median_error(errors: DataFrame) -> DataFrame:
-    return errors.groupBy("source_id").agg(stats.upper_median(F.array_sort(F.collect_list("err_low"))).alias("median_low"))
+    return measures.ranked(errors, "source_id", "err_low", {"median_low": measures.upper_half()})
 
 
 def identity_check(claims: DataFrame, offices: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.markup import jaccard
@@ -27,6 +27,15 @@ def pairs(sets: DataFrame, least: float) -> DataFrame:
     return near.join(side("a"), "a").join(side("b"), "b").select("a", "b", jaccard(F.col("pa"), F.col("pb")).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def comparable_pairs(marks: DataFrame) -> DataFrame:
+    """``a, b, same``: pages of one jurisdiction, each next two; marks of different rules raise, for they cannot be compared."""
+    version = lambda c: F.regexp_extract(c, r"^([a-z0-9]+):([0-9a-f]{6,40})$", 1)
+    w = Window.partitionBy("jurisdiction").orderBy("page_id")
+    d = marks.withColumns({"b": F.lead("page_id").over(w), "other": F.lead("mark").over(w)}).where("b is not null")
+    differ = F.raise_error(F.concat(F.lit("marks of different rules: "), F.col("mark"), F.lit(", "), F.col("other"))).cast("boolean")
+    return d.select(F.col("page_id").alias("a"), "b", F.when(version(F.col("mark")) != version(F.col("other")), differ).otherwise(F.col("mark") == F.col("other")).alias("same"))
+
+
 def clusters(sets: DataFrame, least: float, rounds: int = 100) -> DataFrame:
     """``page_id, component`` by single linkage; each page takes the smallest page it reaches."""
     sets = settled(sets.select("page_id", "paths"))
@@ -37,7 +46,10 @@ def clusters(sets: DataFrame, least: float, rounds: int = 100) -> DataFrame:
     for _ in range(rounds):
         heard = both.join(label.select(F.col("a").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
         low = F.coalesce("m", "component")
-        moved = settled(label.join(heard, "a", "left").select("a", F.least("component", low).alias("component"), (low < F.col("component")).alias("moved")))
+        near = label.join(heard, "a", "left").select("a", F.least("component", low).alias("component"), (low < F.col("component")).alias("moved"))
+        # a label's own label: chains halve each round instead of losing one link
+        over = near.select(F.col("a").alias("component"), F.col("component").alias("further"))
+        moved = settled(near.join(over, "component", "left").select("a", F.least("component", F.coalesce("further", "component")).alias("component"), "moved"))
         label = moved.select("a", "component")
         if moved.where("moved").isEmpty():
             break

@@ -95,3 +95,44 @@ def settled_pairs(draws: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     less = lambda c: F.aggregate(F.zip_with(F.col(f"a.{c}"), F.col(f"b.{c}"), lambda x, y: (x < y).cast("int")), F.lit(0), lambda t, x: t + x) / SIMULATIONS
     d = j.select(*(F.col(f"a.{k}").alias(k) for k in within), F.col("a.model").alias("cheaper"), F.col("b.model").alias("dearer"), less("half").alias("p_half"), less("one").alias("p_one"))
     return d.withColumn("settled", F.least("p_half", "p_one") >= 0.975)
+
+
+def false_discovery(pairs: DataFrame, *within: str) -> DataFrame:
+    """Settled pairs, and how many of them are to be expected wrong: each by what its lesser chance leaves open."""
+    settled_ = pairs.where("settled").groupBy(*within) if within else pairs.where("settled")
+    return settled_.agg(F.count("*").alias("settled"), F.round(F.sum(1 - F.least("p_half", "p_one")), 6).alias("expected_wrong"))
+
+
+def spearman_interval(points: DataFrame, x: str, y: str, resamples: int = 5000, seed: int = 7) -> DataFrame:
+    """Spearman's rho with average ranks, and its interval over resamples of the points: models, of which there are few."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        n, rng, found = len(rows), np.random.default_rng(seed), []
+        rho = lambda d: d[x].rank().corr(d[y].rank())
+        for _ in range(resamples):
+            r = rho(rows.iloc[rng.integers(0, n, n)])
+            if r == r:  # a resample of one point has none
+                found.append(r)
+        found = np.sort(found)
+        ends = [found[int(0.025 * len(found))], found[int(0.975 * len(found)) - 1]] if len(found) else [None, None]
+        return pd.DataFrame({"n": [n], "rho": [rho(rows)], "lo": ends[:1], "hi": ends[1:]})
+
+    return points.select(F.lit(0).alias("all"), F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).groupBy("all").applyInPandas(run, "n long, rho double, lo double, hi double")
+
+
+def best_of_k_orders(draws: DataFrame, k: int, orders: int = 2000) -> DataFrame:
+    """Tries until the first success within ``k``, and the chance of one, over random orders of each cell's draws."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        cell, n, won = rows.cell.iloc[0], int(rows.n.sum()), int(rows.n[rows.perfect == 1].sum())
+        rng = np.random.default_rng(zlib.crc32(f"orders:{cell}".encode()))
+        hits = np.arange(n) < won
+        tried = np.array([rng.permutation(hits)[:k] for _ in range(orders)])
+        first = np.where(tried.any(1), tried.argmax(1) + 1, tried.shape[1])
+        return pd.DataFrame({"cell": [cell], "n": [n], "chance": [tried.any(1).mean()], "tries": [first.mean()]})
+
+    return _counted(draws, "cell").groupBy("cell").applyInPandas(run, "cell string, n long, chance double, tries double")

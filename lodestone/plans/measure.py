@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import classify, stats
-from lodestone.operators import episodes, rollup, scoring
+from lodestone.operators import episodes, measures, rollup, scoring
 from lodestone.plans.base import frame, register
 
 LEDGER = """
@@ -70,8 +70,9 @@ def nearest_rank(spark, sf_dir):
 
 @register("k04_quantile_conventions", f"WITH l AS ({LEDGER}), s AS (SELECT model, list_sort(list(seconds)) AS xs FROM l GROUP BY model) SELECT model, xs[CAST(floor(0.9 * (len(xs) - 1)) AS BIGINT) + 1] AS floor_p90, xs[least(len(xs) - 1, CAST(floor(0.9 * len(xs)) AS BIGINT)) + 1] AS clipped_p90, xs[len(xs) // 2 + 1] AS upper_median, list_aggregate(xs, 'median') AS true_median FROM s")
 def quantile_conventions(spark, sf_dir):
-    d = ledger(spark, sf_dir).groupBy("model").agg(F.array_sort(F.collect_list("seconds")).alias("xs"), F.median("seconds").alias("true_median"))
-    return d.select("model", stats.floor_quantile(F.col("xs"), 0.9).alias("floor_p90"), stats.clipped_quantile(F.col("xs"), 0.9).alias("clipped_p90"), stats.upper_median(F.col("xs")).alias("upper_median"), "true_median")
+    d = ledger(spark, sf_dir)
+    found = measures.ranked(d, "model", "seconds", {"floor_p90": measures.floor_90(), "clipped_p90": measures.clipped_90(), "upper_median": measures.upper_half()})
+    return found.join(d.groupBy("model").agg(F.median("seconds").alias("true_median")), "model")
 
 
 @register("k05_pass_at", f"WITH c AS ({CELLS}), t AS (SELECT cell, n, k AS c, u AS k FROM c, unnest([1, 2, 5]) AS x(u)) SELECT cell, k, CASE WHEN k <= n THEN round(1 - (SELECT coalesce(product(greatest(n - c - i, 0) * 1.0 / (n - i)), 1.0) FROM unnest(range(0, k)) AS r(i)), 9) END AS pass_at, CASE WHEN k <= n THEN round((SELECT coalesce(product(greatest(c - i, 0) * 1.0 / (n - i)), 1.0) FROM unnest(range(0, k)) AS r(i)), 9) END AS pass_hat FROM t")

@@ -41,7 +41,7 @@ def api_records(spark, sf_dir):
 def path_hash(spark, sf_dir):
     from lodestone.functions.text import path_hash as hashed
 
-    return frame(spark, sf_dir, "SELECT c_nationkey, c_mktsegment FROM customer").groupBy("c_nationkey").agg(F.collect_list("c_mktsegment").alias("p")).select("c_nationkey", hashed(F.col("p")).alias("v"))
+    return frame(spark, sf_dir, "SELECT c_nationkey, c_mktsegment FROM customer").groupBy("c_nationkey").agg(F.collect_set("c_mktsegment").alias("p")).select("c_nationkey", hashed(F.col("p")).alias("v"))
 
 
 @register("b06_cell_seed")
@@ -109,8 +109,8 @@ def bisection(spark, sf_dir):
 
 @register("j15_token_quantiles", f"{L}, s AS (SELECT model, list_sort(list(tokens)) AS xs FROM l GROUP BY model) SELECT model, list_aggregate(xs, 'median') AS p50, xs[CAST(floor(0.9 * (len(xs) - 1)) AS BIGINT) + 1] AS p90 FROM s")
 def token_quantiles(spark, sf_dir):
-    d = ledger(spark, sf_dir).groupBy("model").agg(F.median("tokens").alias("p50"), F.array_sort(F.collect_list("tokens")).alias("xs"))
-    return d.select("model", "p50", stats.floor_quantile(F.col("xs"), 0.9).alias("p90"))
+    d = ledger(spark, sf_dir)
+    return measures.ranked(d, "model", "tokens", {"p90": measures.floor_90()}).join(d.groupBy("model").agg(F.median("tokens").alias("p50")), "model")
 
 
 @register("j19_failures", f"{L} SELECT model, host, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens, string_agg(CAST(seconds AS VARCHAR), ',' ORDER BY row_id) AS seconds FROM l WHERE ok = 0 GROUP BY model, host")
@@ -133,7 +133,7 @@ def expected_tries(spark, sf_dir):
 
 @register("k20_reasoning_medians", f"{D}, s AS (SELECT outcome, list_sort(list(tokens)) AS xs FROM d GROUP BY outcome) SELECT outcome, xs[len(xs) // 2 + 1] AS tokens FROM s")
 def reasoning_medians(spark, sf_dir):
-    return draws(spark, sf_dir).groupBy("outcome").agg(stats.upper_median(F.array_sort(F.collect_list("tokens"))).alias("tokens"))
+    return measures.ranked(draws(spark, sf_dir), "outcome", "tokens", {"tokens": measures.upper_half()})
 
 
 @register("k08_best_of_k")

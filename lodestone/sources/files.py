@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MANIFEST = T.StructType([T.StructField(c, T.StringType()) for c in ("fetched_at", "url", "final_url", "http_status", "content_type", "bytes", "sha256", "jurisdiction", "vendor", "page_type", "verdict", "verdict_reason", "request_method", "robots_ok", "file", "fp")])
-LEDGER = T.StructType.fromDDL(
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+_LEDGER = (
     "at string, call_class string, tag string, model string, provider string, draw int, ok boolean, usd double, seconds double, stop_reason string, input_tokens bigint, output_tokens bigint, "
     "cache_read_input_tokens bigint, cache_creation_input_tokens bigint, usd_reported double, error_type string, status_code int, ttft_s double, protocol string, max_tokens bigint, reasoning string, "
     "reasoning_level string, temperature double, top_p double, host string, reasoning_tokens bigint, response_id string"
 )
+#: Built without a session, so that this module can be imported before there is one.
+LEDGER = T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (f.split() for f in _LEDGER.split(", "))])
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -96,6 +100,50 @@ def write_records(df: DataFrame, violations: str, path: str) -> int:
     return df.where(F.size(violations) > 0).count()
 
 
+def append_jsonl(rows: DataFrame, path: str, order: list[str]) -> None:
+    """Append rows as JSON lines with sorted keys; nulls stay out, as readers give them their meaning.  Each call adds files
+    of its own by Spark's commit, so writers do not wait for each other and none leaves half a line."""
+    lines = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.to_json(F.struct(*sorted(rows.columns))).alias("value"))
+    lines.write.mode("append").text(path)
+
+
+def append_manifest(rows: DataFrame, path: str) -> None:
+    """Append captures to a manifest, every column as text and in the order of its schema, with a header a file."""
+    migrate(rows, MANIFEST).write.mode("append").option("header", True).csv(path)
+
+
+def replay(manifest: DataFrame, pages: DataFrame, jurisdiction: str, page_type: str, complete: Column) -> DataFrame:
+    """Stored pages in the order they were fetched, with ``ordinal``: those of one source and type that were not rejected
+    and that say themselves to be ``complete``."""
+    chosen = (F.col("jurisdiction") == jurisdiction) & (F.col("page_type") == page_type) & (F.coalesce("verdict", F.lit("")) != "rejected")
+    d = manifest.where(chosen).select("file", "fetched_at").join(pages, "file").where(complete)
+    # a source's pages of one type are some thousands
+    return d.withColumn("ordinal", F.row_number().over(Window.partitionBy(F.lit(jurisdiction)).orderBy("fetched_at", "file")))
+
+
+def paged(spark: SparkSession, fetch: Callable[[int, int], list[str]], size: int, most: int = 12) -> DataFrame:
+    """``page, record`` (JSON text) of a source that answers in pages: until a page is not full, or ``most`` pages."""
+    rows: list[tuple[int, str]] = []
+    for page in range(most):
+        found = fetch(page * size, size)
+        rows += [(page, r) for r in found]
+        if len(found) < size:
+            break
+    return spark.createDataFrame(rows, "page int, record string")
+
+
+def socrata_aggregate(sums: list[str], group: list[str], where: str = "") -> dict[str, str]:
+    """Parameters of a request in which the server counts and sums by group."""
+    select = [*group, "count(1) AS n", *(f"sum({c}) AS {c}" for c in sums)]
+    return {"$select": ", ".join(select), "$group": ", ".join(group)} | ({"$where": where} if where else {})
+
+
+def arcgis_aggregate(id_field: str, sums: list[str], group: list[str], where: str = "1=1") -> dict[str, str]:
+    each = [("count", id_field, "n"), *(("sum", c, c) for c in sums)]
+    statistics = [{"statisticType": t, "onStatisticField": f, "outStatisticFieldName": n} for t, f, n in each]
+    return {"where": where, "outStatistics": json.dumps(statistics), "groupByFieldsForStatistics": ",".join(group), "f": "json"}
+
+
 def merged(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Rows replaced or added by key; a null key is a key like any other."""
     own = changes.select(F.col(key).alias("__key"))

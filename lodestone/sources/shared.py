@@ -1,20 +1,26 @@
-"""Intermediate results in the folder that all machines share."""
+"""Intermediate results in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` of the session, so loops do not grow its lineage and lost executors do
-    not lose it.  Only a session without that setting gets a folder of its own."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in ``spark.checkpoint.dir``; only a local session without it (tests, a laptop) gets a folder of its own."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         where = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.conf.set("spark.checkpoint.dir", where)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    return f"{where.rstrip('/')}/engine/{label}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts lineage and survives lost executors."""
+    path = shared_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from lodestone.functions import classify, text, vocab
 
 
+def once(df: DataFrame, columns: dict) -> DataFrame:
+    """``df`` with columns that are computed once a row: a generator keeps them from being copied into each later
+    expression and filter, where they would be computed again and swell the generated code."""
+    kept = [c for c in df.columns if c not in columns]
+    made = F.explode(F.array(F.struct(*(v.alias(c) for c, v in columns.items()))))
+    return df.select("*", made.alias("__once")).select(*kept, *(F.col(f"__once.{c}").alias(c) for c in columns))
+
+
 def identity_gate(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with an identifier, and those without; a row without an office is an error."""
     office = F.when(F.col("source_id").isNull(), F.raise_error(F.lit("a row names no office"))).otherwise(F.col("source_id"))
@@ -52,7 +60,7 @@ def build(rows: DataFrame) -> DataFrame:
     """Open-data rows: the units field, else the description, then refinement by the count."""
     ok, _ = identity_gate(rows)
     field, described = text.norm_int(F.col("units_raw")), classify.units_from_text(F.col("description"))["units"]
-    d = ok.withColumns({"s": classify.structure(F.col("type_text")), "w": classify.work(F.col("work_text")), "kd": classify.kind(F.col("kind_text")), "fu": field, "tu": described})
+    d = once(ok, {"s": classify.structure(F.col("type_text")), "w": classify.work(F.col("work_text")), "kd": classify.kind(F.col("kind_text")), "fu": field, "tu": described, "date_issued": text.norm_date(F.col("issued"))})
     d = d.withColumns(
         {
             "permit_kind": F.col("kd.value"),
@@ -67,7 +75,6 @@ def build(rows: DataFrame) -> DataFrame:
             "bps_column": classify.bps_column(F.col("structure_type")),
             "countable_units": _countable(F.col("unit_count"), F.col("unit_count_source")),
             "observation_key": F.concat_ws("|", "source_id", "native_id"),
-            "date_issued": text.norm_date(F.col("issued")),
         }
     )
     return d.drop("s", "w", "kd", "fu", "tu")
@@ -84,7 +91,7 @@ def build_controlled(rows: DataFrame) -> DataFrame:
     refine the class, else those that the class implies."""
     ok, _ = identity_gate(rows)
     kind_, work_, units = classify.kind(F.col("type_text")), classify.work(F.col("type_text")), classify.units_from_text(F.col("description"))
-    d = ok.withColumns({"s": classify.structure(F.col("type_text")), "work_class": work_["value"], "permit_kind": kind_["value"], "tu": units["units"]})
+    d = once(ok, {"s": classify.structure(F.col("type_text")), "work_class": work_["value"], "permit_kind": kind_["value"], "tu": units["units"]})
     d = d.withColumn("structure_type", classify.refine(F.col("s.value"), F.col("tu"), F.col("work_class"))["value"])
     d = d.withColumn("iu", F.when(F.col("tu").isNull(), classify.imply_units(F.col("structure_type"), F.col("work_class"), F.col("s.rule"), F.lit(True))["units"]))
     source = F.when(F.col("tu").isNotNull(), "parsed_from_text").when(F.col("iu").isNotNull(), "implied_by_structure_code").otherwise("absent")

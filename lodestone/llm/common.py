@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import sys
 import tempfile
@@ -46,7 +47,18 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._lodestone_path = path
+    return stored
+
+
+def release(spark: SparkSession, *stored: DataFrame) -> None:
+    """Delete tables that ``materialize`` stored and nothing reads any more, and let the driver collect its garbage, for
+    only then does Spark remove the shuffle files of queries that are done."""
+    for df in stored:
+        drop_path(spark, df._lodestone_path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:

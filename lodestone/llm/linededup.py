@@ -32,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import computed_once, doc_key, materialize, read_table, small_side
+from lodestone.llm.common import computed_once, doc_key, materialize, read_table, release, small_side
 
 EDITS, MIN_CHARS = 2, 24
 #: Characters after which hopeless pairs are given up.
@@ -196,6 +196,7 @@ def near_lines(lines: DataFrame, edits: int = EDITS, few: int = FEW) -> DataFram
     rows = materialize(keyed(lines, edits), "line-keys", "lz4")
     heads, _ = small_side(heads_of(rows), "line-heads")
     hits = materialize(rows.join(heads, "key"), "line-hits")
+    release(lines.sparkSession, rows)
     ids, _ = small_side(hits.select("at", "h").distinct(), "line-ids")
     texts = lines.select("at", "h", "line").join(ids, ["at", "h"], "left_semi").dropDuplicates(["at", "h"])
     texts = materialize(texts.withColumn("counts", letter_counts(F.col("line"))), "line-texts")
@@ -215,6 +216,7 @@ def near_lines(lines: DataFrame, edits: int = EDITS, few: int = FEW) -> DataFram
     fit = (F.col("at0") < F.col("at")) & (F.col("h0") != F.col("h")) & (F.bit_count(differ) <= 2 * edits) & ~again
     met = dealt.where("asks").join(other, ["key", "part", "bits"]).where(fit & ~((F.col("at0") == F.col("at1")) & (F.col("h0") == F.col("h1"))))
     second = near_pairs(met.select("at", "h", F.col("at0").alias("at1"), F.col("h0").alias("h1")), texts, edits)
+    release(lines.sparkSession, hits, texts, members)
     return first.unionByName(second).distinct()
 
 

@@ -23,11 +23,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import simhash
-from lodestone.llm.common import doc_key, docs_without_losers, materialize, small_side
+from lodestone.llm.common import doc_key, docs_without_losers, materialize, release, small_side
 from lodestone.llm.graph import connected_components, dealt_blocks
 
 WIDTH, NUM, DEN = 5, 4, 5
@@ -136,7 +136,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, each: DataFram
     side = lambda c: full.select(F.col("sid").alias(c), F.col("s").alias(f"s{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     # i / (na + nb - i) >= num / den
-    return materialize(both.where(F.col("i") * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("a", "b").distinct(), "shingle-links")
+    links = materialize(both.where(F.col("i") * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("a", "b").distinct(), "shingle-links")
+    release(docs.sparkSession, full, pairs)
+    return links
 
 
 def _unlike_pairs(rest: DataFrame, num: int, den: int) -> DataFrame:
@@ -194,13 +196,16 @@ def similar_sets(docs: DataFrame, sets: DataFrame, width: int, num: int, den: in
     by_bits = by_bits.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(*pair("x", "y"))
 
     posted = each.select("sid", F.posexplode("head").alias("at", "s"))
-    shared, _ = small_side(posted.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "shingles-shared")
+    # one shuffle of narrow rows; a shingle's rows are counted from a buffer that spills, never gathered
+    shared = materialize(posted.withColumn("c", F.count("*").over(Window.partitionBy("s"))).where("c > 1"), "shingles-shared")
     about = materialize(each.select("sid", "n", "sketch"), "shingle-about")
-    members = materialize(posted.join(shared, "s").join(about.select("sid", "n"), "sid"), "shingle-members")
+    members = materialize(shared.join(about.select("sid", "n"), "sid"), "shingle-members")
+    release(docs.sparkSession, shared)
     heads = members.groupBy("s").agg(F.min("sid").alias("h"), F.min_by("n", "sid").alias("hn"), F.min_by("at", "sid").alias("hat"))
     star = members.join(heads, "s").where((F.col("sid") != F.col("h")) & _fit("n", "at", "hn", "hat", num, den)).select(*pair("sid", "h"))
     links = _verified(same.unionByName(by_bits).unionByName(star), docs, sets, about, width, num, den)
 
+    release(docs.sparkSession)
     comps = connected_components(links).select(F.col("node").alias("sid"), "component")
     named = members.where("c > 2").join(comps, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     named = materialize(named, "shingle-named")
@@ -208,6 +213,7 @@ def similar_sets(docs: DataFrame, sets: DataFrame, width: int, num: int, den: in
     # the first of the bucket has met all others
     rest = named.join(mixed, "s").where("sid != h").join(about.select("sid", "sketch"), "sid")
     more = _verified(_unlike_pairs(rest, num, den), docs, sets, about, width, num, den)
+    release(docs.sparkSession, members, named, about)
     return connected_components(links.unionByName(more))
 
 

@@ -7,7 +7,7 @@ next stage's ``docs``.  All but the last return the columns of ``documents``.
 2. lines: lines that repeat an earlier line, whatever their length unless blank, or from 24 characters on differ from
    one by at most two edits, go; a document of which no word is left goes with them.
 3. near_duplicates: one document of each group of near copies stays: those that an exact Jaccard similarity of 0.8 or
-   more of their five-word shingles connects.
+   more of their five-word shingles connects.  SimHash gives candidates; the rest, which it cannot reach, come from an index.
 4. decontamination: documents with a word inside a benchmark window go.
 5. encoding: ids, and a check that they decode to the text.
 

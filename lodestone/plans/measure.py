@@ -165,6 +165,47 @@ def aggregate(spark, sf_dir):
     return rollup.aggregate(draws(spark, sf_dir))
 
 
+#: Draws with all that a run records, and the purchase of those that have one.
+WHOLE_DRAWS = f"""
+SELECT draw_id, target, model, cell, draw, tokens, usd, draw_id % 1000 AS bytes, draw_id % 17 = 0 AS truncated, draw_id % 19 = 0 AS redrawn, draw_id % 300 AS reasoning_tokens, cell = 'c1' AND draw = 3 AS excluded,
+  CASE WHEN outcome = 'infra_error' THEN 'infra_error' WHEN draw_id % 43 = 0 THEN 'not_attempted' WHEN perfect = 1 THEN 'perfect' WHEN outcome = 'raised' THEN 'loud' ELSE 'silent_partial' END AS mode,
+  CASE WHEN draw_id % 31 <> 0 THEN round(seconds * 0.01, 4) END AS bought_usd, CASE WHEN draw_id % 31 <> 0 THEN seconds END AS bought_seconds, CASE WHEN draw_id % 31 <> 0 AND draw_id % 5 <> 0 THEN seconds % 7 END AS bought_ttft_s
+FROM ({DRAWS})
+"""
+_SCORED = "NOT excluded AND mode NOT IN ('not_attempted', 'infra_error')"
+
+
+def whole_draws(spark, sf_dir):
+    return frame(spark, sf_dir, WHOLE_DRAWS)
+
+
+@register("j04_variance_rows", f"""WITH d AS (SELECT *, {_SCORED} AS s, {_SCORED} AND bought_usd IS NOT NULL AS b FROM ({WHOLE_DRAWS})), m AS (
+SELECT 'attempted' AS metric, CASE WHEN s THEN 1e0 ELSE 0e0 END AS value FROM d UNION ALL SELECT 'excluded', 1e0 FROM d WHERE excluded UNION ALL SELECT 'infra_error', 1e0 FROM d WHERE NOT excluded AND mode = 'infra_error'
+UNION ALL SELECT 'perfect', CASE WHEN mode = 'perfect' THEN 1e0 ELSE 0e0 END FROM d WHERE s UNION ALL SELECT 'silent_failure', CASE WHEN mode LIKE 'silent%' THEN 1e0 ELSE 0e0 END FROM d WHERE s
+UNION ALL SELECT 'loud_failure', CASE WHEN mode = 'loud' THEN 1e0 ELSE 0e0 END FROM d WHERE s UNION ALL SELECT 'usd', usd FROM d WHERE s UNION ALL SELECT 'output_tokens', tokens FROM d WHERE s UNION ALL SELECT 'source_bytes', bytes FROM d WHERE s
+UNION ALL SELECT 'truncated', CASE WHEN truncated THEN 1e0 ELSE 0e0 END FROM d WHERE s UNION ALL SELECT 'redrawn', CASE WHEN redrawn THEN 1e0 ELSE 0e0 END FROM d WHERE s UNION ALL SELECT 'reasoning_tokens', reasoning_tokens FROM d WHERE s
+UNION ALL SELECT 'purchase_unknown', 1e0 FROM d WHERE s AND NOT b UNION ALL SELECT 'usd_purchase', bought_usd FROM d WHERE b UNION ALL SELECT 'seconds', bought_seconds FROM d WHERE b UNION ALL SELECT 'ttft_s', bought_ttft_s FROM d WHERE b
+UNION ALL SELECT 'tokens_per_s', round(tokens * 1e0 / (bought_seconds - bought_ttft_s), 1) FROM d WHERE b AND bought_seconds > bought_ttft_s)
+SELECT metric, count(*) AS n, round(sum(value), 4) AS total FROM m WHERE value IS NOT NULL GROUP BY metric""")
+def variance_rows(spark, sf_dir):
+    d = rollup.variance_rows(whole_draws(spark, sf_dir), ["target", "model"])
+    return d.groupBy("metric").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@register("j08_cell_summary", f"""WITH l AS ({LEDGER}), d AS (SELECT *, {_SCORED} AS s, {_SCORED} AND bought_usd IS NOT NULL AS b FROM ({WHOLE_DRAWS})),
+a AS (SELECT target, model, count(*) FILTER (WHERE s) AS attempted, count(*) FILTER (WHERE s) AS n, count(*) FILTER (WHERE s AND mode = 'perfect') AS k, count(*) FILTER (WHERE s AND mode LIKE 'silent%') AS silent,
+  count(*) FILTER (WHERE NOT excluded AND mode = 'infra_error') AS infra, count(*) FILTER (WHERE excluded) AS excluded, count(*) FILTER (WHERE s AND truncated) AS truncated, count(*) FILTER (WHERE s AND redrawn) AS redrawn,
+  count(*) FILTER (WHERE s AND NOT b) AS unpriced, coalesce(sum(bought_usd) FILTER (WHERE b), 0) AS usd, coalesce(sum(usd) FILTER (WHERE s), 0) AS paid, quantile_disc(CASE WHEN b THEN CAST(bought_seconds AS DOUBLE) END, 0.5) AS p50, quantile_disc(CASE WHEN b THEN CAST(bought_seconds AS DOUBLE) END, 0.95) AS p95,
+  quantile_disc(CASE WHEN b AND bought_seconds > bought_ttft_s THEN round(tokens * 1e0 / (bought_seconds - bought_ttft_s), 1) END, 0.5) AS tokens_per_s FROM d GROUP BY target, model),
+c AS (SELECT target, model, count(*) AS calls, round(sum(CASE WHEN ok = 0 THEN usd ELSE 0 END), 6) AS usd_failed, round(1 - avg(ok), 9) AS error_rate FROM l GROUP BY target, model)
+SELECT target, model, attempted, n, k, silent, infra, excluded, truncated, redrawn, unpriced, p50, p95, tokens_per_s, round(k * 1.0 / nullif(n, 0), 9) AS rate, round({LO}, 4) AS lo, round({HI}, 4) AS hi, round(usd, 6) AS usd, round(paid, 6) AS paid,
+  CASE WHEN k > 0 AND usd <> 0 AND unpriced = 0 THEN round(usd / k, 6) END AS usd_per_success, usd <> 0 AND paid < usd AS replayed, round(infra * 1.0 / nullif(n + infra, 0), 9) AS infra_rate,
+  CASE WHEN n > k THEN round(silent * 1.0 / (n - k), 4) END AS silent_share, CASE WHEN n > k THEN round({wilson_sql('silent', '(n - k)')[0]}, 4) END AS silent_lo, calls, usd_failed, error_rate FROM a LEFT JOIN c USING (target, model)""")
+def cell_summary(spark, sf_dir):
+    long = rollup.variance_rows(whole_draws(spark, sf_dir), ["target", "model"])
+    return rollup.cell_summary(long, ledger(spark, sf_dir), ["target", "model"], ["target", "model"])
+
+
 @register("j11_ledger_by_class", f"WITH l AS ({LEDGER}) SELECT call_class, count(*) AS calls, round(sum(usd), 4) AS usd, CAST(sum(tokens) AS BIGINT) AS tokens FROM l GROUP BY call_class")
 def ledger_by_class(spark, sf_dir):
     return ledger(spark, sf_dir).groupBy("call_class").agg(F.count("*").alias("calls"), F.round(F.sum("usd"), 4).alias("usd"), F.sum("tokens").cast("bigint").alias("tokens"))

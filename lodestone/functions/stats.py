@@ -66,3 +66,15 @@ def clipped_quantile(xs: Column, p: float) -> Column:
 def rule_of_three(n: Column) -> Column:
     """Upper bound, in per cent, of a share of which ``n`` trials showed none."""
     return F.try_divide(F.lit(300.0), n)
+
+
+def looked_at(rejected: Column, n: Column, k: Column) -> Column:
+    """How many of the first ``k`` places, in a random order of ``n`` draws, a draw may take with only ``rejected`` others
+    before it, each place weighed by its chance; ``n`` times the chance that best-of-k looks at it."""
+    places = F.sequence(F.lit(0), F.least(k, n).cast("int") - 1)
+    return F.aggregate(places, F.lit(0.0), lambda total, before: total + ratio_product(rejected, n - 1, before))
+
+
+def kept_chance(n: Column, rejected: Column, k: Column) -> Column:
+    """The chance that an accepted draw is the one that best-of-k keeps."""
+    return looked_at(rejected, n, k) / n

@@ -255,3 +255,19 @@ def backward_steps(log: DataFrame, ranks: dict[str, int]) -> DataFrame:
     seen = log.select("entity", "seq", F.coalesce(F.try_element_at(rank, F.col("milestone")), F.lit(len(ranks) + 1)).alias("rk"))
     back = seen.withColumn("back", F.col("rk") < F.lag("rk").over(Window.partitionBy("entity").orderBy("seq")))
     return back.where("back").groupBy("entity").agg(F.count("*").alias("alarms"))
+
+
+def best_of_k(draws: DataFrame, key: str, k: int) -> DataFrame:
+    """Success rate and mean spend of best-of-k over each cell's stored draws (``accepted, perfect, usd``), exactly: draws are
+    looked at in random order and paid for until the first that is accepted, or ``k``."""
+    accepted, flag = F.col("accepted"), lambda c: F.coalesce(c, F.lit(False))
+    d = draws.groupBy(key).agg(
+        F.count("*").cast("int").alias("n"),
+        F.count_if(~flag(accepted)).cast("int").alias("rejected"),
+        F.count_if(flag(accepted) & (F.col("perfect") == 1)).alias("good"),
+        F.sum(F.when(flag(accepted), F.col("usd")).otherwise(0.0)).alias("usd_accepted"),
+        F.sum(F.when(~flag(accepted), F.col("usd")).otherwise(0.0)).alias("usd_rejected"),
+    )
+    n, rejected, most = F.col("n"), F.col("rejected"), F.lit(k)
+    spend = (F.col("usd_accepted") * stats.looked_at(rejected, n, most) + F.col("usd_rejected") * stats.looked_at(rejected - 1, n, most)) / n
+    return d.select(key, F.least(n, most).alias("k"), F.round(F.col("good") * stats.kept_chance(n, rejected, most), 9).alias("success"), F.round(spend, 6).alias("usd"))

@@ -293,11 +293,12 @@ def confusion(spark, sf_dir):
     return d.groupBy("lang").agg(F.count_if(~t).alias("accepted"), F.count_if(~t & ~q).alias("escapes"), F.count_if(t & q).alias("false_rejects"), F.count_if(t & ~q).alias("caught"))
 
 
-@register("h12_survival", f"WITH d AS ({DRAWS}) SELECT model, target, count(*) AS n, sum(perfect) AS survived, grouping(model) AS gm, grouping(target) AS gt FROM d GROUP BY GROUPING SETS ((model, target), (model), (target), ())")
+@register("h12_survival", f"WITH d AS ({DRAWS}), g AS (SELECT model, target, count(*) AS n, sum(perfect) AS k, bool_and(perfect = 1) AS all_survived, grouping(model) AS gm, grouping(target) AS gt FROM d GROUP BY GROUPING SETS ((model, target), (model), (target), ())) SELECT model, target, n, CAST(k AS BIGINT) AS survived, all_survived, gm, gt, round({LO}, 6) AS lo, round({HI}, 6) AS hi FROM g")
 def survival(spark, sf_dir):
-    """Margins of the matrix in one pass."""
-    d = draws(spark, sf_dir).cube("model", "target").agg(F.count("*").alias("n"), F.sum("perfect").alias("survived"), F.grouping("model").alias("gm"), F.grouping("target").alias("gt"))
-    return d
+    """The matrix and its margins in one pass, with intervals."""
+    g = draws(spark, sf_dir).cube("model", "target").agg(F.count("*").alias("n"), F.sum("perfect").cast("bigint").alias("survived"), F.bool_and(F.col("perfect") == 1).alias("all_survived"), F.grouping("model").alias("gm"), F.grouping("target").alias("gt"))
+    w = stats.wilson(F.col("survived"), F.col("n"))
+    return g.select("model", "target", "n", "survived", "all_survived", "gm", "gt", F.round(w["lo"], 6).alias("lo"), F.round(w["hi"], 6).alias("hi"))
 
 
 @register("h13_signatures", f"WITH d AS ({DRAWS}), s AS (SELECT model, array_to_string(list_sort(list(DISTINCT outcome)), ',') AS signature FROM d GROUP BY model, cell) SELECT signature, count(*) AS n FROM s GROUP BY signature")
@@ -311,14 +312,18 @@ STEPS = "SELECT conv_id AS episode, turn, sum(length(text)) OVER (PARTITION BY c
 _CAP = f"WITH s AS ({STEPS}), b AS (SELECT *, coalesce(lag(spent) OVER (PARTITION BY episode ORDER BY turn), 0) AS before FROM s), a AS (SELECT episode, max_by(draft, CASE WHEN draft IS NOT NULL THEN turn END) AS draft, max(spent) AS spent, count(*) AS turns FROM b WHERE before < 1.5 GROUP BY episode)"
 
 
-@register("l01_at_cap", f"{_CAP} SELECT episode, draft, round(spent, 6) AS spent, turns FROM a")
+_STOPPED = f"SELECT *, CASE WHEN episode % 5 = 0 THEN 'infra_error' WHEN episode % 5 = 1 THEN NULL ELSE 'submitted' END AS stop FROM ({STEPS})"
+_UNSEEN = f"{_CAP}, t AS (SELECT episode, count(*) AS total, max(spent) AS ends FROM s GROUP BY episode), u AS (SELECT a.*, turns = total AND ends < 1.5 AND episode % 5 < 2 AS unobserved FROM a JOIN t USING (episode))"
+
+
+@register("l01_at_cap", f"{_UNSEEN} SELECT episode, draft, round(spent, 6) AS spent, turns, unobserved FROM u")
 def at_cap(spark, sf_dir):
-    return episodes.at_cap(frame(spark, sf_dir, STEPS), 1.5).withColumn("spent", F.round("spent", 6))
+    return episodes.at_cap(frame(spark, sf_dir, _STOPPED), 1.5).withColumn("spent", F.round("spent", 6))
 
 
-@register("l02_frontier", f"{_CAP}, f AS (SELECT count(*) AS n, count(*) FILTER (WHERE draft = 'good') AS k, round(avg(spent), 6) AS mean_spend FROM a) SELECT n, k AS ok, mean_spend, round({LO}, 6) AS lo, round({HI}, 6) AS hi FROM f")
+@register("l02_frontier", f"{_UNSEEN}, f AS (SELECT count(*) FILTER (WHERE NOT unobserved) AS n, count(*) FILTER (WHERE NOT unobserved AND draft = 'good') AS k, count(*) FILTER (WHERE unobserved) AS unobserved, round(avg(spent) FILTER (WHERE NOT unobserved), 6) AS mean_spend FROM u) SELECT n, k AS ok, unobserved, mean_spend, round({LO}, 6) AS lo, round({HI}, 6) AS hi FROM f")
 def frontier(spark, sf_dir):
-    return episodes.frontier_point(episodes.at_cap(frame(spark, sf_dir, STEPS), 1.5))
+    return episodes.frontier_point(episodes.at_cap(frame(spark, sf_dir, _STOPPED), 1.5))
 
 
 @register("l03_carried_draft", f"WITH s AS ({STEPS}) SELECT episode, turn, last_value(draft IGNORE NULLS) OVER (PARTITION BY episode ORDER BY turn ROWS UNBOUNDED PRECEDING) AS current FROM s")

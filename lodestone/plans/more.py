@@ -131,6 +131,16 @@ def expected_tries(spark, sf_dir):
     return c.select("cell", F.round(total, 9).alias("tries"))
 
 
+_CHOOSE = "(SELECT sum(CASE WHEN {m} >= p THEN (SELECT coalesce(product(greatest({m} - j, 0) * 1e0 / (n - 1 - j)), 1e0) FROM unnest(range(0, p)) AS y(j)) ELSE 0e0 END) FROM unnest(range(0, least(5, n))) AS x(p))"
+
+
+@register("k07_best_of_k", f"""{D}, a AS (SELECT cell, count(*) AS n, count(*) FILTER (WHERE precision_min < 1) AS r, count(*) FILTER (WHERE precision_min = 1 AND perfect = 1) AS good, sum(CASE WHEN precision_min = 1 THEN usd ELSE 0 END) AS ua, sum(CASE WHEN precision_min < 1 THEN usd ELSE 0 END) AS ur FROM d WHERE usd IS NOT NULL GROUP BY cell)
+SELECT cell, least(5, n) AS k, round(good * {_CHOOSE.format(m='r')} / n, 9) AS success, round((ua * {_CHOOSE.format(m='r')} + ur * coalesce({_CHOOSE.format(m='(r - 1)')}, 0)) / n, 6) AS usd FROM a""")
+def best_of_k_exact(spark, sf_dir):
+    d = draws(spark, sf_dir).where("usd is not null").withColumn("accepted", F.col("precision_min") == 1)
+    return measures.best_of_k(d, "cell", 5)
+
+
 @register("k20_reasoning_medians", f"{D}, s AS (SELECT outcome, list_sort(list(tokens)) AS xs FROM d GROUP BY outcome) SELECT outcome, xs[len(xs) // 2 + 1] AS tokens FROM s")
 def reasoning_medians(spark, sf_dir):
     return measures.ranked(draws(spark, sf_dir), "outcome", "tokens", {"tokens": measures.upper_half()})

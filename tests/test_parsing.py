@@ -185,3 +185,33 @@ def test_upsert_mends_a_run_that_died(spark, tmp_path):
     (tmp_path / "t").rename(tmp_path / "t-x-old")  # between the two renames
     files.upsert(spark, path, spark.createDataFrame([(2, "b"), (None, "m")], "k long, v string"), "k")
     assert {tuple(r) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "b"), (None, "m")}
+
+
+def test_best_of_k_brute_force(spark):
+    """Against every order of a few draws."""
+    from itertools import permutations
+
+    rows = [("c", True, 1, 0.5), ("c", True, 0, 0.2), ("c", False, 0, 0.9), ("c", False, 1, 0.1), ("c", None, 0, 0.4)]
+    d = spark.createDataFrame(rows, "cell string, accepted boolean, perfect int, usd double")
+    for k in (1, 3, 9):
+        good = spent = n = 0
+        for order in permutations(rows):
+            n += 1
+            for r in order[:k]:
+                spent += r[3]
+                if r[1]:
+                    good += r[2]
+                    break
+        got = measures.best_of_k(d, "cell", k).first()
+        assert (got["success"], got["usd"]) == (pytest.approx(good / n, abs=1e-8), pytest.approx(spent / n, abs=1e-5)) and got["k"] == min(k, 5)
+
+
+def test_unobserved_episodes(spark):
+    from lodestone.operators import episodes
+
+    rows = [("a", 0, 0.1, None, "infra_error"), ("b", 0, 0.1, "good", "submitted"), ("c", 0, 0.4, "bad", None), ("c", 1, 0.9, "good", None), ("d", 0, 0.2, None, None)]
+    d = spark.createDataFrame(rows, "episode string, turn int, spent double, draft string, stop string")
+    got = {r["episode"]: (r["draft"], r["unobserved"]) for r in episodes.at_cap(d, 0.5).collect()}
+    assert got == {"a": (None, True), "b": ("good", False), "c": ("good", False), "d": (None, True)}
+    p = episodes.frontier_point(episodes.at_cap(d, 0.5)).first()
+    assert (p["n"], p["ok"], p["unobserved"]) == (2, 2, 2)

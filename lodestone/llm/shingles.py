@@ -33,8 +33,8 @@ from lodestone.llm.graph import connected_components, dealt_blocks
 WIDTH, NUM, DEN = 5, 4, 5
 #: Documents in the sample that orders shingles, and how many of them hold a frequent one.
 SAMPLE, FREQUENT = 4000, 4
-#: Bits of the sketch of a set, and the sets of a block.
-SKETCH, BLOCK = 512, 1024
+#: Bits of the sketch of a set, of the finer one of sets that are fetched, and the sets of a block.
+SKETCH, FINE, BLOCK = 512, 4096, 1024
 
 
 def shingle_set(hashes):
@@ -45,11 +45,11 @@ def shingle_set(hashes):
     return np.unique(hashes) if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64)
 
 
-def sketch_of(s) -> list[int]:
-    """Parity of the number of shingles at each of ``SKETCH`` places, 64 in a long."""
+def sketch_of(s, bits: int = SKETCH) -> list[int]:
+    """Parity of the number of shingles at each of ``bits`` places, 64 in a long."""
     import numpy as np
 
-    return np.packbits(np.bincount((s >> np.uint64(9)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).view(np.int64).tolist()
+    return np.packbits(np.bincount((s >> np.uint64(9)).astype(np.int64) % bits, minlength=bits) & 1).view(np.int64).tolist()
 
 
 def frequent(docs: DataFrame, width: int) -> list[int]:
@@ -104,7 +104,7 @@ def with_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 def _full_sets(ids: DataFrame, docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
-    """``sid, s`` of the distinct ``sid`` of ``ids``, stored; only their texts are read."""
+    """``sid, n, sketch, s`` of the distinct ``sid`` of ``ids``, with the finer sketch, stored; only their texts are read."""
     ids, _ = small_side(ids, "shingle-ids")
     one, _ = small_side(sets.select("sid", "k1", "k2").join(ids, "sid").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("k")).select("sid", "k.k1", "k.k2"), "shingle-ids")
     texts = docs.select(*doc_key(docs), "text").join(one, ["k1", "k2"]).select("sid", "text")
@@ -113,19 +113,22 @@ def _full_sets(ids: DataFrame, docs: DataFrame, sets: DataFrame, width: int) ->
         import numpy as np
 
         for batch in batches:
-            found = [shingle_set(simhash.shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).to_pylist()]
+            found = [shingle_set(simhash.shingle_hashes(t, width)) for t in batch.column(1).to_pylist()]
+            fine = pa.array([sketch_of(h, FINE) for h in found], pa.list_(pa.int64()))
+            found = [h.view(np.int64) for h in found]
             offsets = np.concatenate([[0], np.cumsum([len(h) for h in found])]).astype(np.int32)
             values = pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["sid", "s"])
+            sizes = pa.array([len(h) for h in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, fine, pa.ListArray.from_arrays(pa.array(offsets), values)], names=["sid", "n", "sketch", "s"])
 
-    return materialize(texts.mapInArrow(run, "sid long, s array<long>"), "shingle-sets")
+    return materialize(texts.mapInArrow(run, "sid long, n int, sketch array<long>, s array<long>"), "shingle-sets")
 
 
-def _sketches_fit(pairs: DataFrame, each: DataFrame, num: int, den: int) -> DataFrame:
+def _sketches_fit(pairs: DataFrame, each: DataFrame, num: int, den: int, bits: int = SKETCH) -> DataFrame:
     """The pairs ``a, b`` whose sketches allow the similarity: sets differ in no more than so many shingles."""
     side = lambda c: each.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}"))
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    apart = sum((F.bit_count(F.get("ka", F.lit(i)).bitwiseXOR(F.get("kb", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    apart = sum((F.bit_count(F.get("ka", F.lit(i)).bitwiseXOR(F.get("kb", F.lit(i)))) for i in range(bits // 64)), F.lit(0))
     return both.where(apart * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
 
 
@@ -133,11 +136,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, each: DataFram
     """The pairs ``a, b`` of sets whose similarity is at least ``num / den``."""
     pairs = materialize(_sketches_fit(pairs, each, num, den), "shingle-pairs")
     full = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), docs, sets, width)
+    # whole sets travel once for each pair, so pairs that just miss the similarity are ruled out before
+    close = materialize(_sketches_fit(pairs, full.select("sid", "n", "sketch"), num, den, FINE), "shingle-close")
     side = lambda c: full.select(F.col("sid").alias(c), F.col("s").alias(f"s{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    both = close.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     # i / (na + nb - i) >= num / den
     links = materialize(both.where(F.col("i") * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("a", "b").distinct(), "shingle-links")
-    release(docs.sparkSession, full, pairs)
+    release(docs.sparkSession, full, pairs, close)
     return links
 
 

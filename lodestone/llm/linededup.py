@@ -10,9 +10,10 @@ are reachable, moved on by one character with shifts and ands.
 
 Only whether an earlier line is near is asked, so all pairs are never made.  Each line of a bucket is compared with the
 bucket's earliest line; what that settles asks no more.  The unsettled lines are then compared with those earlier ones of
-their bucket whose letter counts two edits allow.  The counts, modulo four and in Gray code, are bits of which an edit
-changes two at most; buckets of more than ``FEW`` rows are therefore dealt again by ``2 * edits + 1`` parts of these
-bits, one of which is equal for every pair that is left.
+their bucket whose length and letter counts two edits allow; the counts, modulo four and in Gray code, are bits of which
+an edit changes two at most.  An edit takes away and adds at most two pairs of adjacent characters each, so buckets of
+more than ``FEW`` rows are dealt again: the pairs of characters fall by hash into ``4 * edits + 1`` parts, one of which is
+equal, as a multiset, for any two lines within ``edits`` edits.
 
 A line is a duplicate if an equal line, or one within ``edits`` edits, stands earlier; the order is (doc_id, line
 number).  Lines are equal if two independent 64-bit hashes agree (128 bits); equal lines are one row wherever they stand,
@@ -111,11 +112,17 @@ def letter_counts(line: Column) -> Column:
     return total
 
 
-def parts_of(counts: Column, edits: int) -> list[Column]:
-    """The bits of the letter counts in ``2 * edits + 1`` parts."""
-    n, bits = 2 * edits + 1, 2 * len(COUNTED)
-    cuts = [bits * j // n for j in range(n + 1)]
-    return [F.shiftright(counts, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) for a, b in zip(cuts, cuts[1:], strict=False)]
+def with_grams(lines: DataFrame, edits: int) -> DataFrame:
+    """``at, h, grams, sketch``: for each of ``4 * edits + 1`` parts of all pairs of adjacent characters, a number that
+    depends on nothing but which of them the line holds and how often; and the parities of their numbers at 64 places."""
+    n, most = F.char_length("line"), 4 * edits + 1
+    chars = computed_once(lines.select("at", "h", "line"), "c", F.split("line", ""))
+    each = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.xxhash64(F.get("c", i - 1), F.get("c", i)))
+    grams = chars.select("at", "h", F.explode_outer(F.when(n > 1, each)).alias("g"))
+    part, value = F.pmod("g", F.lit(most)), F.shiftright("g", 31)  # so many bits can be summed over any line
+    sums = [F.coalesce(F.sum(F.when(part == j, value)), F.lit(0).cast("long")) for j in range(most)]
+    place = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("g", 9), F.lit(64)).cast("int"))
+    return grams.groupBy("at", "h").agg(F.array(*sums).alias("grams"), F.coalesce(F.bit_xor(place), F.lit(0).cast("long")).alias("sketch"))
 
 
 def _common(a: Column, b: Column, most: Column, part) -> Column:
@@ -191,6 +198,26 @@ def heads_of(rows: DataFrame) -> DataFrame:
     return found.where("lo < hi").select("key", "n", "at1", "h1")
 
 
+def earlier_ones(members: DataFrame, texts: DataFrame, edits: int, few: int) -> DataFrame:
+    """``at, h, at1, h1``: the lines of ``members`` that ask, with those earlier ones of their bucket, but its earliest, whose
+    length and letter counts ``edits`` edits allow."""
+    whole = members.where(F.col("n") <= few).withColumns({"part": F.lit(-1), "bits": F.lit(0).cast("long"), "grams": F.array().cast("array<long>"), "sketch": F.lit(0).cast("long")})
+    large = members.where(F.col("n") > few)
+    ids, _ = small_side(large.select("at", "h").distinct(), "line-ids")
+    grams = materialize(with_grams(texts.join(ids, ["at", "h"], "left_semi"), edits), "line-grams")
+    large = large.join(grams, ["at", "h"])
+    dealt = whole.unionByName(large.select("*", F.posexplode("grams").alias("part", "bits")))
+    other = dealt.select("key", "part", "bits", *(F.col(c).alias(f"{c}0") for c in ("at", "h", "counts", "size", "grams", "sketch")))
+    again = F.lit(False)  # pairs that an earlier part brings together
+    for j in range(4 * edits + 1):
+        again = again | ((F.col("part") > j) & (F.get("grams", F.lit(j)) == F.get("grams0", F.lit(j))))
+    fit = (F.col("at0") < F.col("at")) & (F.col("h0") != F.col("h")) & (F.abs(F.col("size") - F.col("size0")) <= edits)
+    fit = fit & (F.bit_count(F.col("counts").bitwiseXOR(F.col("counts0"))) <= 2 * edits)
+    fit = fit & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch0"))) <= 4 * edits) & ~again
+    met = dealt.where("asks").join(other, ["key", "part", "bits"]).where(fit & ~((F.col("at0") == F.col("at1")) & (F.col("h0") == F.col("h1"))))
+    return met.select("at", "h", F.col("at0").alias("at1"), F.col("h0").alias("h1"))
+
+
 def near_lines(lines: DataFrame, edits: int = EDITS, few: int = FEW) -> DataFrame:
     """``at, h`` of the lines of ``lines(at, h, line)``, each once, that have an earlier line within ``edits`` edits."""
     rows = materialize(keyed(lines, edits), "line-keys", "lz4")
@@ -199,23 +226,13 @@ def near_lines(lines: DataFrame, edits: int = EDITS, few: int = FEW) -> DataFram
     release(lines.sparkSession, rows)
     ids, _ = small_side(hits.select("at", "h").distinct(), "line-ids")
     texts = lines.select("at", "h", "line").join(ids, ["at", "h"], "left_semi").dropDuplicates(["at", "h"])
-    texts = materialize(texts.withColumn("counts", letter_counts(F.col("line"))), "line-texts")
+    texts = materialize(texts.withColumns({"counts": letter_counts(F.col("line")), "size": F.char_length("line")}), "line-texts")
     first = near_pairs(hits.where("at1 < at").select("at", "h", "at1", "h1"), texts, edits)
     # what is not settled and not the earliest asks on
     done, _ = small_side(first, "line-done")
-    members = hits.where("n > 2").join(done.withColumn("done", F.lit(True)), ["at", "h"], "left").join(texts.select("at", "h", "counts"), ["at", "h"])
+    members = hits.where("n > 2").join(done.withColumn("done", F.lit(True)), ["at", "h"], "left").join(texts.select("at", "h", "counts", "size"), ["at", "h"])
     members = materialize(members.withColumn("asks", F.col("done").isNull() & (F.col("at1") < F.col("at"))).drop("done"), "line-members")
-    parts = F.posexplode(F.array(*parts_of(F.col("counts"), edits)))
-    whole = members.where(F.col("n") <= few).withColumns({"part": F.lit(-1), "bits": F.lit(0).cast("long")})
-    dealt = whole.unionByName(members.where(F.col("n") > few).select("*", parts.alias("part", "bits")))
-    other = dealt.select("key", "part", "bits", F.col("at").alias("at0"), F.col("h").alias("h0"), F.col("counts").alias("counts0"))
-    differ = F.col("counts").bitwiseXOR(F.col("counts0"))
-    again = F.lit(False)  # pairs that an earlier part brings together
-    for j, bits in enumerate(parts_of(differ, edits)):
-        again = again | ((F.col("part") > j) & (bits == 0))
-    fit = (F.col("at0") < F.col("at")) & (F.col("h0") != F.col("h")) & (F.bit_count(differ) <= 2 * edits) & ~again
-    met = dealt.where("asks").join(other, ["key", "part", "bits"]).where(fit & ~((F.col("at0") == F.col("at1")) & (F.col("h0") == F.col("h1"))))
-    second = near_pairs(met.select("at", "h", F.col("at0").alias("at1"), F.col("h0").alias("h1")), texts, edits)
+    second = near_pairs(earlier_ones(members, texts, edits, few), texts, edits)
     release(lines.sparkSession, hits, texts, members)
     return first.unionByName(second).distinct()
 

@@ -383,6 +383,29 @@ def test_near_lines_brute_force(spark, edits, few):
     assert got == {i for i, t in enumerate(texts) if any(levenshtein(t, u) <= edits for u in texts[:i])}
 
 
+def test_large_group_meets_few_pairs(spark, monkeypatch):
+    """Lines that share a third and, in another order, all letters of the rest: few pairs of them are compared."""
+    rng, texts = random.Random(7), []
+    for _ in range(150):
+        rest = list("aeiounrsthldcgbwmpvqaeiounrsthldcgbwmpvq")
+        rng.shuffle(rest)
+        texts.append("what all of them begin with " + "".join(rest))
+    for t in texts[20:30]:
+        at = rng.randrange(28, 60)
+        texts.append(t[:at] + "x" + t[at + 1 :])  # one edit
+    met, near_pairs = [], linededup.near_pairs
+
+    def counted(pairs, *rest):
+        met.append(pairs.distinct().count())
+        return near_pairs(pairs, *rest)
+
+    monkeypatch.setattr(linededup, "near_pairs", counted)
+    lines = spark.createDataFrame(list(enumerate(texts)), "at long, line string").selectExpr("at", "xxhash64(line) AS h", "line")
+    got = {r["at"] for r in linededup.near_lines(lines).collect()}
+    assert got == {i for i, t in enumerate(texts) if any(levenshtein(t, u) <= 2 for u in texts[:i])} == set(range(150, 160))
+    assert met[-1] < 3 * len(texts)  # of 12,720
+
+
 def test_places_of_wide_ids(spark):
     d = spark.createDataFrame([(2**62, "same line of more than twenty-four\nother"), (-(2**62), "same line of more than twenty-four"), (None, "x")], "doc_id long, text string")
     assert not linededup.Places(d).long

@@ -19,6 +19,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
@@ -38,8 +39,8 @@ SIMPLE = rf"^(?P<a>[{LETTERS}]+)(?P<p>[{SIGNS}]*)(?P<n>(?:\n)?)(?P<b>[{LETTERS}]
 SPACE = "[\\x{9}-\\x{D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 #: Texts are coded in runs of about so many bytes; a longer one is a run of its own.
 RUN_BYTES = 16 << 20
-#: Bound of the words that a process remembers (some 200 bytes each).
-REMEMBERED = 100_000
+#: Words of either generation that a process remembers (some 200 bytes each); when the newer is full, the older goes.
+REMEMBERED = 200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -151,6 +152,13 @@ class Codes:
     def of(cls, each: list) -> Codes:
         return cls(list(chain.from_iterable(each)), [len(x) for x in each])
 
+    @classmethod
+    def packed(cls, each: list[bytes]) -> Codes:
+        """Of native 32-bit integers."""
+        import numpy as np
+
+        return cls(np.frombuffer(b"".join(each), np.int32), np.fromiter(map(len, each), np.int64, len(each)) // 4)
+
     def take(self, which) -> Codes:
         import numpy as np
 
@@ -310,25 +318,28 @@ class ByteBPE(ColumnEncoder):
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
         self.decimal = {i: str(i) for i in self.bytes_of}
         self.added_split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.spec = {}
 
     def merged(self, ids: list[int]) -> list[int]:
         return merge_by_tree(ids, self.ranks, self.made) if len(ids) > 1 else ids
 
     def heads(self, words: list[str], space: str) -> Codes:
-        known, out, ids_of = self.known, [], self.byte_ids.__getitem__
+        known, older, out, ids_of = self.known, self.older, [], self.byte_ids.__getitem__
         for w in words:
             piece = space + w
             ids = known.get(piece)
             if ids is None:
-                ids = tuple(self.merged(list(map(ids_of, piece.encode("utf-8")))))
-                if len(known) >= REMEMBERED:
-                    known.clear()
+                ids = older.get(piece)
+                if ids is None:
+                    ids = array("i", self.merged(list(map(ids_of, piece.encode("utf-8"))))).tobytes()
                 if len(w) <= 48:
+                    if len(known) >= REMEMBERED:
+                        self.known, self.older = known, older = {}, known
                     known[piece] = ids
             out.append(ids)
-        return Codes.of(out)
+        return Codes.packed(out)
 
     def pieces(self, text: str) -> list[tuple[int, list[int]]]:
         """Start and ids of each piece of a text without added tokens."""
@@ -432,9 +443,9 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             for low, codes in bpe.column(batch.column(len(kept))):
-                every, at, coded, texts, hashes = codes.ids.tolist(), 0, [], [], []
+                at, coded, texts, hashes = 0, [], [], []
                 for n in codes.sizes.tolist():
-                    ids = every[at : at + n]
+                    ids = codes.ids[at : at + n].tolist()
                     at += n
                     coded.append(sha(",".join(map(bpe.decimal.__getitem__, ids)).encode()))
                     raw = bpe.decode(ids)

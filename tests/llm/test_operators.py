@@ -86,6 +86,24 @@ def test_merges_leftmost_lowest():
     assert bpe.merge_by_tree([1, 1, 1], ranks, [3, 4, 5]) == [4, 1]
 
 
+def test_remembered_words(library, monkeypatch):
+    """A few more words than a generation holds are not merged anew each run, and no more than two generations stay."""
+    import public_tokenizers
+
+    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    model, merged = bpe.ByteBPE(public_tokenizers.path("byte_bpe_50k.json")), []
+    merge = model.merged
+    monkeypatch.setattr(model, "merged", lambda ids: merged.append(1) or merge(ids))
+    words = [f"{a}inlichkeit{b}" for a in "bdfg" for b in "lmn"]
+    first = model.heads(words, " ")
+    assert len(merged) == 12
+    again = model.heads(words, " ")
+    assert len(merged) <= 14 and again.ids.tolist() == first.ids.tolist() and again.sizes.tolist() == first.sizes.tolist()
+    assert first.ids.tolist() == library.encode(" " + " ".join(words), add_special_tokens=False).ids
+    model.heads([f"w{chr(97 + i)}x" for i in range(26)], "")
+    assert len(model.known) + len(model.older) <= 20 and model.heads([""], "").sizes.tolist() == [0]
+
+
 def test_encode_decode_rows(odd, empty, library):
     clash = odd.withColumnsRenamed({"lang": "ids"})
     got = bpe.encode_decode(clash, PATH, keep=("doc_id", "ids")).collect()

@@ -118,11 +118,12 @@ def with_grams(lines: DataFrame, edits: int) -> DataFrame:
     n, most = F.char_length("line"), 4 * edits + 1
     chars = computed_once(lines.select("at", "h", "line"), "c", F.split("line", ""))
     each = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.xxhash64(F.get("c", i - 1), F.get("c", i)))
-    grams = chars.select("at", "h", F.explode_outer(F.when(n > 1, each)).alias("g"))
-    part, value = F.pmod("g", F.lit(most)), F.shiftright("g", 31)  # so many bits can be summed over any line
-    sums = [F.coalesce(F.sum(F.when(part == j, value)), F.lit(0).cast("long")) for j in range(most)]
-    place = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("g", 9), F.lit(64)).cast("int"))
-    return grams.groupBy("at", "h").agg(F.array(*sums).alias("grams"), F.coalesce(F.bit_xor(place), F.lit(0).cast("long")).alias("sketch"))
+    grams = computed_once(chars, "g", F.when(n > 1, each).otherwise(F.array().cast("array<long>")))  # a line stays one row
+    part = lambda j: F.filter("g", lambda x: F.pmod(x, F.lit(most)) == j)
+    total = lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda s, x: s + F.shiftright(x, 31))  # noqa: E731  so many bits can be summed over any line
+    place = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(x, 9), F.lit(64)).cast("int"))
+    sums = [total(part(j)) for j in range(most)]
+    return grams.select("at", "h", F.array(*sums).alias("grams"), F.aggregate("g", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(place(x))).alias("sketch"))
 
 
 def _common(a: Column, b: Column, most: Column, part) -> Column:

@@ -424,6 +424,36 @@ def test_large_group_meets_few_pairs(spark, monkeypatch):
     assert met[-1] < 3 * len(texts)  # of 12,720
 
 
+def rows_made(spark, of: str) -> int:
+    """Rows that the nodes of this name made in the session's last query."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    last = max(runs.apply(i).executionId() for i in range(runs.size()))
+    found, nodes, total = store.executionMetrics(last), store.planGraph(last).allNodes(), 0
+    for node in (nodes.apply(i) for i in range(nodes.size())):
+        metrics = [node.metrics().apply(i) for i in range(node.metrics().size())] if node.name().startswith(of) else []
+        total += sum(int(found.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and found.contains(m.accumulatorId()))
+    return total
+
+
+def test_grams_of_long_lines_stay_one_row(spark):
+    """The pairs of characters of a line are summed within its row, however long it is, and count as they stand in any order."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdé 日", k=3000)) for _ in range(20)] + ["abcab", "ababc", "abab", "x", "", "ab" * 40]
+    lines = spark.createDataFrame(list(enumerate(texts)), "at long, line string").selectExpr("at", "xxhash64(line) AS h", "line")
+    got = {r["at"]: r for r in linededup.with_grams(lines, 2).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert rows_made(spark, "Generate") <= 3 * len(texts)
+    of = lambda i: (got[i]["grams"], got[i]["sketch"])
+    assert len(got) == len(texts) and all(len(r["grams"]) == 9 for r in got.values())
+    assert of(23) == of(24) == ([0] * 9, 0) and of(22) != of(20)
+    both = [Counter(zip(t, t[1:], strict=False)) for t in texts]
+    assert all((of(a) == of(b)) == (both[a] == both[b]) for a in range(len(texts)) for b in range(a))
+    # one pair adds the same wherever it stands: 40 times "ab" and 39 times "ba"
+    ab, aba = (linededup.with_grams(spark.createDataFrame([(0, 0, t)], "at long, h long, line string"), 2).first()["grams"] for t in ("ab", "aba"))
+    assert got[25]["grams"] == [40 * x + 39 * (y - x) for x, y in zip(ab, aba, strict=True)]
+
+
 def test_places_of_wide_ids(spark):
     d = spark.createDataFrame([(2**62, "same line of more than twenty-four\nother"), (-(2**62), "same line of more than twenty-four"), (None, "x")], "doc_id long, text string")
     assert not linededup.Places(d).long

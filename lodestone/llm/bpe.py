@@ -280,7 +280,8 @@ class ColumnEncoder:
         import numpy as np
         import pyarrow.compute as pc
 
-        texts = pc.fill_null(texts, "")
+        if texts.null_count:
+            texts = pc.fill_null(texts, "")
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -302,7 +303,7 @@ class ByteBPE(ColumnEncoder):
     Where a text is cut is asked of the library's pre-tokenizer; words of letters are one piece by its definition.
     """
 
-    run_bytes = RUN_BYTES // 2  # the ids stay Python numbers for longer
+    run_bytes = RUN_BYTES // 4  # the ids stay Python numbers for longer
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -428,6 +429,33 @@ def model(path: str) -> ByteBPE:
     return process_cache(f"bpe:{path}", lambda: ByteBPE(path))
 
 
+def _coded(bpe: ByteBPE, codes: Codes, columns: list, names: list[str], with_ids: bool, with_text: bool) -> pa.RecordBatch:
+    """The output rows of a run: the kept columns and what is derived from its ids."""
+    at, coded, texts, hashes, columns, names = 0, [], [], [], list(columns), list(names)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for n in codes.sizes.tolist():
+        ids = codes.ids[at : at + n].tolist()
+        at += n
+        coded.append(sha(",".join(map(bpe.decimal.__getitem__, ids)).encode()))
+        raw = bpe.decode(ids)
+        hashes.append(sha(raw.encode("utf-8")))
+        if with_text:
+            texts.append(raw)
+    names.append("n_tokens")
+    columns.append(pa.array(codes.sizes))
+    if with_ids:
+        columns.append(pa.ListArray.from_arrays(pa.array([0, *accumulate(codes.sizes.tolist())], pa.int32()), pa.array(codes.ids)))
+        names.append("ids")
+    columns.append(pa.array(coded, pa.string()))
+    names.append("ids_sha256")
+    if with_text:
+        columns.append(pa.array(texts, pa.string()))
+        names.append("decoded")
+    columns.append(pa.array(hashes, pa.string()))
+    names.append("decoded_sha256")
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def encode_decode(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, with_text: bool = True) -> DataFrame:
     """``keep`` columns, then ``n_tokens``, ``ids`` (array<int>), ``ids_sha256``, ``decoded`` and ``decoded_sha256`` of each row.
 
@@ -440,32 +468,16 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(tokenizer_path)
-        sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            for low, codes in bpe.column(batch.column(len(kept))):
-                at, coded, texts, hashes = 0, [], [], []
-                for n in codes.sizes.tolist():
-                    ids = codes.ids[at : at + n].tolist()
-                    at += n
-                    coded.append(sha(",".join(map(bpe.decimal.__getitem__, ids)).encode()))
-                    raw = bpe.decode(ids)
-                    hashes.append(sha(raw.encode("utf-8")))
-                    if with_text:
-                        texts.append(raw)
-                arrays = [batch.column(i).slice(low, len(hashes)) for i in range(len(kept))]
-                names = [*kept, "n_tokens"]
-                arrays.append(pa.array(codes.sizes))
-                if with_ids:
-                    arrays.append(pa.ListArray.from_arrays(pa.array([0, *accumulate(codes.sizes.tolist())], pa.int32()), pa.array(codes.ids)))
-                    names.append("ids")
-                arrays.append(pa.array(coded, pa.string()))
-                names.append("ids_sha256")
-                if with_text:
-                    arrays.append(pa.array(texts, pa.string()))
-                    names.append("decoded")
-                arrays.append(pa.array(hashes, pa.string()))
-                names.append("decoded_sha256")
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+            kept_columns, texts = batch.columns[: len(kept)], batch.column(len(kept))
+            del batch
+            for low, codes in bpe.column(texts):
+                out = _coded(bpe, codes, [c.slice(low, len(codes.sizes)) for c in kept_columns], kept, with_ids, with_text)
+                del codes  # what a run made goes before the next is begun
+                yield out
+                del out
+            del texts, kept_columns
+            pa.default_memory_pool().release_unused()
 
     return docs.select(*(F.col(f"`{k}`") for k in kept), F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, schema)
 

@@ -104,6 +104,35 @@ def test_remembered_words(library, monkeypatch):
     assert len(model.known) + len(model.older) <= 20 and model.heads([""], "").sizes.tolist() == [0]
 
 
+def test_runs_let_go(monkeypatch):
+    """What a run made is not held while the next is coded; a column without nulls is not copied."""
+    import gc
+    import weakref
+    from types import SimpleNamespace
+
+    model, made, held = bpe.ByteBPE(PATH), [], []
+    run, coded = model._run, []
+
+    def watched(texts):
+        gc.collect()
+        held.append(sum(ref() is not None for ref in made))
+        coded.append(texts.buffers()[2].address)
+        out = run(texts)
+        made.append(weakref.ref(out))
+        return out
+
+    monkeypatch.setattr(model, "_run", watched)
+    monkeypatch.setattr(model, "run_bytes", 40)
+    monkeypatch.setattr(bpe, "model", lambda path: model)
+    monkeypatch.setattr(bpe, "F", SimpleNamespace(col=lambda name: SimpleNamespace(alias=lambda other: None)))
+    docs = SimpleNamespace(schema=SimpleNamespace(fields=[]), select=lambda *a: SimpleNamespace(mapInArrow=lambda f, schema: f))
+    texts = pa.array([f"the word {i} of a text" for i in range(12)])
+    rows = [r for b in bpe.encode_decode(docs, PATH)(iter([pa.RecordBatch.from_arrays([texts], names=["__text"])])) for r in b.to_pylist()]
+    assert [r["decoded"] for r in rows] == texts.to_pylist() and len(made) > 5
+    assert held == [0] * len(made)
+    assert set(coded) == {texts.buffers()[2].address}
+
+
 def test_encode_decode_rows(odd, empty, library):
     clash = odd.withColumnsRenamed({"lang": "ids"})
     got = bpe.encode_decode(clash, PATH, keep=("doc_id", "ids")).collect()
